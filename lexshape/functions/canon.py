@@ -11,11 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexshape import constants as K
-from lexshape.functions.unicode import WHITESPACE, chars, combining, grapheme
+from lexshape.functions.unicode import WHITESPACE, chars, combining, grapheme, is_ascii
 
 SEP = "\x1f"   # internal boundary; white space in every input, so never inside a token
 
 
+def is_plain(text: Column, segmented: Column | bool) -> Column:
+    """Unsegmented pure-ASCII text without a length colon: every character is a
+    grapheme of its own and the key needs no composition. The common case."""
+    plain = is_ascii(text) & ~text.contains(":")
+    if isinstance(segmented, bool):
+        return F.lit(False) if segmented else plain
+    return ~segmented & plain
+
+
 def split_marked(text: Column, segmented: Column | bool) -> Column:
     """NFD text with a boundary character between segments."""
     given = F.regexp_replace(text, f"[{chars(WHITESPACE)}]+", SEP)
@@ -32,27 +41,29 @@ def graphemes(text: Column) -> Column:
 
 def tone(text: Column) -> Column:
     """Tone letters, digits and marks of an NFD string, in order."""
-    toneless = F.translate(text, K.TONES, "") == text
+    toneless = F.when(is_ascii(text), ~text.rlike("[0-9]")).otherwise(F.translate(text, K.TONES, "") == text)
     return F.when(toneless, "").otherwise(F.regexp_replace(text, f"[^{chars(K.TONES)}]+", ""))
 
 
-def segment_string(marked: Column) -> Column:
-    """Marked NFD text -> cleaned segments, space separated, still decomposed.
+# The clean-up runs in steps. Every step reads its input more than once, so a
+# caller gives each its own column: nested, the input would be computed again for
+# each mention (the optimizer does not share work between CASE branches).
 
-    One ``translate`` folds the letters and deletes tone, stress and separators."""
-    c = F.translate(marked, "".join(K.FOLD_LETTERS) + K.TONES + K.DROPPED, "".join(K.FOLD_LETTERS.values()))
-    c = F.btrim(_prenasalize(_digraphs(c)), F.lit(SEP))
-    return F.translate(F.when(c.contains(SEP + SEP), F.regexp_replace(c, f"{SEP}+", SEP)).otherwise(c), SEP, " ")
+def fold_letters(text: Column) -> Column:
+    """Fold letters and delete tone, stress and separators, in one ``translate``."""
+    return F.translate(text, "".join(K.FOLD_LETTERS) + K.TONES + K.DROPPED, "".join(K.FOLD_LETTERS.values()))
 
 
-def _digraphs(c: Column) -> Column:
+def spell_out(c: Column) -> Column:
+    """Ligature letters as two letters, alveolo-palatal letters with their mark."""
     out = c
     for letter, pair in K.FOLD_DIGRAPHS.items():
         out = F.replace(out, F.lit(letter), F.lit(pair))
     return F.when(c.rlike(f"[{chars(''.join(K.FOLD_DIGRAPHS))}]"), out).otherwise(c)
 
 
-def _prenasalize(c: Column) -> Column:
+def prenasalize(c: Column) -> Column:
+    """A nasal and a stop in one segment: the nasal becomes a raised letter."""
     stops = f"(?=[{chars(K.PRENASAL_STOPS)}])"
     out = c
     for nasal, raised in K.PRENASAL.items():
@@ -61,13 +72,25 @@ def _prenasalize(c: Column) -> Column:
     return F.when(hit, out).otherwise(c)
 
 
+def spaced(c: Column) -> Column:
+    """Marked text as space-separated segments, empty ones dropped."""
+    tidy = F.btrim(c, F.lit(SEP))
+    return F.translate(F.when(c.contains(SEP + SEP), F.regexp_replace(tidy, f"{SEP}+", SEP)).otherwise(tidy), SEP, " ")
+
+
+def spaced_letters(c: Column) -> Column:
+    """Folded plain text as space-separated letters."""
+    return F.rtrim(F.array_join(F.split(c, ""), " "))
+
+
 def segment_array(segments: Column) -> Column:
     return F.when(segments == "", F.array().cast("array<string>")).otherwise(F.split(segments, " "))
 
 
 def is_clean(segmental: Column) -> Column:
     """True where the key holds nothing but letters and marks of the alphabet."""
-    return segmental.rlike(f"^[^{chars(K.NOT_IPA_SIGNS + K.NOT_IPA_LETTERS)}\\p{{Lu}}\\p{{Co}}]+$")
+    quick = segmental.rlike("^[a-z\u0261]+$")
+    return quick | segmental.rlike(f"^[^{chars(K.NOT_IPA_SIGNS + K.NOT_IPA_LETTERS)}\\p{{Lu}}\\p{{Co}}]+$")
 
 
 def loose_key(segmental: Column) -> Column:

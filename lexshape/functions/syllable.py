@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from lexshape import constants as K
 from lexshape.functions.unicode import chars, combining
 
-_V, _GL, _NS, _SY = (chars(x) for x in (K.VOWELS, K.GLIDES, K.NON_SYLLABIC_MARKS, K.SYLLABIC_MARKS))
+_V, _GL = chars(K.VOWELS), chars(K.GLIDES)
+# ``types`` rewrites vowel letters, glide letters and the two kinds of marks to
+# four control characters, so that the rules test single Latin-1 characters
+_TV, _TG, _TN, _TS = "\x01", "\x02", "\x03", "\x04"
 _START, _END = "(?<![^ ])", "(?![^ ])"
-_VOWEL_SEGMENT = f"{_START}[{_V}][^ {_NS}]*{_END}"
-_OFFGLIDE = f"(?:[{_GL}][^ ]*|[{_V}][^ {_NS}]*[{_NS}][^ ]*)"
+_VOWEL_SEGMENT = f"{_START}{_TV}[^ {_TN}]*{_END}"
+_OFFGLIDE = f"(?:{_TG}[^ ]*|{_TV}[^ {_TN}]*{_TN}[^ ]*)"
 
 SYLLABIC, NO_VOWEL, SEVERAL, CODA = "syllabic consonant", "no vowel", "several vowels", "coda"
 FINAL_GLIDE, DIPHTHONG, TRIPHTHONG, MONOPHTHONG = (
@@ -25,18 +28,25 @@ NASAL_FIRST = "; separate nasal before a consonant"
 OPEN_REASONS = (FINAL_GLIDE, DIPHTHONG, TRIPHTHONG, MONOPHTHONG)
 
 
-def reason(n: Column) -> Column:
-    """Why the word is open or not."""
-    syllabic = n.rlike(f"[{_SY}]") & n.rlike(
-        f"{_START}(?:(?=[^ {_V}])[^ ]*[{_SY}]|[{_V}](?=[^ ]*[{_NS}])[^ ]*[{_SY}])")
-    nucleus = F.regexp_extract(n, _VOWEL_SEGMENT, 0)
-    vowels = F.length(F.regexp_replace(nucleus, f"[^{_V}]+", ""))
+def types(n: Column) -> Column:
+    """Segments with vowels, glides and marks replaced by their type characters."""
+    letters = K.VOWELS + K.GLIDES + K.NON_SYLLABIC_MARKS + K.SYLLABIC_MARKS
+    kinds = (_TV * len(K.VOWELS) + _TG * len(K.GLIDES) + _TN * len(K.NON_SYLLABIC_MARKS) + _TS * len(K.SYLLABIC_MARKS))
+    return F.translate(n, letters, kinds)
+
+
+def reason(t: Column) -> Column:
+    """Why the word is open or not, from its ``types`` string."""
+    syllabic = t.contains(_TS) & t.rlike(
+        f"{_START}(?:(?=[^ {_TV}])[^ ]*{_TS}|{_TV}(?=[^ ]*{_TN})[^ ]*{_TS})")
+    nucleus = F.regexp_extract(t, _VOWEL_SEGMENT, 0)
+    vowels = F.length(nucleus) - F.length(F.replace(nucleus, F.lit(_TV), F.lit("")))
     return (
         F.when(syllabic, SYLLABIC)
-        .when(~n.rlike(_VOWEL_SEGMENT), NO_VOWEL)
-        .when(n.rlike(f"(?s){_VOWEL_SEGMENT}.* {_VOWEL_SEGMENT}"), SEVERAL)
-        .when(n.rlike(f"{_VOWEL_SEGMENT}(?: {_OFFGLIDE})* [^ {_V}{_GL}]"), CODA)
-        .when(n.rlike(f"{_VOWEL_SEGMENT} "), FINAL_GLIDE)
+        .when(~t.contains(_TV) | ~t.rlike(_VOWEL_SEGMENT), NO_VOWEL)
+        .when(t.rlike(f"(?s){_VOWEL_SEGMENT}.* {_VOWEL_SEGMENT}"), SEVERAL)
+        .when(t.rlike(f"{_VOWEL_SEGMENT}(?: {_OFFGLIDE})* [^ {_TV}{_TG}]"), CODA)
+        .when(t.rlike(f"{_VOWEL_SEGMENT} "), FINAL_GLIDE)
         .when(vowels == 2, DIPHTHONG)
         .when(vowels > 2, TRIPHTHONG)
         .otherwise(MONOPHTHONG)
@@ -56,12 +66,14 @@ def is_bare_nasal(segment: Column) -> Column:
     return segment.rlike(f"^{_BARE_NASAL}$")
 
 
-def verdict(n: Column, why: Column) -> dict[str, Column]:
-    """Verdict columns from the segments and the reason column."""
-    is_open = why.isin(*OPEN_REASONS)
-    nasal = is_open & nasal_before_consonant(n)
+def is_open(why: Column) -> Column:
+    return why.isin(*OPEN_REASONS)
+
+
+def verdict(why: Column, nasal: Column) -> dict[str, Column]:
+    """Verdict columns from the reason and from ``nasal_before_consonant`` of open words."""
     return {
-        "is_open": is_open,
+        "is_open": is_open(why),
         "confidence": F.when(nasal | why.isin(FINAL_GLIDE, DIPHTHONG, TRIPHTHONG), "medium").otherwise("high"),
         "nucleus_type": F.when(why == FINAL_GLIDE, "diphthong(V+glide)")
         .when(why.isin(DIPHTHONG, TRIPHTHONG), "diphthong")

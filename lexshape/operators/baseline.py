@@ -65,10 +65,10 @@ def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFra
     one = F.lit(1).cast("bigint")
     left = meanings.select(
         F.pmod(F.xxhash64("ckey"), mb).alias("mb"), F.explode(F.sequence(F.lit(0).cast("bigint"), sb - one)).alias("sb"),
-        "family", "language", F.col("ckey").alias("item"))
+        F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("ckey").alias("item"))
     right = shapes.select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), mb - one)).alias("mb"), F.pmod(F.xxhash64("shape"), sb).alias("sb"),
-        "family", "language", F.col("shape").alias("item"))
+        F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("shape").alias("item"))
 
     def count_block(l, r):
         import numpy as np
@@ -76,18 +76,18 @@ def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFra
         lu, ru = l["item"].unique(), r["item"].unique()
         could = np.zeros((len(lu), len(ru)), dtype=np.int32)
         li, ri = pd.Index(lu), pd.Index(ru)
-        right_by_family = dict(tuple(r.groupby("family")))
-        for family, lf in l.groupby("family"):
+        right_by_family = dict(tuple(r.groupby("fam")))
+        for family, lf in l.groupby("fam"):
             rf = right_by_family.get(family)
             if rf is None:
                 continue
-            langs = pd.Index(np.intersect1d(lf["language"].unique(), rf["language"].unique()))
+            langs = pd.Index(np.intersect1d(lf["lang"].unique(), rf["lang"].unique()))
             if not len(langs):
                 continue
             a = np.zeros((len(langs), len(lu)), dtype=np.float32)
             b = np.zeros((len(langs), len(ru)), dtype=np.float32)
             for rows, m, cols in ((lf, a, li), (rf, b, ri)):
-                at = langs.get_indexer(rows["language"])
+                at = langs.get_indexer(rows["lang"])
                 m[at[at >= 0], cols.get_indexer(rows["item"])[at >= 0]] = 1.0
             could += (a.T @ b) > 0
         return pd.DataFrame({"pairs": [int((could >= min_could).sum())]})

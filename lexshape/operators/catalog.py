@@ -49,7 +49,8 @@ def judge_entries(entries: DataFrame, sources: DataFrame, glosses: bool = True,
     e = attach_sources(collapse_entries(entries, glosses), sources)
     n = F.col("segments_nfd")
     e = rows.canonicalize(e, keep_nfd=True, canonicalizer=canonicalizer, derive={
-        "_why": S.reason(n), "_clean": C.is_clean(F.replace(n, F.lit(" "), F.lit("")))})
+        "_types": S.types(n), "_clean": C.is_clean(F.replace(n, F.lit(" "), F.lit("")))})
+    e = e.withColumn("_why", S.reason(F.col("_types"))).drop("_types")
     e = rows.annotate_features(rows.classify_openness(e), where=F.col("is_open"))
     status = (F.when(F.col("exclude").isNotNull(), "excluded")
               .when(~F.col("_clean"), "unclean")

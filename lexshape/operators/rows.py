@@ -44,8 +44,7 @@ def canonicalize(
     ``canonicalizer`` swaps in another scheme: a function from a DataFrame to a
     DataFrame with these three columns. ``keep_nfd`` also keeps ``segments_nfd``.
     ``derive`` adds columns over ``segments_nfd`` in the projection that
-    composes the key: later filters on them stay above it, so their rules are
-    evaluated once per row, not again in the filter."""
+    composes the key, so that filters on them stay above it."""
     derive = derive or {}
     if canonicalizer is not None:
         out = canonicalizer(df)
@@ -53,11 +52,17 @@ def canonicalize(
             out = out.withColumn("segments_nfd", U.nfd(F.col("segments"))).withColumns(derive)
     else:
         flag = F.col(segmented) if isinstance(segmented, str) else segmented
-        text = df.withColumn("_nfd", U.nfd(U.strip(F.col(ipa))))
-        marked = text.withColumns({
-            "tone": C.tone(F.col("_nfd")), "segments_nfd": C.segment_string(C.split_marked(F.col("_nfd"), flag))})
-        out = marked.withColumns({"segments": U.nfc(F.col("segments_nfd")), **derive}).withColumn(
-            "segmental", F.replace(F.col("segments"), F.lit(" "), F.lit(""))).drop("_nfd")
+        n, c, plain = F.col("_nfd"), F.col("_c"), F.col("_plain")
+        out = (
+            df.withColumn("_nfd", U.nfd(U.strip(F.col(ipa))))
+            .withColumns({"tone": C.tone(n), "_plain": C.is_plain(n, flag)})
+            .withColumn("_c", C.fold_letters(F.when(plain, n).otherwise(C.split_marked(n, flag))))
+            .withColumn("_c", F.when(plain, c).otherwise(C.spell_out(c)))
+            .withColumn("_c", F.when(plain, c).otherwise(C.prenasalize(c)))
+            .withColumn("segments_nfd", F.when(plain, C.spaced_letters(c)).otherwise(C.spaced(c))))
+        segments = F.when(F.col("_plain"), F.col("segments_nfd")).otherwise(U.nfc(F.col("segments_nfd")))
+        out = out.withColumns({"segments": segments, **derive}).withColumn(
+            "segmental", F.replace(F.col("segments"), F.lit(" "), F.lit(""))).drop("_nfd", "_plain", "_c")
     return out if keep_nfd else out.drop("segments_nfd")
 
 
@@ -74,8 +79,10 @@ def classify_openness(df: DataFrame, segments: str = "segments") -> DataFrame:
     """Add ``is_open, confidence, nucleus_type, contested, reason``."""
     out = _with_nfd(df, segments)
     if "_why" not in df.columns:
-        out = out.withColumn("_why", S.reason(F.col("segments_nfd")))
-    out = out.withColumns(S.verdict(F.col("segments_nfd"), F.col("_why"))).drop("_why")
+        out = out.withColumn("_types", S.types(F.col("segments_nfd"))).withColumn(
+            "_why", S.reason(F.col("_types"))).drop("_types")
+    out = out.withColumn("_nasal", S.is_open(F.col("_why")) & S.nasal_before_consonant(F.col("segments_nfd")))
+    out = out.withColumns(S.verdict(F.col("_why"), F.col("_nasal"))).drop("_why", "_nasal")
     return out if "segments_nfd" in df.columns else out.drop("segments_nfd")
 
 

@@ -218,10 +218,10 @@ bh AS (SELECT *, round(least(1.0, min(p * m / rk) OVER (ORDER BY rk DESC ROWS UN
 BANDS = PAIRS + "," + bands("pw")
 SUMMARY = LABELS + """,
 cw AS (SELECT c.glottocode AS language, l.fam AS family, ckey, shape FROM ce c JOIN langs l USING (glottocode)),""" + bands("cw") + """,
-by AS (SELECT ckey, count(*) AS beyond, max(obs - hi)::int AS gap FROM bh WHERE q <= 0.05 GROUP BY ckey),
+bc AS (SELECT ckey, count(*) AS beyond, max(obs - hi)::int AS gap FROM bh WHERE q <= 0.05 GROUP BY ckey),
 cs AS (SELECT ckey, lang_count, fam_count, shape_count, label, coalesce(beyond, 0)::bigint AS beyond, coalesce(gap, 0)::int AS gap FROM
    (SELECT ckey, count(DISTINCT glottocode) AS lang_count, count(DISTINCT fam) AS fam_count, count(DISTINCT shape) AS shape_count
-    FROM ce JOIN langs USING (glottocode) GROUP BY ckey) JOIN (SELECT ckey, label FROM l3) USING (ckey) LEFT JOIN by USING (ckey))"""
+    FROM ce JOIN langs USING (glottocode) GROUP BY ckey) JOIN (SELECT ckey, label FROM l3) USING (ckey) LEFT JOIN bc USING (ckey))"""
 
 PARTS = r"""
 pt AS (SELECT p_partkey, p_brand, p_type, p_name, p_size, replace(p_name, ' ', '') AS nm,
@@ -413,11 +413,11 @@ ORACLES: dict[str, str] = {
     "rank_languages": f"""WITH {YIELD} SELECT glottocode, sample, examined, round(rate_lo, 9) AS rate_lo FROM (
         SELECT * FROM yr ORDER BY CASE sample WHEN 'word list' THEN 0 ELSE 2 END, rate_lo DESC, examined DESC, glottocode LIMIT 300)""",
     "funnel": f"WITH {YIELD} SELECT glottocode, round(rate, 9) AS rate, round(limit_lo, 9) AS limit_lo, round(limit_hi, 9) AS limit_hi, position FROM fp",
-    "funnel_summary": f"WITH {YIELD} SELECT count(*) AS points, round(max(p0), 9) AS p0, count(*) FILTER (position = 'above') AS above, count(*) FILTER (position = 'below') AS below, round(count(*) FILTER (position <> 'inside') / count(*), 9) AS outside FROM fp",
+    "funnel_summary": f"WITH {YIELD} SELECT count(*) AS points, round(max(p0), 9) AS p0, count(*) FILTER (position = 'above') AS above, count(*) FILTER (position = 'below') AS below, round(count(*) FILTER (position <> 'inside') / count(*), 9) AS outside FROM fp HAVING count(*) > 0",
     "typology_quartiles": f"WITH {YIELD} SELECT syllable_structure, languages, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, readable FROM tq",
     "typology_order": f"""WITH {YIELD}, k AS (SELECT * FROM tq WHERE readable AND syllable_structure <> '')
-        SELECT string_agg(syllable_structure, ' > ' ORDER BY median DESC, list_position(['simple', 'moderate', 'complex'], syllable_structure)) AS ordering, count(*) AS classes,
-          string_agg(syllable_structure, ' > ' ORDER BY median DESC, list_position(['simple', 'moderate', 'complex'], syllable_structure)) = 'simple > moderate > complex' AS agrees FROM k""",
+        SELECT coalesce(o, '') AS ordering, n AS classes, coalesce(o, '') = 'simple > moderate > complex' AS agrees FROM (
+          SELECT string_agg(syllable_structure, ' > ' ORDER BY median DESC, list_position(['simple', 'moderate', 'complex'], syllable_structure)) AS o, count(*) AS n FROM k)""",
     "facet_counts": f"""WITH {YIELD} SELECT 'region' AS facet, macroarea AS value, count(*) AS languages FROM yl GROUP BY ALL UNION ALL SELECT 'family', family, count(*) FROM yl GROUP BY ALL
         UNION ALL SELECT 'sample', sample, count(*) FROM yl GROUP BY ALL UNION ALL SELECT 'syllable', syllable_structure, count(*) FROM yl GROUP BY ALL
         UNION ALL SELECT 'tone', CASE WHEN tone_marked THEN 'yes' ELSE 'no' END, count(*) FROM yl GROUP BY ALL""",
@@ -441,8 +441,8 @@ ORACLES: dict[str, str] = {
         FROM pi WHERE ipa IS NOT NULL AND p_brand NOT LIKE '%4' AND p_brand NOT LIKE '%9' GROUP BY ALL""",
     "read_pronunciations": f"""WITH {PARTS} SELECT upper(replace(p_brand, '#', '')) AS glottocode, sp AS ipa, CASE WHEN p_size % 2 = 0 AND p_size % 4 <> 0 THEN p_type END AS gloss, count(*) AS entries
         FROM pt WHERE p_size % 9 <> 0 AND p_brand <> 'Brand#7' GROUP BY ALL""",
-    "read_glosses": """WITH g AS (SELECT DISTINCT p_name || ' ' || p_partkey AS word, p_type || ' ' || l_linenumber AS a, p_brand || ' ' || l_returnflag AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 5)
-        SELECT word, least(3, count(DISTINCT a) + 0) AS senses FROM g GROUP BY word""",
+    "read_glosses": """SELECT p_name || ' ' || p_partkey AS word, least(3, count(DISTINCT l_linenumber)) AS senses, max(length(p_type) + 2)::int AS longest
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 5 GROUP BY ALL""",
     "write_index": f"WITH {POSTS} SELECT * FROM posts",
     "export_json": f"WITH {POSTS} SELECT *, 'u' || array_to_string(list_transform(string_split(shape, ''), lambda c: lpad(lower(to_hex(ord(c))), 4, '0')), '-') AS slug FROM feats",
     "merge_release": f"""WITH {FORMS} SELECT glottocode, shape, tier_rank, cc_rank, under_review, tones, array_to_string(list_sort(string_split(sources, '|')), '|') AS sources, preferred_source FROM forms""",

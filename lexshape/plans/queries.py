@@ -845,14 +845,13 @@ def read_glosses(spark, d):
     """Line items as dictionary senses in JSON lines, read back through the parser."""
     path = scratch_path(spark, "glosses")
     p = P.table(spark, d, "part")
-    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    li = P.table(spark, d, "lineitem").select("l_partkey", "l_linenumber")
     t = li.join(p, li.l_partkey == p.p_partkey)
     sense = F.struct(
-        F.array(F.concat_ws(" ", F.lit(" "), "p_type", F.col("l_linenumber").cast("string")), F.concat_ws(" ", "p_brand", "l_returnflag")).alias("glosses"),
+        F.array(F.repeat(F.lit("long "), F.lit(20)), F.concat_ws(" ", F.lit(" "), "p_type", F.col("l_linenumber").cast("string"))).alias("glosses"),
         F.when(F.col("l_linenumber") == 5, F.array(F.lit("x"))).alias("form_of"))
     word = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
-    t.select(F.to_json(F.struct(word.alias("word"), F.array(sense).alias("senses"))).alias("value"), "l_orderkey", "l_linenumber",
-             F.to_date("l_shipdate").alias("day")).orderBy("l_orderkey", "l_linenumber", "value").select("value").write.text(path)
+    t.select(F.to_json(F.struct(word.alias("word"), F.array(sense).alias("senses"))).alias("value")).write.text(path)
     g = PR.read_glosses(spark, path)
     return g.groupBy("word").agg(F.count(F.lit(1)).alias("senses"), F.max(F.length("gloss")).alias("longest"))
 

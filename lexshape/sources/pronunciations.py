@@ -73,16 +73,16 @@ _SENSE = "word string, senses array<struct<glosses:array<string>,form_of:string,
 
 
 def parse_glosses(lines: DataFrame) -> DataFrame:
-    """Dictionary dump lines (``value, line``) -> up to three senses per headword.
+    """Dictionary dump lines (``value, file, line``) -> up to three senses per headword.
 
     A sense gives its first short gloss that no earlier sense of the headword
     gave; inflected and variant forms give none; broken lines give NULL fields
     and drop out. The limit of three is the format's own rule."""
-    e = lines.select("line", F.from_json("value", _SENSE, {"mode": "PERMISSIVE"}).alias("e")).select("line", "e.*")
-    senses = e.where("word is not null and word <> ''").select("word", "line", F.posexplode("senses").alias("at", "s"))
+    e = lines.select("file", "line", F.from_json("value", _SENSE, {"mode": "PERMISSIVE"}).alias("e")).select("file", "line", "e.*")
+    senses = e.where("word is not null and word <> ''").select("word", "file", "line", F.posexplode("senses").alias("at", "s"))
     own = senses.where("coalesce(s.form_of, '') in ('', '[]') and coalesce(s.alt_of, '') in ('', '[]')")
     glosses = F.filter(F.transform("s.glosses", strip), lambda g: (g != "") & (F.char_length(g) <= K.MAX_GLOSS_LENGTH))
-    listed = own.select("word", F.struct("line", "at").alias("order"), glosses.alias("g")).where("size(g) > 0")
+    listed = own.select("word", F.struct("file", "line", "at").alias("order"), glosses.alias("g")).where("size(g) > 0")
     return _choose(listed)
 
 
@@ -108,4 +108,5 @@ def _choose(listed: DataFrame) -> DataFrame:
 
 def read_glosses(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines dictionary dump -> (word, sense, gloss)."""
-    return parse_glosses(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+    return parse_glosses(spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")))
