@@ -75,6 +75,14 @@ def nfd(c: Column) -> Column:
         F.reflect(F.lit(_ICU), F.lit("decompose"), c, F.lit(False)))
 
 
+def decomposed(c: Column) -> Column:
+    """Canonical decomposition without the ASCII shortcut; NULL becomes empty.
+
+    The bare call is non-deterministic to the optimizer, so no filter on its
+    result is ever moved below it (see ``operators.rows.canonicalize``)."""
+    return F.reflect(F.lit(_ICU), F.lit("decompose"), F.coalesce(c, F.lit("")), F.lit(False))
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition, JVM side."""
     return F.when(c.isNull() | is_ascii(c), c).otherwise(

@@ -45,23 +45,24 @@ def missing_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def judge_entries(entries: DataFrame, sources: DataFrame, glosses: bool = True, canonicalizer=None) -> DataFrame:
-    """Collapse, canonicalize and judge. ``status`` is excluded, unclean, closed or open."""
+    """Collapse, canonicalize and judge.
+
+    ``judged`` marks the words the openness rule saw, ``is_open`` the open ones
+    among them. Both are booleans of few rules, so counting the judged words
+    never evaluates the openness rules."""
     e = attach_sources(collapse_entries(entries, glosses), sources)
-    n = F.col("segments_nfd")
     e = rows.canonicalize(e, keep_nfd=True, canonicalizer=canonicalizer, derive={
-        "_types": S.types(n), "_clean": C.is_clean(F.replace(n, F.lit(" "), F.lit("")))})
+        "_types": S.types, "_clean": lambda n: C.is_clean(F.replace(n, F.lit(" "), F.lit("")))})
     e = e.withColumn("_why", S.reason(F.col("_types"))).drop("_types")
     e = rows.annotate_features(rows.classify_openness(e), where=F.col("is_open"))
-    status = (F.when(F.col("exclude").isNotNull(), "excluded")
-              .when(~F.col("_clean"), "unclean")
-              .when(F.col("is_open"), "open").otherwise("closed"))
-    return (e.withColumn("status", status)
-            .withColumn("cc_rank", ST.ordinal(F.col("confidence"), K.CONFIDENCES))
-            .withColumnRenamed("segmental", "shape").drop("segments_nfd", "confidence", "is_open", "_clean"))
+    judged = F.col("exclude").isNull() & F.col("_clean")
+    return (e.withColumns({"judged": judged, "is_open": judged & F.col("is_open"),
+                           "cc_rank": ST.ordinal(F.col("confidence"), K.CONFIDENCES)})
+            .withColumnRenamed("segmental", "shape").drop("segments_nfd", "confidence", "_clean"))
 
 
 def judged_words(judged: DataFrame) -> DataFrame:
-    return judged.where(F.col("status").isin("open", "closed"))
+    return judged.where("judged")
 
 
 _STATE_KEYS = ["glottocode", "shape", "segments", "tone", "source", "tier_rank", "cc_rank", "contested",
@@ -71,8 +72,7 @@ _STATE_KEYS = ["glottocode", "shape", "segments", "tone", "source", "tier_rank",
 def form_state(judged: DataFrame) -> DataFrame:
     """Mergeable state of the open words: only numbers are aggregated, so the
     state of a union is the re-grouped union of the states."""
-    words = judged.where("status = 'open'") if "status" in judged.columns else judged
-    return words.groupBy(*_STATE_KEYS).agg(F.min("seq").alias("seq"), F.sum("rows").alias("rows"))
+    return judged.where("is_open").groupBy(*_STATE_KEYS).agg(F.min("seq").alias("seq"), F.sum("rows").alias("rows"))
 
 
 def forms_from_state(state: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def cross_source_disagreement(judged: DataFrame) -> DataFrame:
     keys = ["glottocode", "concept", "loose"]
     words = (judged_words(judged).withColumn("concept", word_concept(judged)).where("concept is not null")
              .withColumn("loose", C.loose_key(F.col("shape")))
-             .withColumn("open", (F.col("status") == "open").cast("int")))
+             .withColumn("open", F.col("is_open").cast("int")))
     per_source = words.groupBy(*keys, "source").agg(F.min("open").alias("lo"), F.max("open").alias("hi"))
     split = per_source.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
@@ -141,7 +141,7 @@ def flag_disagreements(forms: DataFrame, judged: DataFrame) -> DataFrame:
 
 def word_glosses(judged: DataFrame) -> DataFrame:
     """One row per distinct gloss of a word (form + tone), with its first ``seq``."""
-    g = judged.where((F.col("status") == "open") & F.col("gloss").isNotNull() & (F.col("gloss") != ""))
+    g = judged.where(F.col("is_open") & F.col("gloss").isNotNull() & (F.col("gloss") != ""))
     return g.groupBy("glottocode", "shape", "tone", *GLOSS_KEYS, "source", "tier_rank").agg(F.min("seq").alias("seq"))
 
 
@@ -196,9 +196,8 @@ def language_counts(judged: DataFrame) -> DataFrame:
 
 def excluded(judged: DataFrame) -> DataFrame:
     """Every rejected entry with its reason and row count."""
-    why = (F.when(F.col("status") == "excluded", F.col("exclude"))
-           .when(F.col("status") == "unclean", "not clean notation").otherwise(F.col("reason")))
-    return judged.where("status <> 'open'").select("glottocode", "ipa", why.alias("reason"), "rows")
+    why = F.coalesce(F.col("exclude"), F.when(~F.col("judged"), "not clean notation").otherwise(F.col("reason")))
+    return judged.where("not is_open").select("glottocode", "ipa", why.alias("reason"), "rows")
 
 
 def excluded_counts(judged: DataFrame) -> DataFrame:

@@ -37,19 +37,22 @@ def split_graphemes(df: DataFrame, column: str = "ipa", output: str = "graphemes
 
 def canonicalize(
     df: DataFrame, ipa: str = "ipa", segmented: str | bool = "segmented", keep_nfd: bool = False,
-    canonicalizer: Callable[[DataFrame], DataFrame] | None = None, derive: dict[str, Column] | None = None,
+    canonicalizer: Callable[[DataFrame], DataFrame] | None = None,
+    derive: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Add ``segmental`` (tone-blind key), ``tone`` and ``segments`` (space separated).
 
     ``canonicalizer`` swaps in another scheme: a function from a DataFrame to a
     DataFrame with these three columns. ``keep_nfd`` also keeps ``segments_nfd``.
-    ``derive`` adds columns over ``segments_nfd`` in the projection that
-    composes the key, so that filters on them stay above it."""
+    ``derive`` adds columns over the decomposed segments in the projection that
+    makes them. Filters on those columns then stay above that projection: moved
+    below, they would repeat the whole clean-up inside the filter condition."""
     derive = derive or {}
     if canonicalizer is not None:
         out = canonicalizer(df)
         if keep_nfd or derive:
-            out = out.withColumn("segments_nfd", U.nfd(F.col("segments"))).withColumns(derive)
+            ordered = U.decomposed(F.col("segments"))
+            out = out.withColumns({"segments_nfd": ordered, **{k: f(ordered) for k, f in derive.items()}})
     else:
         flag = F.col(segmented) if isinstance(segmented, str) else segmented
         n, c, plain = F.col("_nfd"), F.col("_c"), F.col("_plain")
@@ -58,10 +61,11 @@ def canonicalize(
             .withColumns({"tone": C.tone(n), "_plain": C.is_plain(n, flag)})
             .withColumn("_c", C.fold_letters(F.when(plain, n).otherwise(C.split_marked(n, flag))))
             .withColumn("_c", F.when(plain, c).otherwise(C.spell_out(c)))
-            .withColumn("_c", F.when(plain, c).otherwise(C.prenasalize(c)))
-            .withColumn("segments_nfd", F.when(plain, C.spaced_letters(c)).otherwise(C.spaced(c))))
-        segments = F.when(F.col("_plain"), F.col("segments_nfd")).otherwise(U.nfc(F.col("segments_nfd")))
-        out = out.withColumns({"segments": segments, **derive}).withColumn(
+            .withColumn("_c", F.when(plain, c).otherwise(C.prenasalize(c))))
+        ordered = U.decomposed(F.when(plain, C.spaced_letters(c)).otherwise(C.spaced(c)))
+        out = out.withColumns({"segments_nfd": ordered, **{k: f(ordered) for k, f in derive.items()}})
+        segments = F.when(plain, F.col("segments_nfd")).otherwise(U.nfc(F.col("segments_nfd")))
+        out = out.withColumn("segments", segments).withColumn(
             "segmental", F.replace(F.col("segments"), F.lit(" "), F.lit(""))).drop("_nfd", "_plain", "_c")
     return out if keep_nfd else out.drop("segments_nfd")
 

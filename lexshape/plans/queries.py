@@ -571,7 +571,7 @@ def observed_share(spark, d):
 
 
 def _region_share(spark, d, unit):
-    r = X.region_share(posts(spark, d), P.word_languages(spark, d), unit)
+    r = X.region_share(IX.postings(settled_forms(spark, d)), P.word_languages(spark, d), unit)
     return r.withColumn("share", F.round("share", 6))
 
 
