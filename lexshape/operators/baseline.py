@@ -8,6 +8,7 @@ share. Input everywhere: word rows ``(ckey, language, family, shape)``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -72,7 +73,6 @@ def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFra
 
     def count_block(l, r):
         import numpy as np
-        import pandas as pd
         lu, ru = l["item"].unique(), r["item"].unique()
         could = np.zeros((len(lu), len(ru)), dtype=np.int32)
         li, ri = pd.Index(lu), pd.Index(ru)
@@ -116,12 +116,53 @@ def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_coul
     # one chance per family: the list is bounded by the number of families
     per_pair = family_chances(counts, pairs).groupBy("ckey", "shape").agg(F.collect_list("p").alias("ps"))
     tested = per_pair.where(F.size("ps") >= min_could).join(pairs, ["ckey", "shape"])
-    dist = tested.withColumn("dist", ST.poisson_binomial(F.col("ps")))
-    return dist.select(
-        "ckey", "shape", "obs", F.size("ps").alias("could"),
-        ST.distribution_quantile(F.col("dist"), 0.05).alias("lo"),
-        ST.distribution_quantile(F.col("dist"), 0.95).alias("hi"),
-        ST.upper_tail(F.col("dist"), F.col("obs")).alias("p"))
+    return tested.select("ckey", "shape", "obs", F.size("ps").alias("could"),
+                         family_count_band()(F.col("ps"), F.col("obs")).alias("b")).select(
+        "ckey", "shape", "obs", "could", "b.lo", "b.hi", "b.p")
+
+
+def family_count_band(low: float = 0.05, high: float = 0.95):
+    """UDF (chances, observed) -> lo, hi, p: band and upper tail of the number of hits.
+
+    The exact distribution of a sum of independent chances takes one pass per
+    chance; Arrow batches let numpy do each pass for many pairs at once. The
+    array functions in ``functions.stats`` give the same numbers, one pair at a
+    time. Chances are sorted, so the result has one value."""
+    @F.pandas_udf("lo int, hi int, p double")
+    def band(ps: pd.Series, obs: pd.Series) -> pd.DataFrame:
+        import numpy as np
+        sizes = ps.map(len).to_numpy()
+        seen = obs.to_numpy()
+        lo, hi, p = (np.zeros(len(ps), dtype=t) for t in ("int32", "int32", "float64"))
+        order = np.argsort(sizes, kind="stable")
+        start = 0
+        while start < len(order):
+            # as many pairs at a time as fit a few million cells
+            width = int(sizes[order[start]]) + 1
+            stop = start + 1
+            while stop < len(order) and (stop - start + 1) * (int(sizes[order[stop]]) + 1) <= 4_000_000:
+                width = int(sizes[order[stop]]) + 1
+                stop += 1
+            at = order[start:stop]
+            chances = np.zeros((len(at), width - 1))
+            for row, i in enumerate(at):
+                chances[row, : sizes[i]] = np.sort(np.asarray(ps.iloc[i], dtype="float64"))
+            dist = np.zeros((len(at), width))
+            dist[:, 0] = 1.0
+            for j in range(width - 1):   # chances past a pair's own are 0 and change nothing
+                step = dist[:, : j + 1] * chances[:, j: j + 1]
+                dist[:, : j + 1] -= step
+                dist[:, 1: j + 2] += step
+            acc = np.cumsum(dist, axis=1)
+            last = sizes[at]
+            for f, out in ((low, lo), (high, hi)):
+                reached = acc >= f - 1e-12
+                out[at] = np.where(reached.any(axis=1), reached.argmax(axis=1), last)
+            tail = np.where(np.arange(width)[None, :] >= seen[at][:, None], dist, 0.0).sum(axis=1)
+            p[at] = np.minimum(1.0, tail)
+            start = stop
+        return pd.DataFrame({"lo": lo, "hi": hi, "p": p})
+    return band
 
 
 def benjamini_hochberg(tested: DataFrame, hypotheses: DataFrame, p: str = "p") -> DataFrame:

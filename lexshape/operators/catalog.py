@@ -27,7 +27,7 @@ def collapse_entries(entries: DataFrame, glosses: bool = True) -> DataFrame:
     """One row per distinct entry content, with its first ``seq`` and row count."""
     keys = FORM_KEYS + (GLOSS_KEYS if glosses else [])
     n = F.sum("rows") if "rows" in entries.columns else F.count(F.lit(1))
-    return entries.groupBy(*keys).agg(F.min("seq").alias("seq"), n.alias("rows"))
+    return entries.withColumn("ipa", F.coalesce("ipa", F.lit(""))).groupBy(*keys).agg(F.min("seq").alias("seq"), n.alias("rows"))
 
 
 def attach_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -50,15 +50,27 @@ def judge_entries(entries: DataFrame, sources: DataFrame, glosses: bool = True,
     ``judged`` marks the words the openness rule saw, ``is_open`` the open ones
     among them. Both are booleans of few rules, so counting the judged words
     never evaluates the openness rules."""
-    e = attach_sources(collapse_entries(entries, glosses), sources)
-    e = rows.canonicalize(e, keep_nfd=True, canonicalizer=canonicalizer, derive={
+    e = collapse_entries(entries, glosses)
+    if not glosses:
+        return _with_verdict(_judge(attach_sources(e, sources), canonicalizer))
+    # with glosses one word has many rows: judge each distinct word once and join
+    # the verdict back (few words: broadcast; many: merge join, hot words split)
+    words = _judge(e.select("ipa", "segmented").distinct(), canonicalizer)
+    return _with_verdict(attach_sources(e, sources).join(words, ["ipa", "segmented"]))
+
+
+def _judge(words: DataFrame, canonicalizer) -> DataFrame:
+    w = rows.canonicalize(words, keep_nfd=True, canonicalizer=canonicalizer, derive={
         "_types": S.types, "_clean": lambda n: C.is_clean(F.replace(n, F.lit(" "), F.lit("")))})
-    e = e.withColumn("_why", S.reason(F.col("_types"))).drop("_types")
-    e = rows.annotate_features(rows.classify_openness(e), where=F.col("is_open"))
+    w = w.withColumn("_why", S.reason(F.col("_types"))).drop("_types")
+    w = rows.annotate_features(rows.classify_openness(w), where=F.col("is_open"))
+    return (w.withColumn("cc_rank", ST.ordinal(F.col("confidence"), K.CONFIDENCES))
+            .withColumnRenamed("segmental", "shape").drop("segments_nfd", "confidence"))
+
+
+def _with_verdict(words: DataFrame) -> DataFrame:
     judged = F.col("exclude").isNull() & F.col("_clean")
-    return (e.withColumns({"judged": judged, "is_open": judged & F.col("is_open"),
-                           "cc_rank": ST.ordinal(F.col("confidence"), K.CONFIDENCES)})
-            .withColumnRenamed("segmental", "shape").drop("segments_nfd", "confidence", "_clean"))
+    return words.withColumns({"judged": judged, "is_open": judged & F.col("is_open")}).drop("_clean")
 
 
 def judged_words(judged: DataFrame) -> DataFrame:

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
+    """Deal a small table out over all cores; a large one already has splits enough.
+
+    Texts grow manifold when they are cut into words, and a small file is a
+    single split. The check reads the planner's size, nothing is counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 # --- words: documents -> entries ---------------------------------------------
 
 def document_source(source: str = "source", doc_id: str = "doc_id") -> Column:
@@ -46,7 +55,8 @@ def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True) -> Data
             F.when(linked, concept_gloss).alias("concepticon_gloss"),
             F.lit(None).cast("string").alias("linked_by"),
         ]
-    return d.select("doc_id", "lang", "source", F.posexplode(words).alias("pos", "w")).select(*columns)
+    texts = spread(d.select("doc_id", "lang", "source", "text"))
+    return texts.select("doc_id", "lang", "source", F.posexplode(words).alias("pos", "w")).select(*columns)
 
 
 def word_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
