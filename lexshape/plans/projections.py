@@ -43,20 +43,22 @@ def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True) -> Data
     gloss = F.when(F.col("doc_id") % 3 == 0, F.initcap(word)).otherwise(word)
     linked = group % 2 == 0
     concept_gloss = F.upper(F.when(group % 4 == 0, word).otherwise(F.concat(word, F.lit(" (other)"))))
-    columns = [
-        F.concat("lang", F.lit("-"), F.col("source")).alias("glottocode"), F.col("w").alias("ipa"),
-        document_source().alias("source"), F.lit(False).alias("segmented"), F.lit(None).cast("string").alias("exclude"),
-        (F.shiftleft(F.col("doc_id"), _POSITION_BITS) + F.col("pos")).alias("seq"),
-    ]
+    # everything that belongs to the text is computed per text, before it is cut up
+    per_text = [
+        "doc_id", "text", F.concat("lang", F.lit("-"), F.col("source")).alias("glottocode"),
+        document_source().alias("source")]
     if glosses:
-        columns += [
+        per_text += [
             F.when(F.col("doc_id") % 7 != 0, gloss).alias("gloss"),
             F.when(linked, group + 1).alias("concepticon_id"),
-            F.when(linked, concept_gloss).alias("concepticon_gloss"),
-            F.lit(None).cast("string").alias("linked_by"),
-        ]
-    texts = spread(d.select("doc_id", "lang", "source", "text"))
-    return texts.select("doc_id", "lang", "source", F.posexplode(words).alias("pos", "w")).select(*columns)
+            F.when(linked, concept_gloss).alias("concepticon_gloss")]
+    texts = spread(d.select(*per_text))
+    cut = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(words).alias("pos", "ipa"))
+    out = cut.select(
+        *[c for c in texts.columns if c not in ("doc_id", "text")], "ipa", F.lit(False).alias("segmented"),
+        F.lit(None).cast("string").alias("exclude"),
+        (F.shiftleft(F.col("doc_id"), _POSITION_BITS) + F.col("pos")).alias("seq"))
+    return out.withColumn("linked_by", F.lit(None).cast("string")) if glosses else out
 
 
 def word_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

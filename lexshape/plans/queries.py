@@ -82,8 +82,8 @@ def settled_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concept_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Concept entries over the catalog; the judged words are written once."""
-    j = settle(judged(spark, d, glosses=True))
+    """Concept entries over the catalog; the open words are written once."""
+    j = settle(judged(spark, d, glosses=True).where("is_open"))
     return IX.concept_entries(CAT.word_glosses(j), CAT.build_forms(j, disagreement=False))
 
 
@@ -648,7 +648,7 @@ def top_shape(spark, d):
 @query
 def language_shapes(spark, d):
     """The profile of the largest variety's sibling: shapes in sound order, or widest first."""
-    j = settle(judged(spark, d, glosses=True))
+    j = settle(judged(spark, d, glosses=True).where("is_open"))
     f = settle(CAT.build_forms(j, disagreement=False))
     s = X.language_shapes(IX.postings(f), IX.shape_features(f), P.word_languages(spark, d), CAT.word_glosses(j), "fr-src0")
     return s.select("shape", "onset_class", "tier_rank", "tones", "other_languages", "other_families")
