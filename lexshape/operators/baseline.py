@@ -16,7 +16,7 @@ from pyspark.sql import Window
 from lexshape import constants as K
 from lexshape.functions import stats as ST
 
-BLOCK = 512   # meanings (or shapes) per side of one counting block
+BLOCK = 256   # meanings (or shapes) per side of one counting block
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -170,12 +170,12 @@ def benjamini_hochberg(tested: DataFrame, hypotheses: DataFrame, p: str = "p") -
 
     q depends on p alone (ties share the last rank), so it is computed once per
     distinct p. Ranks and the running minimum are taken in two levels: inside
-    value buckets (1/256 of a binade, so a monotone function of p), and over the
-    bucket totals, whose number is fixed. No window sees the whole table."""
+    value buckets (1/4096 of a binade, so a monotone function of p), and over the
+    bucket totals, whose number the doubles limit. No window sees the whole table."""
     per_p = tested.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     e = F.floor(F.log2("_p"))
-    bucket = F.when(F.col("_p") <= 0, F.lit(-(10 ** 6)).cast("bigint")).otherwise(
-        (e * 256 + F.floor((F.col("_p") / F.pow(F.lit(2.0), e) - 1) * 256)).cast("bigint"))
+    bucket = F.when(F.col("_p") <= 0, F.lit(-(10 ** 7)).cast("bigint")).otherwise(
+        (e * 4096 + F.floor((F.col("_p") / F.pow(F.lit(2.0), e) - 1) * 4096)).cast("bigint"))
     per_p = per_p.withColumn("_b", bucket)
     totals = per_p.groupBy("_b").agg(F.sum("_n").alias("_bn"))
     up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -93,6 +93,7 @@ def forms_from_state(state: DataFrame) -> DataFrame:
     per_source = state.groupBy("glottocode", "shape", "source", "tier_rank").agg(
         F.min("seq").alias("seq"), F.max("cc_rank").alias("cc_rank"), F.bool_or("contested").alias("contested"),
         first.alias("first"), F.collect_set(F.nullif(F.col("tone"), F.lit(""))).alias("tones"))
+    # lists hold a form's sources and tones: bounded by the source table and the tone marks
     by_seq = F.array_sort(F.collect_list(F.struct("seq", "source")))
     forms = per_source.groupBy("glottocode", "shape").agg(
         F.min("tier_rank").alias("tier_rank"),

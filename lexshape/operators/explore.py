@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from lexshape import constants as K
 from lexshape.functions import stats as ST
 from lexshape.operators.index import family_or_self
+from lexshape.operators.ranking import rank_within
 
 
 def filter_onsets(shapes: DataFrame, onsets: list[str]) -> DataFrame:
@@ -213,9 +214,9 @@ def rank_shapes(shapes: DataFrame, postings: DataFrame, languages: DataFrame) ->
     """Shapes of every grid cell by families, then languages; one-language shapes are ``rare``."""
     by = ["onset_class", "nucleus_bucket"]
     spread = family_spread(postings, languages, ["shape"]).select("shape", "languages", "families")
-    order = Window.partitionBy(*by).orderBy(F.desc("families"), F.desc("languages"), "shape")
-    return spread.join(shapes.select("shape", *by), "shape").withColumn(
-        "rank", F.row_number().over(order)).withColumn("rare", F.col("languages") == 1)
+    order = [F.desc("families"), F.desc("languages"), F.asc("shape")]
+    return rank_within(spread.join(shapes.select("shape", *by), "shape"), by, order).withColumn(
+        "rare", F.col("languages") == 1)
 
 
 def top_meanings(summary: DataFrame, sort: str = "reach", count_by: str = "families", limit: int = K.LIST_LIMIT) -> DataFrame:
@@ -284,8 +285,7 @@ def convergence(entries: DataFrame, languages: DataFrame, bands: DataFrame | Non
     out = per_family.groupBy(*by).agg(
         F.sum("languages").alias("languages"), F.count_if(F.col("family") != "").alias("families"),
         *[F.sum(t).alias(t) for t in K.TIERS])
-    order = Window.partitionBy("ckey").orderBy(F.desc("families"), F.desc("languages"), "shape")
-    out = out.withColumn("rank", F.row_number().over(order))
+    out = rank_within(out, ["ckey"], [F.desc("families"), F.desc("languages"), F.asc("shape")])
     if bands is None:
         return out
     b = bands.select(*by, "lo", "hi", "q").withColumn("beyond", F.col("q") <= fdr)

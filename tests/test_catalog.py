@@ -143,3 +143,13 @@ def test_names_and_typology(spark):
     pv = spark.createDataFrame([("a", "m", "m"), ("a", "a", "aː"), ("a", "t", "˥"), ("a", "m", "ts"), ("a", "a", "ai"), ("b", "m", "k")], "Language_ID string, Parameter_ID string, Value string")
     inv = {r["glottocode"]: (r["onsets"], r["nuclei"]) for r in TY.inventories(pp, pv).collect()}
     assert inv == {"a": (["affricate", "nasal"], ["a", "diphthong"])}
+
+
+def test_ranks_of_a_hot_group(spark):
+    from lexshape.operators.ranking import rank_within
+    rows = [("hot", i % 7, f"s{i}") for i in range(500)] + [("cold", i, f"c{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, n int, s string")
+    got = rank_within(df, ["g"], [F.desc("n"), F.asc("s")], parts=6).collect()
+    for g in ("hot", "cold"):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["n"], r["s"]))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
