@@ -343,7 +343,7 @@ ORACLES: dict[str, str] = {
     "syllable_structure": "SELECT 'g' || (c_custkey // 2) AS glottocode, min(['simple', 'moderate', 'complex'][c_nationkey % 4 + 1]) AS syllable_structure FROM customer WHERE c_nationkey % 4 < 3 GROUP BY 1 HAVING count(DISTINCT c_nationkey % 4) = 1",
     "sound_inventories": f"""WITH {INVENTORY} SELECT glottocode, array_to_string(list_sort(list(DISTINCT onset) FILTER (onset IS NOT NULL)), '|') AS onsets, array_to_string(list_sort(list(DISTINCT nucleus) FILTER (nucleus IS NOT NULL)), '|') AS nuclei
         FROM gv JOIN gs USING (value, segment_class) GROUP BY glottocode HAVING count(onset) > 0 AND count(nucleus) > 0""",
-    "attach_typology": f"""WITH {ORDERS} SELECT c_custkey AS glottocode, CASE WHEN c_nationkey % 3 = 0 THEN 'simple' ELSE '' END AS syllable_structure, array_to_string(onsets, '|') AS onsets, array_to_string(nuclei, '|') AS nuclei
+    "attach_typology": f"""WITH {ORDERS} SELECT c_custkey AS glottocode, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'simple' ELSE '' END AS syllable_structure, array_to_string(onsets, '|') AS onsets, array_to_string(nuclei, '|') AS nuclei
         FROM customer LEFT JOIN oi ON c_custkey = glottocode""",
     "shape_features": f"WITH {POSTS} SELECT * FROM feats",
     "postings": f"WITH {POSTS} SELECT * FROM posts",
@@ -439,8 +439,8 @@ ORACLES: dict[str, str] = {
     "read_wordlist": f"""WITH {PARTS} SELECT 'g-' || p_brand AS glottocode, ipa, CASE WHEN p_type <> 'SMALL' THEN upper(left(p_type, 1)) || lower(substr(p_type, 2)) ELSE p_type END AS gloss,
         CASE WHEN p_type <> 'PROMO' THEN length(p_type) END::bigint AS concepticon_id, 'parts' AS source, seg <> '' AS segmented, CASE WHEN seg = '' THEN 'spelling without rules' END AS exclude, count(*) AS entries
         FROM pi WHERE ipa IS NOT NULL AND p_brand NOT LIKE '%4' AND p_brand NOT LIKE '%9' GROUP BY ALL""",
-    "read_pronunciations": f"""WITH {PARTS} SELECT upper(replace(p_brand, '#', '')) AS glottocode, sp AS ipa, CASE WHEN p_size % 2 = 0 AND p_size % 4 <> 0 THEN p_type END AS gloss, count(*) AS entries
-        FROM pt WHERE p_size % 9 <> 0 AND p_brand <> 'Brand#7' GROUP BY ALL""",
+    "read_pronunciations": f"""WITH {PARTS} SELECT upper(replace(p_brand, '#', '')) AS glottocode, sp AS ipa, CASE WHEN p_type <> 'SMALL' AND p_brand NOT LIKE '%1' THEN p_type END AS gloss, count(*) AS entries
+        FROM pt WHERE p_name NOT LIKE 'red%' AND p_brand <> 'Brand#7' GROUP BY ALL""",
     "read_glosses": """SELECT p_name || ' ' || p_partkey AS word, least(3, count(DISTINCT l_linenumber)) AS senses, max(length(p_type) + 2)::int AS longest
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 5 GROUP BY ALL""",
     "write_index": f"WITH {POSTS} SELECT * FROM posts",

@@ -474,8 +474,8 @@ def sound_inventories(spark, d):
 @query
 def attach_typology(spark, d):
     inv = P.order_inventories(spark, d)
-    c = P.table(spark, d, "customer").select(F.col("c_custkey").alias("glottocode"), F.col("c_nationkey").alias("nation"))
-    syl = c.where("nation % 3 = 0").select("glottocode", F.lit("simple").alias("syllable_structure"))
+    c = P.table(spark, d, "customer").select(F.col("c_custkey").alias("glottocode"), "c_mktsegment")
+    syl = c.where("c_mktsegment <> 'BUILDING'").select("glottocode", F.lit("simple").alias("syllable_structure"))
     t = TY.attach_typology(c, syl, inv)
     return t.select("glottocode", "syllable_structure", joined("onsets").alias("onsets"), joined("nuclei").alias("nuclei"))
 
@@ -647,7 +647,7 @@ def top_shape(spark, d):
 
 @query
 def language_shapes(spark, d):
-    """The profile of the largest variety's sibling: shapes in sound order, or widest first."""
+    """The profile of one variety: shapes in sound order, or widest first."""
     j = settle(judged(spark, d, glosses=True).where("is_open"))
     f = settle(CAT.build_forms(j, disagreement=False))
     s = X.language_shapes(IX.postings(f), IX.shape_features(f), P.word_languages(spark, d), CAT.word_glosses(j), "fr-src0")
@@ -828,14 +828,14 @@ def read_pronunciations(spark, d):
     p = P.table(spark, d, "part")
     word = F.concat("p_name", F.lit("-"), F.col("p_partkey"))
     spaced = F.trim(F.regexp_replace(F.replace("p_name", F.lit(" "), F.lit("")), "(.)", "$1 "))
-    line = F.when(F.col("p_size") % 9 == 0, word).otherwise(F.concat(word, F.lit("\t"), spaced))
+    line = F.when(F.col("p_name").startswith("red"), word).otherwise(F.concat(word, F.lit("\t"), spaced))
     file = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".tsv"))
     p.select(file.alias("file"), line.alias("value")).write.partitionBy("file").text(f"{path}/tsv")
     langs = p.select(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("iso")).distinct().where("iso <> 'brand7'").select(
         "iso", F.upper("iso").alias("glottocode"))
-    glosses = p.where("p_size % 2 = 0").select(
+    glosses = p.where("p_type <> 'SMALL'").select(
         F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("iso"), word.alias("word"), F.lit(0).alias("sense"),
-        F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("The letter "), "p_type")).otherwise(F.concat("p_type", F.lit(", and so on"))).alias("gloss"))
+        F.when(F.col("p_brand").endswith("1"), F.concat(F.lit("The letter "), "p_type")).otherwise(F.concat("p_type", F.lit(", and so on"))).alias("gloss"))
     e = PR.read_pronunciations(spark, f"{path}/tsv", langs, glosses)
     return e.groupBy("glottocode", "ipa", "gloss").agg(F.count(F.lit(1)).alias("entries"))
 
@@ -875,7 +875,8 @@ def export_json(spark, d):
 
 @query
 def merge_release(spark, d):
-    """State of the texts of even id, then a release with the odd ones: equals a full build by content."""
+    """A first build over half of the texts, then a release with the other half: the whole
+    table, and the same forms as one full build."""
     e = P.word_entries(spark, d, glosses=False)
     s = P.word_sources(spark, d)
     odd = F.shiftright("seq", 24) % 2 == 1
