@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshape.llm import exact, packing, sharding
+from lexshape.llm import exact, minhash, packing, sharding
 from lexshape.session import scratch_path
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def op1_sharding(spark, d):
                        F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+@query
+def op5_minhash(spark, d):
+    return minhash.near_decisions(table(spark, d, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact.exact_decisions(table(spark, d, "documents"))
