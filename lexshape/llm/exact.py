@@ -28,15 +28,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from lexshape.llm.rows import text_sha, without
 from lexshape.session import settle
 
 BLOCK_BYTES = 16384
 
 
-def text_sha(text: str = "text"):
-    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-
-
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sha, n_blocks, pos, block): every document cut into fixed-size blocks."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -153,13 +150,4 @@ def exact_decisions(docs: DataFrame, **kw) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with one row of each set of equal texts, all columns as they were."""
     groups = settle(exact_groups(docs, **kw))
-    def stays(table):
-        gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("sha").alias("__gone_sha"))
-        return table.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
-    rows = stays(docs.withColumn("__sha", text_sha()))
-    repeated = groups.where("copies > 1").select(F.col("doc_id").alias("__again_id"), F.col("sha").alias("__again_sha"))
-    if not repeated.isEmpty():      # rows given more than once: one of them
-        same = F.col("doc_id").eqNullSafe(F.col("__again_id")) & (F.col("__sha") == F.col("__again_sha"))
-        rows = rows.join(repeated, same, "left_anti").unionByName(
-            rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__sha"]))
-    return rows.drop("__sha")
+    return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))), groups.where("copies > 1"))

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexshape.llm.graph import components, forest_roots
+from lexshape.llm.rows import text_sha, without
 from lexshape.session import settle
 
 SHINGLE = 5
@@ -165,7 +166,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, sha (of its text), n_shingles, component_id."""
+    """One row per input row: doc_id, sha (of its text), n_shingles, component_id, root (of the component; null for the empty set)."""
     sig = settle(signatures(docs, id_col, text_col))
     classes = settle(sig.where("n_shingles > 0").groupBy("digest").agg(
         F.min(F.struct("doc_id", "sha")).alias("rep"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     involved = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     texts = involved.select("node", F.col("rep.doc_id").alias("__id"), F.col("rep.sha").alias("__sha")).join(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))))
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == text_sha()))
     sets = settle(shingle_sets(texts))
 
     # each class with the smallest of all classes it shares a bucket with
@@ -206,12 +207,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                       .join(merged.select(F.col("node").alias("root"), F.col("component")), "root", "left")
                       .select("digest", "id", F.coalesce("component", "root").alias("root")))
     smallest = settle(of_class.groupBy("root").agg(F.min("id").alias("component_id")))
-    named = settle(of_class.join(smallest, "root").select("digest", "component_id"))
+    named = settle(of_class.join(smallest, "root").select("digest", "component_id", "root"))
     linked_rows = sig.where("n_shingles > 0").select("doc_id", "sha", "n_shingles", "digest").join(named, "digest")
-    alone = sig.where("n_shingles = 0").select("doc_id", "sha", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked_rows.select("doc_id", "sha", "n_shingles", "component_id").unionByName(alone)
+    alone = sig.where("n_shingles = 0").select("doc_id", "sha", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return linked_rows.select("doc_id", "sha", "n_shingles", "component_id", "root").unionByName(alone)
 
 
 def near_decisions(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the smallest id of its component) of every row."""
     return near_duplicates(docs, **kw).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, **kw) -> DataFrame:
+    """``docs`` with one document of each component (that with the smallest id), all columns as they were."""
+    rows = settle(near_duplicates(docs, **kw).where("root is not null").select("doc_id", "sha", "root"))
+    first = settle(rows.groupBy("root").agg(F.min(F.struct("doc_id", "sha")).alias("first")))
+    placed = rows.join(first, "root")
+    again = rows.groupBy("doc_id", "sha").count().where("count > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    return without(docs, settle(placed.where(~stays).select("doc_id", "sha")), again)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshape.llm import exact, minhash, packing, sharding
+from lexshape.llm import decontaminate, exact, minhash, packing, quality, sharding
 from lexshape.session import scratch_path
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def op1_sharding(spark, d):
                        F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+@query
+def op3_quality(spark, d):
+    return quality.quality_decisions(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op5_minhash(spark, d):
     return minhash.near_decisions(table(spark, d, "documents"))
@@ -44,6 +49,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+@query
+def op9_decontaminate(spark, d):
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def tokenizer_files() -> dict:
     """The public byte-level vocabulary of 50,257 ids, as ranks, with its one special string."""
     import public_tokenizers
