@@ -10,7 +10,7 @@ Votes are summed before the shuffle. Diagonals of one document are all a window
 
 Defined cases: a null or wordless text has no words, no places and no labels. Rows that
 repeat id and text get the same result each. A template that stands several times in a
-text is a span each time. An empty table gives an empty result.
+text is a span each time; of overlapping spans the most similar one stands. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,6 +143,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int =
             edits, a, b = distance(template, words[start:max(0, c["last"]) + len(template) + GAP])
             if edits <= (1 - SIMILARITY) * len(template):
                 verified.append({"label": label, "template": c["template"], "first_word": start + a, "end_word": start + b, "similarity": 1 - edits / len(template)})
+        best = []           # of overlapping spans, the one most like its template
+        for s in sorted(verified, key=lambda s: (-s["similarity"], s["first_word"] - s["end_word"], s["first_word"], s["template"])):
+            if all(s["end_word"] <= b["first_word"] or b["end_word"] <= s["first_word"] for b in best):
+                best.append(s)
+        verified = sorted(best, key=lambda s: s["first_word"])
         own = sorted({label for _, label in base})
         return {"n_words": len(words), "n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None,
                 "base_labels": ",".join(own), "labels": ",".join(sorted({*own, *(s["label"] for s in verified)})),
