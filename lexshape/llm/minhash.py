@@ -4,9 +4,10 @@ Two permutations of a universe of 2^22 places make all signature coordinates: th
 scatters a text's shingles, the second is read at circularly shifted places, so the
 coordinates of one shingle are one contiguous slice of a table, and a signature is the
 minimum of such slices. 32 bands of 6 coordinates give the candidates (a link at a
-similarity of 0.85 is missed with a probability below 3e-7); one bit of each of 256
-coordinates is a sketch by which pairs far below the threshold are passed over (a link
-is lost with a probability below 1e-6). Every link is confirmed on the full sets.
+similarity of 0.85 is missed with a probability below 3e-7). Where many different texts
+share buckets, one bit of each of 2048 coordinates is a sketch by which pairs below the
+threshold are passed over (a link is lost with a probability below 1e-6). Every link is
+confirmed on the full sets.
 
 No pairs inside a group. Texts with equal sets are one class from the start. In a bucket each
 class is first compared with the smallest one only; a bucket whose classes are then
@@ -26,6 +27,7 @@ empty table gives an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 
 import numpy as np
@@ -41,8 +43,8 @@ from lexshape.session import settle
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
-SKETCH = 256                # coordinates with one bit each, in 64-bit words
-SKETCH_APART = 45           # most differing bits of a possible link
+SKETCH = 2048               # coordinates with one bit each, in 64-bit words
+SIGMAS = 5.3                # a link whose sketches differ by more standard deviations than this is not looked at
 UNIVERSE_BITS = 22
 SEED = 20240229
 MASK = (1 << 64) - 1
@@ -63,7 +65,7 @@ class Circulant:
         size = 1 << UNIVERSE_BITS
         self.first = rng.permutation(size).astype(np.uint32)
         second = rng.permutation(size).astype(np.uint32)
-        self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:SKETCH - 1]]), SKETCH)
+        self.second = np.concatenate([second, second[:SKETCH - 1]])
         self.factors = rng.integers(1, MASK, SHINGLE, np.uint64) | np.uint64(1)
         self.band = rng.integers(1, MASK, (BANDS, ROWS), np.uint64) | np.uint64(1)
         self.salt = rng.integers(1, MASK, BANDS, np.uint64)
@@ -82,19 +84,22 @@ class Circulant:
         total = np.sort(mixed(total))
         return total[np.append(True, total[1:] != total[:-1])]
 
-    def coordinates(self, shingles: np.ndarray) -> np.ndarray:
+    def coordinates(self, shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+        """The first ``n`` signature coordinates: least of the slices of the second permutation, read in parts of 2 MB."""
         places = self.first[shingles >> np.uint64(64 - UNIVERSE_BITS)]
-        low = None
-        for a in range(0, len(places), 4096):
-            part = self.shifted[places[a:a + 4096]].min(axis=0)
+        shifted = np.lib.stride_tricks.sliding_window_view(self.second, n)
+        low, rows = None, max(1, (1 << 19) // n)
+        for a in range(0, len(places), rows):
+            part = shifted[places[a:a + rows]].min(axis=0)
             low = part if low is None else np.minimum(low, part)
         return low
 
     def keys(self, low: np.ndarray) -> np.ndarray:
-        values = low[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+        values = low.reshape(BANDS, ROWS).astype(np.uint64)
         return mixed((values * self.band).sum(axis=1) + self.salt).view(np.int64)
 
-    def sketch(self, low: np.ndarray) -> np.ndarray:
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        low = self.coordinates(shingles, SKETCH)
         bits = np.bitwise_xor.reduce(np.stack([low >> np.uint32(s) for s in range(0, UNIVERSE_BITS, 2)]), axis=0) & np.uint32(1)
         return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -109,32 +114,26 @@ def circulant() -> Circulant:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha of the text, n_shingles, set digest, band keys, sketch) of every row."""
+    """(doc_id, sha of the text, n_shingles, set digest, band keys) of every row."""
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("sha", T.BinaryType()),
                         T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-                        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+                        T.StructField("bands", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(out)
 
     def run(batches):
         c = circulant()
         for batch in batches:
-            sha, size, digest, bands, sketch = [], [], [], [], []
+            sha, size, digest, bands = [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
                 found = c.shingles(text)
                 sha.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest())
                 size.append(len(found))
                 digest.append(hashlib.sha256(found.tobytes()).digest())
-                if len(found):
-                    low = c.coordinates(found)
-                    bands.append(c.keys(low))
-                    sketch.append(c.sketch(low))
-                else:
-                    bands.append(None)
-                    sketch.append(None)
+                bands.append(c.keys(c.coordinates(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(sha, pa.binary()), pa.array(size, pa.int64()),
-                 pa.array(digest, pa.binary()), pa.array(bands, arrow.field("bands").type), pa.array(sketch, arrow.field("sketch").type)], schema=arrow)
+                 pa.array(digest, pa.binary()), pa.array(bands, arrow.field("bands").type)], schema=arrow)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
@@ -155,6 +154,20 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, out)
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(node, n, sketch) of (node, items) rows."""
+    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        c = circulant()
+        for batch in batches:
+            made = [x.values.to_numpy().view(np.uint64) for x in batch.column("items")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, made), pa.int64()), pa.array(map(c.sketch, made), arrow.field("sketch").type)], schema=arrow)
+
+    return sets.select("node", "items").mapInArrow(run, out)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
@@ -169,8 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """One row per input row: doc_id, sha (of its text), n_shingles, component_id, root (of the component; null for the empty set)."""
     sig = settle(signatures(docs, id_col, text_col))
     classes = settle(sig.where("n_shingles > 0").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "sha")).alias("rep"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+        F.min(F.struct("doc_id", "sha")).alias("rep"), F.min("doc_id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
     hubs = settle(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"))
@@ -191,13 +203,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     placed = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "root"))
     held = settle(placed.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key")
                   .agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major"))
-    about = classes.select("node", "n", "sketch")
-    open_rows = settle(placed.join(held, "key").join(about, "node").select("key", "node", "root", "n", "sketch", (F.col("root") != F.col("major")).alias("minor")))
-    left, right = open_rows.where("minor").alias("l"), open_rows.alias("r")
+    opened = settle(placed.join(held, "key").select("key", "node", "root", (F.col("root") != F.col("major")).alias("minor")))
+    about = settle(sketches(sets.join(opened.select("node").distinct(), "node", "left_semi")))
+    rows = opened.join(about, "node").join(classes.select("node", "bands"), "node")
+    left, right = rows.where("minor").alias("l"), rows.alias("r")
+    differ = (100 - percent) / 200                    # of the bits at the threshold
+    most = int(SKETCH * differ + SIGMAS * math.sqrt(SKETCH * differ * (1 - differ)))
     apart = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(1, SKETCH // 64)),
                 F.bit_count(F.col("l.sketch")[0].bitwiseXOR(F.col("r.sketch")[0])))
+    shared = F.zip_with("l.bands", "r.bands", lambda x, y: x == y)
     near = ((F.col("l.root") != F.col("r.root")) & (~F.col("r.minor") | (F.col("l.node") < F.col("r.node")))
-            & (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent) & (apart <= SKETCH_APART))
+            & (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent) & (apart <= most)
+            & (F.element_at("l.bands", F.array_position(shared, True).cast("int")) == F.col("l.key")))      # once, in their first bucket
     more = settle(left.join(right, (F.col("l.key") == F.col("r.key")) & near).select(
         F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), F.least("l.root", "r.root").alias("u"), F.greatest("l.root", "r.root").alias("v")).distinct())
     linked = confirmed(more, sets, percent).join(more, ["a", "b"]).select("u", "v").distinct()
