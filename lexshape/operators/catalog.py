@@ -33,9 +33,12 @@ def collapse_entries(entries: DataFrame, glosses: bool = True) -> DataFrame:
 def attach_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``tier_rank`` and ``kind``. The source table is planned as it is: a
     small one is broadcast by its measured size, a large one is merge joined
-    with adaptive skew handling."""
-    s = sources.select(F.col("id").alias("source"), ST.ordinal(F.col("tier"), K.TIERS).alias("tier_rank"), "kind")
-    return entries.join(s, "source")
+    with adaptive skew handling. An entry whose source the table lacks fails the
+    job (``missing_sources`` lists such sources)."""
+    s = sources.select(F.col("id").alias("source"), ST.ordinal(F.col("tier"), K.TIERS).alias("tier_rank"), "kind", F.lit(True).alias("_known"))
+    unknown = F.raise_error(F.concat(F.lit("unknown source "), F.coalesce("source", F.lit("(none)"))))
+    return entries.join(s, "source", "left").withColumn(
+        "tier_rank", F.when(F.col("_known"), F.col("tier_rank")).otherwise(unknown.cast("int"))).drop("_known")
 
 
 def missing_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -234,11 +237,18 @@ def merge_languages(languages: DataFrame) -> DataFrame:
     ).select("glottocode", "a.*", "family")
 
 
+_ROWS = 10 ** 19      # more than a 64-bit ``seq`` can number
+
+
 def union_datasets(*tables: DataFrame) -> DataFrame:
-    """Concatenate datasets; each keeps its place as ``dataset_ord``."""
+    """Concatenate datasets; each keeps its place as ``dataset_ord``.
+
+    Where rows carry ``seq``, it orders the union: by dataset, then by the dataset's own ``seq``."""
     out = None
     for i, t in enumerate(tables):
         t = t.withColumn("dataset_ord", F.lit(i))
+        if "seq" in t.columns:
+            t = t.withColumn("seq", F.col("seq").cast("decimal(20,0)") + F.lit(str(i * _ROWS)).cast("decimal(30,0)"))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 

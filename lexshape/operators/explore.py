@@ -74,7 +74,7 @@ def family_spread(postings: DataFrame, languages: DataFrame, by: list[str]) -> D
 def heatmap(shapes: DataFrame, postings: DataFrame, languages: DataFrame) -> DataFrame:
     """Onset by vowel grid: languages, families, tier composition, evidence step.
 
-    Only filled cells have rows; ``heatmap_axes`` gives the full grid."""
+    Only filled cells have rows; ``heatmap_grid`` adds the empty ones."""
     by = ["onset_class", "nucleus_bucket"]
     cells = postings.join(shapes.select("shape", *by), "shape")
     best = language_best(cells, by).join(languages.select("glottocode", "family"), "glottocode")
@@ -87,6 +87,20 @@ def heatmap(shapes: DataFrame, postings: DataFrame, languages: DataFrame) -> Dat
     return out.withColumn("step", ST.evidence_step(F.col("families")))
 
 
+def heatmap_axes(spark) -> DataFrame:
+    """All cells of the grid: onset classes by vowel buckets, in their orders."""
+    rows = [(o, n, i, j) for i, o in enumerate(K.ONSET_ORDER) for j, n in enumerate(K.NUCLEUS_ORDER)]
+    return spark.createDataFrame(rows, "onset_class string, nucleus_bucket string, onset_ord int, nucleus_ord int")
+
+
+def heatmap_grid(cells: DataFrame) -> DataFrame:
+    """The full grid: cells without any language have zeros and no evidence step."""
+    by = ["onset_class", "nucleus_bucket"]
+    counts = [c for c in cells.columns if c not in (*by, "step")]
+    full = cells.join(heatmap_axes(cells.sparkSession).select(*by), by, "full").fillna(0, counts)
+    return full.withColumn("step", ST.evidence_step(F.col("families"))).select(*cells.columns)
+
+
 def heatmap_pivot(cells: DataFrame, value: str = "families") -> DataFrame:
     """The grid as a table: one row per onset, one column per vowel bucket."""
     return cells.groupBy("onset_class").pivot("nucleus_bucket", list(K.NUCLEUS_ORDER)).agg(F.first(value)).fillna(0)
@@ -106,9 +120,10 @@ def observed_share(cells: DataFrame, inventories: DataFrame, languages: DataFram
     """Per cell: families using both sounds together, out of the families whose
     inventories have both, and that share against the pooled one.
 
-    ``cells`` are (glottocode, onset_class, nucleus_bucket) rows in use."""
+    ``cells`` are (glottocode, onset_class, nucleus_bucket) rows in use. Only languages
+    count of which words were examined (``examined`` of ``languages``)."""
     by = ["onset_class", "nucleus_bucket"]
-    fams = family_or_self(languages)
+    fams = family_or_self(languages.where("examined > 0"))
     axes_o = cells.select("onset_class").distinct()
     axes_n = cells.select("nucleus_bucket").distinct()
     could = (inventory_cells(inventories).join(axes_o, "onset_class", "left_semi")
@@ -124,9 +139,10 @@ def observed_share(cells: DataFrame, inventories: DataFrame, languages: DataFram
 
 
 def region_share(postings: DataFrame, languages: DataFrame, unit: str = "families") -> DataFrame:
-    """Share of each region's families (or languages) that have each shape.
+    """Share of each region's families (or languages) that have each shape, also where none has.
 
-    The denominator is every language with any open form; thin regions are left out."""
+    The denominator is every language with any open form; thin regions are left out.
+    The regions, a handful, come as a list to each shape, so nothing is shuffled by region alone."""
     able = postings.select("glottocode").distinct()
     langs = languages.join(able, "glottocode", "left_semi")
     region = F.coalesce(F.nullif(F.col("macroarea"), F.lit("")), F.lit("Unlisted"))
@@ -137,7 +153,10 @@ def region_share(postings: DataFrame, languages: DataFrame, unit: str = "familie
                       & ((F.col("total") >= K.MIN_REGION_FAMILIES) if unit == "families" else F.lit(True)))
     hits = postings.select("shape", "glottocode").distinct().join(langs, "glottocode").groupBy("shape", "region").agg(
         F.count_distinct(item).alias("hits"))
-    return hits.join(base.select("region", "total"), "region").withColumn("share", F.col("hits") / F.col("total"))
+    regions = base.agg(F.collect_list(F.struct("region", "total")).alias("r")).select("r").scalar()
+    asked = postings.select("shape").distinct().select("shape", F.explode(regions).alias("x")).select("shape", "x.region", "x.total")
+    return (asked.join(hits, ["shape", "region"], "left").fillna(0, ["hits"])
+            .select("region", "shape", "hits", "total", (F.col("hits") / F.col("total")).alias("share")))
 
 
 def language_index(postings: DataFrame) -> DataFrame:
@@ -219,21 +238,23 @@ def rank_shapes(shapes: DataFrame, postings: DataFrame, languages: DataFrame) ->
         "rare", F.col("languages") == 1)
 
 
-def top_meanings(summary: DataFrame, sort: str = "reach", count_by: str = "families", limit: int = K.LIST_LIMIT) -> DataFrame:
-    """Meanings by reach, or only those beyond chance by their excess (ties by key)."""
+def top_meanings(summary: DataFrame, sort: str = "reach", count_by: str = "families", limit: int | None = None) -> DataFrame:
+    """Meanings by reach, or only those beyond chance by their excess (ties by key); the first ``limit`` if given."""
     reach = F.col("fam_count" if count_by == "families" else "lang_count")
     if sort == "beyond":
-        return summary.where("beyond > 0").orderBy(F.desc("gap"), reach.desc(), "ckey").limit(limit)
-    return summary.orderBy(reach.desc(), "shape_count", "ckey").limit(limit)
+        out = summary.where("beyond > 0").orderBy(F.desc("gap"), reach.desc(), "ckey")
+    else:
+        out = summary.orderBy(reach.desc(), "shape_count", "ckey")
+    return out.limit(limit) if limit else out
 
 
 def top_shape(postings: DataFrame) -> DataFrame:
-    return cross_language_shapes(postings.withColumn("shape", F.col("shape")), None).orderBy(
-        F.desc("languages"), "shape").limit(1)
+    """The shape of most languages (ties by shape), be it one."""
+    return postings.groupBy("shape").agg(F.count(F.lit(1)).alias("languages")).orderBy(F.desc("languages"), "shape").limit(1)
 
 
 def language_shapes(postings: DataFrame, shapes: DataFrame, languages: DataFrame, glosses: DataFrame,
-                    language: str, limit: int = K.SHAPE_LIMIT) -> DataFrame:
+                    language: str, limit: int | None = None) -> DataFrame:
     """One language's shapes: in sound order where meanings are known, else the widest shared first."""
     mine = postings.where(F.col("glottocode") == language)
     spread = shape_spread_elsewhere(postings.join(mine.select("shape"), "shape", "left_semi"), languages).where(
@@ -241,15 +262,20 @@ def language_shapes(postings: DataFrame, shapes: DataFrame, languages: DataFrame
     known = glosses.where((F.col("glottocode") == language)).agg((F.count(F.lit(1)) > 0).alias("k")).scalar()
     rank = ST.ordinal(F.col("onset_class"), K.ONSET_ORDER)
     out = mine.join(spread.drop("glottocode"), "shape").join(shapes.select("shape", "onset_class"), "shape")
-    return out.orderBy(F.when(~known, -F.col("other_families")), F.when(~known, -F.col("other_languages")),
-                       rank, "shape").limit(limit)
+    out = out.orderBy(F.when(~known, -F.col("other_families")), F.when(~known, -F.col("other_languages")), rank, "shape")
+    return out.limit(limit) if limit else out
 
 
 def gloss_preview(language_glosses: DataFrame, n: int = 3) -> DataFrame:
-    """First ``n`` glosses of every (language, shape), and how many more there are."""
+    """First ``n`` glosses of every (language, shape), and how many more there are.
+
+    Ranked in parts of a group first, of which ``n`` rows each are left for the group's own rank."""
     by = ["glottocode", "shape"]
-    first = language_glosses.withColumn("_r", F.row_number().over(
-        Window.partitionBy(*by).orderBy("seq", "gloss"))).where(F.col("_r") <= n)
+    part = F.pmod(F.xxhash64("gloss"), F.lit(64))
+    def rank(*keys):
+        return F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "gloss"))
+    few = language_glosses.withColumn("_p", part).withColumn("_r", rank(*by, "_p")).where(F.col("_r") <= n)
+    first = few.withColumn("_r", rank(*by)).where(F.col("_r") <= n)
     shown = first.groupBy(*by).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_r", "gloss"))), lambda x: x["gloss"]), ", ").alias("preview"))
     total = language_glosses.groupBy(*by).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - n).alias("more"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lexshape import constants as K
 from lexshape.functions import wording as W
@@ -33,10 +32,10 @@ def form_counts(languages: DataFrame, forms: DataFrame) -> DataFrame:
 def concept_entries(glosses: DataFrame, forms: DataFrame) -> DataFrame:
     """One row per (form, word, gloss) under its concept key; multiplicity is kept."""
     f = forms.select("glottocode", "shape", "tier_rank", "cc_rank", "under_review")
-    word = Window.partitionBy("glottocode", "shape", "tone")
-    g = glosses.drop("tier_rank").withColumns({
-        "ckey": W.concept_key(F.col("concepticon_id"), F.col("gloss")), "word_seq": F.min("seq").over(word)})
-    return g.join(f, ["glottocode", "shape"])
+    word = ["glottocode", "shape", "tone"]
+    first = glosses.groupBy(*word).agg(F.min("seq").alias("word_seq"))
+    g = glosses.drop("tier_rank").withColumn("ckey", W.concept_key(F.col("concepticon_id"), F.col("gloss")))
+    return g.join(first, word).join(f, ["glottocode", "shape"])
 
 
 def build_concepts(entries: DataFrame) -> DataFrame:

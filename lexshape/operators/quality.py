@@ -47,12 +47,15 @@ def audit_catalog(forms: DataFrame, languages: DataFrame, sources: DataFrame) ->
     moved = again.agg(
         F.count_if((F.col("segmental") != F.col("shape")) | (F.col("tone") != "")).alias("moved"),
         F.count_if(~C.is_clean(F.col("shape"))).alias("unclean"))
+    judged = rows.classify_openness(rows.canonicalize(shapes, ipa="shape", segmented=False, keep_nfd=True))
+    closed = judged.agg(F.count_if(~F.coalesce("is_open", F.lit(False))).alias("n"))
     licences = sources.agg(F.count_if(licence_id(F.col("license")).contains("-ND")).alias("n"))
     parts = [
         check("form counts add up", balance), check("one form per language and shape", twice),
         check("examined covers forms", short),
         check("canonical keys stay", moved.select(F.col("moved").alias("n"))),
         check("keys are clean", moved.select(F.col("unclean").alias("n"))),
+        check("shapes are open", closed),
         check("no blocked licence", licences)]
     out = parts[0]
     for p in parts[1:]:

@@ -18,10 +18,11 @@ def with_rates(languages: DataFrame) -> DataFrame:
     return languages.withColumns({"rate": ST.rate(k, n), "rate_lo": low, "rate_hi": high})
 
 
-def rank_languages(languages: DataFrame, limit: int = K.LIST_LIMIT) -> DataFrame:
-    """Languages by kind of sample, then by the lower bound of their rate (ties by code)."""
-    return with_rates(languages).orderBy(
-        ST.ordinal(F.col("sample"), K.SAMPLE_ORDER), F.desc("rate_lo"), F.desc("examined"), "glottocode").limit(limit)
+def rank_languages(languages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Languages by kind of sample, then by the lower bound of their rate (ties by code); the first ``limit`` if given."""
+    out = with_rates(languages).orderBy(
+        ST.ordinal(F.col("sample"), K.SAMPLE_ORDER), F.desc("rate_lo"), F.desc("examined"), "glottocode")
+    return out.limit(limit) if limit else out
 
 
 def _funnel_points(languages: DataFrame, sample: str) -> DataFrame:

@@ -362,11 +362,18 @@ ORACLES: dict[str, str] = {
     "heatmap": f"""WITH {POSTS}, b AS (SELECT onset_class, nucleus_bucket, glottocode, min(tier_rank) AS tier_rank FROM posts JOIN feats USING (shape) GROUP BY ALL),
         c AS (SELECT onset_class, nucleus_bucket, count(*) AS languages, count(DISTINCT family) FILTER (family <> '') AS families, {TIER_COUNTS} FROM b JOIN langs USING (glottocode) GROUP BY ALL)
         SELECT *, CASE WHEN families >= 40 THEN 4 WHEN families >= 30 THEN 3 WHEN families >= 20 THEN 2 WHEN families >= 10 THEN 1 WHEN families >= 5 THEN 0 ELSE -1 END AS step FROM c""",
+    "heatmap_grid": f"""WITH {POSTS}, b AS (SELECT onset_class, nucleus_bucket, glottocode, min(tier_rank) AS tier_rank FROM posts JOIN feats USING (shape) GROUP BY ALL),
+        a AS (SELECT o AS onset_class, n AS nucleus_bucket FROM (SELECT unnest([{', '.join(q(o) for o in K.ONSET_ORDER)}]) AS o), (SELECT unnest([{', '.join(q(n) for n in K.NUCLEUS_ORDER)}]) AS n)
+              UNION SELECT onset_class, nucleus_bucket FROM b),
+        c AS (SELECT onset_class, nucleus_bucket, count(glottocode) AS languages, count(DISTINCT family) FILTER (family <> '') AS families, {TIER_COUNTS}
+              FROM a LEFT JOIN (SELECT * FROM b JOIN langs USING (glottocode)) USING (onset_class, nucleus_bucket) GROUP BY ALL)
+        SELECT *, CASE WHEN families >= 40 THEN 4 WHEN families >= 30 THEN 3 WHEN families >= 20 THEN 2 WHEN families >= 10 THEN 1 WHEN families >= 5 THEN 0 ELSE -1 END AS step FROM c""",
     "heatmap_pivot": f"""WITH {POSTS} SELECT onset_class, {', '.join(f"count(DISTINCT family) FILTER (nucleus_bucket = {q(n)} AND family <> '') AS " + chr(34) + f"n_{n}" + chr(34) for n in K.NUCLEUS_ORDER)}
         FROM posts JOIN feats USING (shape) JOIN langs USING (glottocode) GROUP BY ALL""",
-    "observed_share": f"""WITH {ORDERS}, u AS (SELECT DISTINCT glottocode, onset_class, nucleus_bucket FROM os WHERE status = 'F'),
+    "observed_share": f"""WITH {ORDERS}, u AS (SELECT DISTINCT glottocode, onset_class, nucleus_bucket FROM os),
         c AS (SELECT a.onset_class, b.nucleus_bucket, oi.glottocode FROM (SELECT DISTINCT onset_class FROM u) a, (SELECT DISTINCT nucleus_bucket FROM u) b, oi
-              WHERE (a.onset_class = 'none' OR list_contains(onsets, a.onset_class)) AND list_contains(nuclei, b.nucleus_bucket)),
+              WHERE (a.onset_class = 'none' OR list_contains(onsets, a.onset_class)) AND list_contains(nuclei, b.nucleus_bucket)
+                AND oi.glottocode IN (SELECT glottocode FROM os WHERE status = 'F')),
         g AS (SELECT c.onset_class, c.nucleus_bucket, count(DISTINCT n_name) FILTER (u.glottocode IS NOT NULL) AS use, count(DISTINCT n_name) AS could
               FROM c JOIN customer ON c.glottocode = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN u USING (glottocode, onset_class, nucleus_bucket) GROUP BY ALL),
         r AS (SELECT *, use / could / (sum(use) OVER () / sum(could) OVER ()) AS ratio FROM g)
@@ -374,7 +381,8 @@ ORACLES: dict[str, str] = {
     **{f"region_share_{u}": f"""WITH {POSTS}, a AS (SELECT * FROM langs WHERE glottocode IN (SELECT glottocode FROM posts)),
         t AS (SELECT macroarea AS region, count(*) AS n, count(DISTINCT {c}) AS total FROM a GROUP BY ALL HAVING count(*) >= 5 AND ({q(u)} = 'languages' OR count(DISTINCT fam) >= 3)),
         h AS (SELECT shape, macroarea AS region, count(DISTINCT {c}) AS hits FROM posts JOIN a USING (glottocode) GROUP BY ALL)
-        SELECT region, shape, hits, total, round(hits / total, 6) AS share FROM h JOIN t USING (region)""" for u, c in (("families", "fam"), ("languages", "glottocode"))},
+        SELECT region, shape, coalesce(hits, 0) AS hits, total, round(coalesce(hits, 0) / total, 6) AS share
+        FROM t CROSS JOIN (SELECT DISTINCT shape FROM posts) LEFT JOIN h USING (region, shape)""" for u, c in (("families", "fam"), ("languages", "glottocode"))},
     "tone_words": f"WITH {POSTS} SELECT glottocode, sum(greatest(1, tones))::bigint AS words, count(*) FILTER (tones > 1) AS multi_tone_shapes FROM posts GROUP BY ALL",
     "tone_splits": f"WITH {POSTS} SELECT shape, count(*) AS languages, sum(tones)::bigint AS words FROM posts WHERE tones > 1 GROUP BY ALL",
     "language_grid": f"""WITH {POSTS}, g AS (SELECT glottocode, onset_class, nucleus_bucket, count(*) AS shapes FROM posts JOIN (SELECT shape, onset_class, nucleus_bucket FROM feats) USING (shape) GROUP BY ALL)
@@ -390,13 +398,13 @@ ORACLES: dict[str, str] = {
     "rank_shapes": f"""WITH {POSTS}, s AS (SELECT shape, count(*) AS languages, count(DISTINCT family) FILTER (family <> '') AS families FROM posts JOIN langs USING (glottocode) GROUP BY ALL)
         SELECT s.shape, s.languages, families, onset_class, nucleus_bucket, row_number() OVER (PARTITION BY onset_class, nucleus_bucket ORDER BY families DESC, s.languages DESC, s.shape)::int AS rank, s.languages = 1 AS rare
         FROM s JOIN (SELECT shape, onset_class, nucleus_bucket FROM feats) USING (shape)""",
-    "top_meanings": f"WITH {SUMMARY} SELECT ckey, label, fam_count, shape_count FROM cs ORDER BY fam_count DESC, shape_count, ckey LIMIT 300",
+    "top_meanings": f"WITH {SUMMARY} SELECT ckey, label, fam_count, shape_count FROM cs",
     "top_shape": f"WITH {POSTS} SELECT shape, count(*) AS languages FROM posts GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 1",
     "language_shapes": f"""WITH {POSTS}, x AS (SELECT shape, glottocode, fam, tier_rank, tones FROM posts JOIN langs USING (glottocode)),
         m AS (SELECT a.shape, a.tier_rank, a.tones, count(b.glottocode) AS other_languages, count(DISTINCT b.fam) FILTER (b.fam <> a.fam) AS other_families
               FROM x a LEFT JOIN x b ON a.shape = b.shape AND a.glottocode <> b.glottocode WHERE a.glottocode = 'fr-src0' GROUP BY ALL)
         SELECT m.shape, onset_class, m.tier_rank, m.tones, other_languages, other_families FROM m JOIN (SELECT shape, onset_class FROM feats) USING (shape)
-        ORDER BY list_position([{', '.join(q(o) for o in K.ONSET_ORDER)}], onset_class), m.shape LIMIT 400""",
+        ORDER BY list_position([{', '.join(q(o) for o in K.ONSET_ORDER)}], onset_class), m.shape""",
     "compare_forms": f"""WITH {POSTS}, f AS (SELECT * FROM forms JOIN (SELECT glottocode, name FROM langs) USING (glottocode)
             WHERE (glottocode, shape) IN (('fr-src0', 'la'), ('es-src1', 'la'), ('en-src2', 'the'), ('de-src3', 'de'))),
         x AS (SELECT glottocode, shape, unnest(['tones', 'language', 'tier', 'openness', 'review', 'sources']) AS attribute,
@@ -411,7 +419,7 @@ ORACLES: dict[str, str] = {
         FROM c LEFT JOIN bh USING (ckey, shape)""",
     "wilson_rates": f"WITH {YIELD} SELECT glottocode, form_count, examined, round(rate, 9) AS rate, round(rate_lo, 9) AS rate_lo, round(rate_hi, 9) AS rate_hi FROM yr",
     "rank_languages": f"""WITH {YIELD} SELECT glottocode, sample, examined, round(rate_lo, 9) AS rate_lo FROM (
-        SELECT * FROM yr ORDER BY CASE sample WHEN 'word list' THEN 0 ELSE 2 END, rate_lo DESC, examined DESC, glottocode LIMIT 300)""",
+        SELECT * FROM yr)""",
     "funnel": f"WITH {YIELD} SELECT glottocode, round(rate, 9) AS rate, round(limit_lo, 9) AS limit_lo, round(limit_hi, 9) AS limit_hi, position FROM fp",
     "funnel_summary": f"WITH {YIELD} SELECT count(*) AS points, round(max(p0), 9) AS p0, count(*) FILTER (position = 'above') AS above, count(*) FILTER (position = 'below') AS below, round(count(*) FILTER (position <> 'inside') / count(*), 9) AS outside FROM fp HAVING count(*) > 0",
     "typology_quartiles": f"WITH {YIELD} SELECT syllable_structure, languages, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, readable FROM tq",
@@ -432,8 +440,12 @@ ORACLES: dict[str, str] = {
     "chance_bands": f"WITH {BANDS} SELECT ckey, shape, obs, lo, hi, q FROM bh",
     "baseline_summary": f"WITH {BANDS} SELECT (SELECT h FROM hp) AS hypotheses, count(*) AS tested, count(*) FILTER (q <= 0.05) AS beyond, 0.05::double AS fdr FROM bh",
     "beyond_chance": f"WITH {BANDS} SELECT ckey, count(*) AS beyond, max(obs - hi)::int AS gap FROM bh WHERE q <= 0.5 GROUP BY ckey",
-    "audit_catalog": f"""WITH {POSTS} SELECT unnest(['form counts add up', 'one form per language and shape', 'examined covers forms', 'canonical keys stay', 'keys are clean', 'no blocked licence']) AS "check",
-        unnest([0, 0, 0, 0, 0, (SELECT count(*) FROM src WHERE license = 'CC-BY-ND-4.0')])::bigint AS violations""",
+    "audit_catalog": f"""WITH {POSTS} SELECT unnest(['form counts add up', 'one form per language and shape', 'examined covers forms', 'canonical keys stay', 'keys are clean', 'shapes are open', 'no blocked licence']) AS "check",
+        unnest([(SELECT abs(sum(n) - count(*)) FROM (SELECT *, count(*) OVER (PARTITION BY glottocode, shape) AS n FROM forms)), (SELECT count(*) - count(DISTINCT (glottocode, shape)) FROM forms),
+          (SELECT count(*) FROM (SELECT glottocode, count(DISTINCT shape) AS f FROM jv WHERE status = 'open' GROUP BY ALL) JOIN
+            (SELECT glottocode, count(DISTINCT segments) AS e FROM jv WHERE status <> 'unclean' GROUP BY ALL) USING (glottocode) WHERE e < f),
+          (SELECT count(DISTINCT shape) FROM jv WHERE status = 'open' AND NOT clean), (SELECT count(DISTINCT shape) FROM jv WHERE status = 'open' AND NOT clean),
+          (SELECT count(DISTINCT shape) FROM jv WHERE status = 'open' AND NOT is_open), (SELECT count(*) FROM src WHERE license = 'CC-BY-ND-4.0')])::bigint AS violations""",
     "build_tripwires": f"""WITH {POSTS}, x AS (SELECT sum(strlen('{{"shape":"' || shape || '","glottocode":"' || glottocode || '","tier_rank":' || tier_rank || '}}'))::bigint AS bytes, count(DISTINCT shape) AS chunks FROM posts)
         SELECT bytes, chunks, bytes > 5000000 AS too_large, chunks > 15000 AS too_many_chunks FROM x""",
     "read_wordlist": f"""WITH {PARTS} SELECT 'g-' || p_brand AS glottocode, ipa, CASE WHEN p_type <> 'SMALL' THEN upper(left(p_type, 1)) || lower(substr(p_type, 2)) ELSE p_type END AS gloss,
@@ -444,6 +456,7 @@ ORACLES: dict[str, str] = {
     "read_glosses": """SELECT p_name || ' ' || p_partkey AS word, least(3, count(DISTINCT l_linenumber)) AS senses, max(length(p_type) + 2)::int AS longest
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 5 GROUP BY ALL""",
     "write_index": f"WITH {POSTS} SELECT * FROM posts",
+    "write_index_tables": f"WITH {POSTS} SELECT shape, glottocode, tier_rank, onset_class FROM posts JOIN (SELECT shape, onset_class FROM feats) USING (shape) WHERE shape IN ('de', 'la')",
     "export_json": f"WITH {POSTS} SELECT *, 'u' || array_to_string(list_transform(string_split(shape, ''), lambda c: lpad(lower(to_hex(ord(c))), 4, '0')), '-') AS slug FROM feats",
     "merge_release": f"""WITH {FORMS} SELECT glottocode, shape, tier_rank, cc_rank, under_review, tones, array_to_string(list_sort(string_split(sources, '|')), '|') AS sources, preferred_source FROM forms""",
 }

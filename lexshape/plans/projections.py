@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from lexshape import constants as K
 
 TOKEN = r"\p{L}+"
-_POSITION_BITS = 24   # room for 16.7 million words per text
+_PLACES = 10 ** 12    # more than any text has words; ``seq`` is a decimal, so no id is too large either
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
-    """Deal a small table out over all cores; a large one already has splits enough.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal texts out evenly: they grow manifold when they are cut into words, and files differ in size.
 
-    Texts grow manifold when they are cut into words, and a small file is a
-    single split. The check reads the planner's size, nothing is counted."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+    One shuffle of the texts, small beside the rules that run on their words."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 # --- words: documents -> entries ---------------------------------------------
@@ -31,10 +29,10 @@ def document_source(source: str = "source", doc_id: str = "doc_id") -> Column:
     return F.concat(F.col(source), F.lit("/"), (F.col(doc_id) % 6).cast("string"))
 
 
-def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True) -> DataFrame:
+def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True, doc_id: bool = False) -> DataFrame:
     """Every word of every text as an entry of its variety (language and source).
 
-    ``seq`` orders entries by text, then by position in the text."""
+    ``seq`` orders entries by text, then by position in the text. ``doc_id`` keeps the text's id."""
     d = table(spark, sf_dir, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     group = F.col("doc_id") % 40
@@ -55,9 +53,9 @@ def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True) -> Data
     texts = spread(d.select(*per_text))
     cut = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(words).alias("pos", "ipa"))
     out = cut.select(
-        *[c for c in texts.columns if c not in ("doc_id", "text")], "ipa", F.lit(False).alias("segmented"),
+        *[c for c in texts.columns if c not in ([] if doc_id else ["doc_id"]) + ["text"]], "ipa", F.lit(False).alias("segmented"),
         F.lit(None).cast("string").alias("exclude"),
-        (F.shiftleft(F.col("doc_id"), _POSITION_BITS) + F.col("pos")).alias("seq"))
+        (F.col("doc_id").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(13,0)") + F.col("pos")).alias("seq"))
     return out.withColumn("linked_by", F.lit(None).cast("string")) if glosses else out
 
 

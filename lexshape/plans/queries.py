@@ -64,8 +64,8 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
 
 def document_entries(spark: SparkSession, d: str) -> DataFrame:
     """Words with the text itself as language: many small samples."""
-    e = P.word_entries(spark, d, glosses=False)
-    return e.withColumn("glottocode", F.shiftright("seq", 24).cast("string"))
+    e = P.word_entries(spark, d, glosses=False, doc_id=True)
+    return e.withColumn("glottocode", F.col("doc_id").cast("string")).drop("doc_id")
 
 
 def document_judged(spark: SparkSession, d: str) -> DataFrame:
@@ -563,10 +563,19 @@ def heatmap_pivot(spark, d):
     return X.heatmap_pivot(grid).select("onset_class", *[F.col(n).alias(f"n_{n}") for n in K.NUCLEUS_ORDER])
 
 
+@query
+def heatmap_grid(spark, d):
+    """The grid with its empty cells."""
+    f = settled_forms(spark, d)
+    return X.heatmap_grid(X.heatmap(IX.shape_features(f), IX.postings(f), P.word_languages(spark, d)))
+
+
 @query
 def observed_share(spark, d):
-    cells = P.order_sounds(spark, d).where("status = 'F'")
-    o = X.observed_share(cells, P.order_inventories(spark, d), P.customer_languages(spark, d))
+    """Sounds used together over all orders; a customer counts as examined by finished orders."""
+    cells = P.order_sounds(spark, d)
+    examined = cells.groupBy("glottocode").agg(F.count_if(F.col("status") == "F").alias("examined"))
+    o = X.observed_share(cells, P.order_inventories(spark, d), P.customer_languages(spark, d).join(examined, "glottocode"))
     return o.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -864,6 +873,17 @@ def write_index(spark, d):
     return spark.read.parquet(path).drop("bucket")
 
 
+@query
+def write_index_tables(spark, d):
+    """Postings by shape and shapes as one table, written together; the postings of two shapes read back by key."""
+    path = scratch_path(spark, "tables")
+    f = settled_forms(spark, d)
+    sinks.write_index({"postings": IX.postings(f), "shapes": IX.shape_features(f)}, path, {"postings": "shape"}, buckets=16)
+    shapes = spark.read.parquet(f"{path}/shapes").select("shape", "onset_class")
+    found = sinks.read_key(spark, f"{path}/postings", "shape", "de").unionByName(sinks.read_key(spark, f"{path}/postings", "shape", "la"))
+    return found.join(shapes, "shape").select("shape", "glottocode", "tier_rank", "onset_class")
+
+
 @query
 def export_json(spark, d):
     """Shape features exported as JSON lines and read back."""
@@ -877,9 +897,9 @@ def export_json(spark, d):
 def merge_release(spark, d):
     """A first build over half of the texts, then a release with the other half: the whole
     table, and the same forms as one full build."""
-    e = P.word_entries(spark, d, glosses=False)
+    e = P.word_entries(spark, d, glosses=False, doc_id=True)
     s = P.word_sources(spark, d)
-    odd = F.shiftright("seq", 24) % 2 == 1
+    odd = F.col("doc_id") % 2 == 1
     first = settle(RL.release_state(CAT.judge_entries(e.where(~odd), s, glosses=False)))
     f = RL.forms_of_release(RL.merge_release(first, e.where(odd), s))
     return f.select("glottocode", "shape", "tier_rank", "cc_rank", "under_review", joined("tones").alias("tones"),

@@ -9,26 +9,41 @@ from pyspark.sql import functions as F
 
 from lexshape.functions.unicode import slug
 
+LAYOUT = "_layout"    # readers of the table pass over names with an underscore
 
-def write_partitioned(table: DataFrame, path: str, key: str, buckets: int = 64, dynamic: bool = False) -> None:
-    """Write a table by hashed buckets of its key.
+
+def write_partitioned(table: DataFrame, path: str, key: str, buckets: int, dynamic: bool = False) -> None:
+    """Write a table by hashed buckets of its key; their number and the key's type are kept beside the data.
 
     One folder per bucket, not per key (keys are thousands). A reader that knows
     the key prunes to one bucket: see ``read_key``. ``dynamic`` rebuilds only the
     buckets present; the default replaces the table, so nothing stale stays."""
     bucketed = table.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    writer = bucketed.repartition("bucket", F.xxhash64(*table.columns) % 8).sortWithinPartitions("bucket", key).write
+    # the rebalance hint cuts large buckets into files by their size
+    writer = bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write
     mode = "dynamic" if dynamic else "static"
+    spark, layout = table.sparkSession, {"key": key, "type": table.schema[key].dataType.simpleString(), "buckets": buckets}
+    if dynamic and (kept := _layout(spark, path)) != layout:
+        raise ValueError(f"{path} is laid out by {kept}, not by {layout}")
     writer.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
+    spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{LAYOUT}")
+
+
+def _layout(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/{LAYOUT}").first()["value"])
 
 
-def read_key(spark: SparkSession, path: str, key: str, value: str, buckets: int = 64) -> DataFrame:
-    """Rows of one key; only its bucket folder is scanned."""
-    at = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int")).first()[0]
-    return spark.read.parquet(path).where((F.col("bucket") == at) & (F.col(key) == value)).drop("bucket")
+def read_key(spark: SparkSession, path: str, key: str, value: object) -> DataFrame:
+    """Rows of one key; only its bucket folder is scanned. The layout kept beside the data says which."""
+    layout = _layout(spark, path)
+    if key != layout["key"]:
+        raise ValueError(f"{path} is laid out by {layout['key']}, not by {key}")
+    typed = F.lit(value).cast(layout["type"])
+    at = spark.range(1).select(F.pmod(F.xxhash64(typed), F.lit(layout["buckets"])).cast("int")).first()[0]
+    return spark.read.parquet(path).where((F.col("bucket") == at) & (F.col(key) == typed)).drop("bucket")
 
 
-def write_index(tables: dict[str, DataFrame], path: str, keys: dict[str, str], buckets: int = 64) -> None:
+def write_index(tables: dict[str, DataFrame], path: str, keys: dict[str, str], buckets: int) -> None:
     """Write the index tables; those with a key are bucketed by it."""
     for name, table in tables.items():
         if name in keys:

@@ -1,10 +1,12 @@
 """Where written intermediates go."""
 
+import pytest
+
 from lexshape import session
 
 
 class _Context:
-    folder = None
+    folder, master = None, "local[2]"
 
     def getCheckpointDir(self):
         return self.folder
@@ -27,6 +29,14 @@ def test_the_named_folder_is_used_and_one_is_made_only_where_none_is_named():
     assert session.scratch_path(bare, "t").startswith(first + "/lexshape/t-")
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    bare = _Session(None)
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        bare.sparkContext.master = master
+        with pytest.raises(ValueError):
+            session.checkpoint_root(bare)
+
+
 def test_settled_tables_are_equal_and_have_no_lineage(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string").repartition(2)
     kept = session.settle(df)

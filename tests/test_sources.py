@@ -88,7 +88,7 @@ def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([("ma", "x", 1), ("ma", "y", 2), ("ti", "x", 3)], "shape string, glottocode string, n int")
     path = str(tmp_path / "t")
     sinks.write_partitioned(t, path, "shape", buckets=8)
-    hit = sinks.read_key(spark, path, "shape", "ma", buckets=8)
+    hit = sinks.read_key(spark, path, "shape", "ma")
     assert sorted(r["n"] for r in hit.collect()) == [1, 2]
     assert "PartitionFilters: [isnotnull(bucket" in hit._jdf.queryExecution().executedPlan().toString()
     sinks.write_partitioned(t.where("shape = 'ti'").withColumn("n", F.lit(9)), path, "shape", buckets=8, dynamic=True)
