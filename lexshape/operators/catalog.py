@@ -237,7 +237,7 @@ def merge_languages(languages: DataFrame) -> DataFrame:
     ).select("glottocode", "a.*", "family")
 
 
-_ROWS = 10 ** 19      # more than a 64-bit ``seq`` can number
+_ROWS = 10 ** 34      # more than any dataset's own ``seq``
 
 
 def union_datasets(*tables: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def union_datasets(*tables: DataFrame) -> DataFrame:
     for i, t in enumerate(tables):
         t = t.withColumn("dataset_ord", F.lit(i))
         if "seq" in t.columns:
-            t = t.withColumn("seq", F.col("seq").cast("decimal(20,0)") + F.lit(str(i * _ROWS)).cast("decimal(30,0)"))
+            t = t.withColumn("seq", (F.col("seq").cast("decimal(34,0)") + F.lit(str(i * _ROWS)).cast("decimal(38,0)")).cast("decimal(38,0)"))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 

@@ -451,6 +451,7 @@ ORACLES: dict[str, str] = {
     "read_wordlist": f"""WITH {PARTS} SELECT 'g-' || p_brand AS glottocode, ipa, CASE WHEN p_type <> 'SMALL' THEN upper(left(p_type, 1)) || lower(substr(p_type, 2)) ELSE p_type END AS gloss,
         CASE WHEN p_type <> 'PROMO' THEN length(p_type) END::bigint AS concepticon_id, 'parts' AS source, seg <> '' AS segmented, CASE WHEN seg = '' THEN 'spelling without rules' END AS exclude, count(*) AS entries
         FROM pi WHERE ipa IS NOT NULL AND p_brand NOT LIKE '%4' AND p_brand NOT LIKE '%9' GROUP BY ALL""",
+    "build_catalog": f"""WITH {PARTS} SELECT 'parts' || k AS dataset, (SELECT count(*) FROM pi WHERE ipa IS NOT NULL AND p_partkey % 3 = k AND k < 2) AS entries, k = 2 AS skipped FROM (SELECT unnest([0, 1, 2]) AS k)""",
     "read_pronunciations": f"""WITH {PARTS} SELECT upper(replace(p_brand, '#', '')) AS glottocode, sp AS ipa, CASE WHEN p_type <> 'SMALL' AND p_brand NOT LIKE '%1' THEN p_type END AS gloss, count(*) AS entries
         FROM pt WHERE p_name NOT LIKE 'red%' AND p_brand <> 'Brand#7' GROUP BY ALL""",
     "read_glosses": """SELECT p_name || ' ' || p_partkey AS word, least(3, count(DISTINCT l_linenumber)) AS senses, max(length(p_type) + 2)::int AS longest

@@ -24,6 +24,7 @@ from lexshape.operators import quality as Q
 from lexshape.operators import rates as R
 from lexshape.operators import rows as RW
 from lexshape.operators import typology as TY
+from lexshape.plans import build as BD
 from lexshape.plans import projections as P
 from lexshape.session import scratch_path, settle
 from lexshape.sources import pronunciations as PR
@@ -830,6 +831,22 @@ def read_wordlist(spark, d):
         "glottocode", "ipa", "gloss", "concepticon_id", "source", "segmented", "exclude").agg(F.count(F.lit(1)).alias("entries"))
 
 
+@query
+def build_catalog(spark, d):
+    """Parts as three word lists, one of them under a blocked licence, built, published and read back: the report."""
+    root, path = scratch_path(spark, "lists"), scratch_path(spark, "catalog")
+    opts = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+    rows, p = part_wordlist(spark, d), P.table(spark, d, "part")
+    for k, licence in enumerate(("by", "by-sa", "by-nd")):
+        own = f"{root}/parts{k}"
+        rows.where(F.col("row") % 3 == k).drop("row").write.options(**opts).csv(f"{own}/forms.csv")
+        p.select(F.col("p_brand").alias("ID"), F.col("p_brand").alias("Name"), F.concat(F.lit("g-"), "p_brand").alias("Glottocode")).distinct().write.options(**opts).csv(f"{own}/languages.csv")
+        p.select(F.col("p_type").alias("ID"), F.initcap("p_type").alias("Name"), F.lit("").alias("Concepticon_ID")).distinct().write.options(**opts).csv(f"{own}/parameters.csv")
+        spark.createDataFrame([(f'{{"rdf:ID": "parts{k}", "dc:license": "https://creativecommons.org/licenses/{licence}/4.0/"}}',)], "value string").coalesce(1).write.text(f"{own}/metadata.json")
+    BD.publish(BD.build_catalog(spark, root), path, "v1", buckets=4)
+    return BD.published(spark, path, "report").select("dataset", "entries", F.col("reason").isNotNull().alias("skipped"))
+
+
 @query
 def read_pronunciations(spark, d):
     """Parts written as one pronunciation file per brand, with senses, and read back."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexshape import constants as K
 from lexshape.functions import wording as W
 from lexshape.functions.unicode import strip
+from lexshape.sources.ordering import with_file_order
 
 LANGUAGE_MAP = (
     "iso string, glottocode string, name string, macroarea string, latitude double, longitude double, "
@@ -55,9 +56,8 @@ def pronunciation_entries(words: DataFrame, languages: DataFrame, glosses: DataF
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line of the ``*.tsv`` files (or folders) under ``path`` with its file's code."""
-    return spark.read.text(path, recursiveFileLookup=True).select(
-        F.regexp_extract("_metadata.file_path", _FILE, 1).alias("iso"), "value",
-        F.monotonically_increasing_id().alias("line")).where("iso <> ''")
+    lines = spark.read.text(path, recursiveFileLookup=True)
+    return with_file_order(lines, "line", F.regexp_extract("_metadata.file_path", _FILE, 1).alias("iso"), "value").where("iso <> ''")
 
 
 def read_pronunciations(spark: SparkSession, path: str, languages: DataFrame, glosses: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from lexshape import constants as K
 from lexshape import schemas
 from lexshape.functions import wording as W
 from lexshape.functions.unicode import strip
+from lexshape.sources.ordering import with_file_order
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,7 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], sep: str
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     # quoted fields may hold line breaks, so a file is parsed as a whole, by one task per file
     table = spark.read.options(**options, multiLine=True).schema(schema).csv(path)
-    return table.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns],
-                        F.monotonically_increasing_id().alias("row"))
+    return with_file_order(table, "row", *[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def read_metadata(spark: SparkSession, path: str, default_tier: str = "curated") -> DataFrame:
