@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexshape import constants as K
@@ -63,58 +63,66 @@ def audit_catalog(forms: DataFrame, languages: DataFrame, sources: DataFrame) ->
     return out
 
 
+def _literal_map(pairs: dict[str, Column]) -> Column:
+    return F.create_map(*[c for k, v in pairs.items() for c in (F.lit(k), v)])
+
+
 def renderability(shapes: DataFrame, column: str = "shape") -> DataFrame:
     """Can a phone table voice each shape? Phones, and whether any is an approximation.
 
     A glottal mark is a glottal stop at the start of a shape and an unvoiced
-    modifier later. Letters that the table lacks make the shape unvoiceable."""
-    spark = shapes.sparkSession
-    table = spark.createDataFrame(phone_table(), "letter string, phone string, approximate boolean")
-    letters = (shapes.select(column).distinct().withColumn("_nfd", U.nfd(F.col(column)))
-               .select(column, F.posexplode(F.filter(F.split("_nfd", ""), lambda c: c != "")).alias("pos", "letter")))
-    glottal = F.col("letter").isin(*GLOTTAL_MARKS)
-    modifier = (F.col("letter").isin(*DROPPED_MODIFIERS) | F.col("letter").rlike(U.combining())) & F.col("phone").isNull()
-    spoken = letters.join(table, "letter", "left")
-    # a glottal mark opens the shape when only silent modifiers stand before it
-    real = ~glottal & ~modifier
-    first_real = spoken.groupBy(column).agg(F.min(F.when(real, F.col("pos"))).alias("first_real"),
-                                            F.min(F.when(glottal, F.col("pos"))).alias("first_glottal"))
-    placed = spoken.join(first_real, column)
-    opening = glottal & (F.col("pos") == F.col("first_glottal")) & (
-        F.col("first_real").isNull() | (F.col("first_glottal") < F.col("first_real")))
-    phone = F.when(opening, "?").when(glottal | modifier, F.lit(None).cast("string")).otherwise(F.col("phone"))
-    missing = real & F.col("phone").isNull()
-    lossy = (glottal & ~opening) | modifier | F.coalesce(F.col("approximate"), F.lit(False))
-    # a shape is one word: its letters are a short list
+    modifier later. Letters that the table lacks make the shape unvoiceable.
+    The table is a literal map over the letters of a shape: no join, no shuffle but the distinct."""
+    table = _literal_map({letter: F.struct(F.lit(phone).alias("phone"), F.lit(approximate).alias("approximate")) for letter, phone, approximate in phone_table()})
+
+    def place(c: Column, i: Column) -> Column:
+        known = F.try_element_at(table, c)
+        glottal = c.isin(*GLOTTAL_MARKS)
+        modifier = (c.isin(*DROPPED_MODIFIERS) | c.rlike(U.combining())) & known["phone"].isNull()
+        return F.struct(i.alias("pos"), glottal.alias("glottal"), modifier.alias("modifier"), known["phone"].alias("phone"),
+                        F.coalesce(known["approximate"], F.lit(False)).alias("approximate"))
+
+    def first(condition) -> Column:
+        return F.array_min(F.transform(F.filter("_at", condition), lambda x: x["pos"]))
+
+    def real(x: Column) -> Column:
+        return ~x["glottal"] & ~x["modifier"]
+
+    def opening(x: Column) -> Column:
+        # a glottal mark opens the shape when only silent modifiers stand before it
+        return x["glottal"] & (x["pos"] == F.col("_glottal")) & (F.col("_real").isNull() | (F.col("_glottal") < F.col("_real")))
+
+    def lossy(x: Column) -> Column:
+        return (x["glottal"] & ~opening(x)) | x["modifier"] | x["approximate"]
+
+    def spoken(x: Column) -> Column:
+        return F.when(opening(x), "?").when(~x["glottal"] & ~x["modifier"], x["phone"])
+
+    letters = F.filter(F.split(U.nfd(F.col(column)), ""), lambda c: c != "")
+    out = (shapes.select(column).distinct().withColumn("_at", F.transform(letters, place)).where("size(_at) > 0")
+           .withColumns({"_real": first(real), "_glottal": first(lambda x: x["glottal"])})
+           .withColumns({"_missing": first(lambda x: real(x) & x["phone"].isNull()), "_lossy": first(lossy),
+                         "_phones": F.array_join(F.transform("_at", spoken), " ")}))
     # the verdict stops at the first letter without a phone
-    out = placed.groupBy(column).agg(
-        F.bool_or(missing).alias("missing"),
-        (F.min(F.when(lossy, F.col("pos"))) < F.coalesce(F.min(F.when(missing, F.col("pos"))), F.lit(2 ** 31 - 1))).alias("lossy"),
-        F.array_sort(F.collect_list(F.when(phone.isNotNull(), F.struct("pos", phone.alias("phone"))))).alias("ph"))
-    phones = F.array_join(F.transform("ph", lambda x: x["phone"]), " ")
-    voiced = ~F.col("missing") & (phones != "")
-    return out.select(column, F.when(voiced, phones).alias("phones"), F.coalesce("lossy", F.lit(False)).alias("lossy"), voiced.alias("renderable"))
+    voiced = F.col("_missing").isNull() & (F.col("_phones") != "")
+    return out.select(
+        column, F.when(voiced, F.col("_phones")).alias("phones"),
+        F.coalesce(F.col("_lossy") < F.coalesce("_missing", F.lit(2 ** 31 - 1)), F.lit(False)).alias("lossy"), voiced.alias("renderable"))
 
 
 def describe_shapes(shapes: DataFrame, column: str = "shape") -> DataFrame:
-    """A plain-language reading of every shape, segment by segment."""
-    spark = shapes.sparkSession
-    hints = spark.createDataFrame(hint_table(), "letter string, role string, hint string")
-    sounds = hints.where("role = 'sound'").select(F.col("letter").alias("base"), F.col("hint").alias("sound"))
-    marks = hints.where("role = 'mark'").select(F.col("letter").alias("mark"), F.col("hint").alias("note"))
+    """A plain-language reading of every shape, segment by segment, from literal maps of sounds and marks."""
+    sounds, marks = (_literal_map({letter: F.lit(hint) for letter, role, hint in hint_table() if role == kind}) for kind in ("sound", "mark"))
     prefix = U.chars(PREFIX_MARKS)
     trailing = U.chars("".join(m for m, role, _ in hint_table() if role == "mark" and m not in PREFIX_MARKS))
     one = f"(?s)[{prefix}]*[^{prefix}][\\p{{M}}{trailing}]*"
-    segments = (shapes.select(column).distinct().withColumn("_nfd", U.nfd(F.col(column)))
-                .select(column, F.posexplode(F.regexp_extract_all("_nfd", F.lit(one), F.lit(0))).alias("pos", "seg")))
-    base = F.regexp_extract("seg", f"(?s)^[{prefix}]*([^{prefix}])", 1)
-    listed = segments.withColumn("base", base).withColumn(
-        "marks", F.filter(F.split(F.regexp_replace("seg", f"(?s)^([{prefix}]*)[^{prefix}]", "$1"), ""), lambda c: c != ""))
-    noted = (listed.select(column, "pos", F.posexplode("marks").alias("at", "mark")).join(marks, "mark")
-             .groupBy(column, "pos").agg(F.array_join(F.transform(
-                 F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: F.concat(F.lit(", "), x["note"])), "").alias("notes")))
-    said = (listed.select(column, "pos", "base").join(sounds, "base", "left").join(noted, [column, "pos"], "left")
-            .withColumn("say", F.concat(F.coalesce("sound", F.lit(NO_MATCH)),
-                                        F.coalesce("notes", F.lit("")))))
-    return said.groupBy(column).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "say"))), lambda x: x["say"]), ", then ").alias("reading"))
+
+    def say(seg: Column) -> Column:
+        base = F.regexp_extract(seg, f"(?s)^[{prefix}]*([^{prefix}])", 1)
+        signs = F.split(F.regexp_replace(seg, f"(?s)^([{prefix}]*)[^{prefix}]", "$1"), "")
+        notes = F.transform(signs, lambda m: F.concat(F.lit(", "), F.try_element_at(marks, m)))
+        return F.concat(F.coalesce(F.try_element_at(sounds, base), F.lit(NO_MATCH)), F.array_join(notes, ""))
+
+    segments = F.regexp_extract_all(U.nfd(F.col(column)), F.lit(one), F.lit(0))
+    return (shapes.select(column).distinct().withColumn("_segments", segments).where("size(_segments) > 0")
+            .select(column, F.array_join(F.transform("_segments", say), ", then ").alias("reading")))

@@ -1,6 +1,7 @@
 """Compare registered queries with their oracle SQL: python tests/oracle_check.py [sf_dir] [names...]"""
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -18,6 +19,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session(cores: int = 8) -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
