@@ -58,18 +58,16 @@ def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFra
 
     The pairs are never materialised. Meanings and shapes are hashed into blocks;
     a task gets one block of each with the languages that have them and counts
-    the pairs by one boolean matrix product per family. Shuffled rows are the
-    two incidence tables times the other side's block count."""
+    the pairs by one boolean matrix product per family. A row goes only to those
+    blocks of the other side that its own language has."""
     meanings, m_blocks = _block_side(meaning_counts(counts), "ckey", min_could)
     shapes, s_blocks = _block_side(shape_counts(counts), "shape", min_could)
     mb, sb = m_blocks.scalar(), s_blocks.scalar()
-    one = F.lit(1).cast("bigint")
-    left = meanings.select(
-        F.pmod(F.xxhash64("ckey"), mb).alias("mb"), F.explode(F.sequence(F.lit(0).cast("bigint"), sb - one)).alias("sb"),
-        F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("ckey").alias("item"))
-    right = shapes.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), mb - one)).alias("mb"), F.pmod(F.xxhash64("shape"), sb).alias("sb"),
-        F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("shape").alias("item"))
+    meanings = meanings.select(F.pmod(F.xxhash64("ckey"), mb).alias("mb"), F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("ckey").alias("item"))
+    shapes = shapes.select(F.pmod(F.xxhash64("shape"), sb).alias("sb"), F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("shape").alias("item"))
+    columns = [F.col(c).alias(c) for c in ("mb", "sb", "fam", "lang", "item")]      # own names on either side of the cogroup
+    left = meanings.join(shapes.select("lang", "sb").distinct(), "lang").select(*columns)
+    right = shapes.join(meanings.select("lang", "mb").distinct(), "lang").select(*columns)
 
     def count_block(l, r):
         import numpy as np
@@ -169,24 +167,31 @@ def benjamini_hochberg(tested: DataFrame, hypotheses: DataFrame, p: str = "p") -
     """Add ``q``, the adjusted p-value over ``hypotheses`` (a one-row table).
 
     q depends on p alone (ties share the last rank), so it is computed once per
-    distinct p. Ranks and the running minimum are taken in two levels: inside
-    value buckets (1/4096 of a binade, so a monotone function of p), and over the
-    bucket totals, whose number the doubles limit. No window sees the whole table."""
+    distinct p. Ranks and the running minimum are taken in three levels: inside
+    value buckets (1/4096 of a binade, so a monotone function of p), over the
+    buckets of a binade, and over the binades, of which doubles have some 1,100."""
     per_p = tested.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     e = F.floor(F.log2("_p"))
     bucket = F.when(F.col("_p") <= 0, F.lit(-(10 ** 7)).cast("bigint")).otherwise(
         (e * 4096 + F.floor((F.col("_p") / F.pow(F.lit(2.0), e) - 1) * 4096)).cast("bigint"))
     per_p = per_p.withColumn("_b", bucket)
-    totals = per_p.groupBy("_b").agg(F.sum("_n").alias("_bn"))
-    up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_b", F.coalesce(F.sum("_bn").over(up), F.lit(0)).alias("_before"))
+    binade = F.floor(F.col("_b") / 4096)
+    totals = per_p.groupBy("_b").agg(F.sum("_n").alias("_bn")).withColumn("_e", binade)
+    earlier = Window.orderBy("_e").rowsBetween(Window.unboundedPreceding, -1)
+    below = totals.groupBy("_e").agg(F.sum("_bn").alias("_en")).select("_e", F.coalesce(F.sum("_en").over(earlier), F.lit(0)).alias("_below"))
+    up = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_in", F.coalesce(F.sum("_bn").over(up), F.lit(0))).join(below, "_e").select(
+        "_b", (F.col("_below") + F.col("_in")).alias("_before"))
     m = F.greatest(hypotheses.scalar(), tested.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(1).cast("bigint"))
     inside = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     raw = per_p.join(before, "_b").withColumn(
         "_raw", F.col("_p") * m / (F.col("_before") + F.sum("_n").over(inside)))
-    later = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    ahead = raw.groupBy("_b").agg(F.min("_raw").alias("_m")).select(
-        "_b", F.coalesce(F.min("_m").over(later), F.lit(1.0)).alias("_ahead"))
+    lows = raw.groupBy("_b").agg(F.min("_raw").alias("_m")).withColumn("_e", binade)
+    above = lows.groupBy("_e").agg(F.min("_m").alias("_em")).select(
+        "_e", F.min("_em").over(Window.orderBy("_e").rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    later = Window.partitionBy("_e").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    ahead = lows.withColumn("_in", F.min("_m").over(later)).join(above, "_e").select(
+        "_b", F.least(F.col("_in"), F.col("_above"), F.lit(1.0)).alias("_ahead"))
     rest = Window.partitionBy("_b").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
     q = raw.join(ahead, "_b").select(
         F.col("_p").alias(p), F.least(F.lit(1.0), F.min("_raw").over(rest), F.col("_ahead")).alias("q"))

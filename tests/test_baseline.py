@@ -140,3 +140,13 @@ def test_rates(spark):
         rates = sorted(k / n for _, k, n, _, c in rows if c == r["syllable_structure"])
         assert [r["q1"], r["median"], r["q3"]] == [rates[min(len(rates) - 1, int(f * len(rates)))] for f in (0.25, 0.5, 0.75)]
     assert R.funnel(df.limit(9)).count() == 0
+
+
+def test_one_meaning_in_two_thousand_languages_without_a_family(spark):
+    """A hot meaning and a hot shape: every language has one of two words on each of two meanings."""
+    langs = spark.range(2000)
+    words = (langs.selectExpr("id AS language", "'' AS family", "'m' AS ckey", "'s' AS shape")
+             .unionByName(langs.selectExpr("id AS language", "'' AS family", "concat('x', id % 900) AS ckey", "concat('t', id % 900) AS shape")))
+    got = {(r.ckey, r["shape"]): r for r in B.chance_bands(words).collect()}
+    hot = got[("m", "s")]
+    assert hot.obs == 2000 and 955 < hot.lo < 970 < 1030 < hot.hi < 1045 and hot.q < 1e-6
