@@ -12,17 +12,6 @@ def _state(rows: DataFrame, *cols: str):
     return rows.agg(F.count("*"), F.bit_xor(F.xxhash64(*cols))).first()
 
 
-def forest_roots(tree: DataFrame) -> DataFrame:
-    """(node, root) of (node, parent) rows with one parent below each node, by pointer jumping."""
-    rows = settle(tree.select("node", F.col("parent").alias("root")))
-    while True:
-        up = rows.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = settle(rows.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-        rows = jumped.select("node", "root")
-        if jumped.where("moved").isEmpty():
-            return rows
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of (u, v) edges; a component is named by its smallest node.
 

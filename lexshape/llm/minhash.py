@@ -10,9 +10,10 @@ threshold are passed over (a link is lost with a probability below 1e-6). Every
 confirmed on the full sets.
 
 No pairs inside a group. Texts with equal sets are one class from the start. In a bucket each
-class is first compared with the smallest one only; a bucket whose classes are then
-in one component is done. In the others, what is outside the largest component is
-compared with the rest, so no link between different texts is lost. Hot buckets and
+class is first compared with one of them only, drawn anew for each bucket, so that groups of
+near copies soon hang together; a bucket whose classes are then in one component is
+done. In the others, what is outside the largest component is compared with the
+rest, so no link between different texts is lost. Hot buckets and
 components are held by joins that Spark can split, over written tables.
 
 Shingles: A-Z lower-cased, words between ASCII white space, distinct runs of five words;
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexshape.llm.graph import components, forest_roots
+from lexshape.llm.graph import components
 from lexshape.llm.rows import text_sha, without
 from lexshape.session import settle
 
@@ -185,7 +186,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.min(F.struct("doc_id", "sha")).alias("rep"), F.min("doc_id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    hubs = settle(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"))
+    hubs = settle(keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub.node"))
+    hubs = hubs.select("key", F.col("node").alias("hub"))
     members = settle(keyed.join(hubs, "key"))
 
     involved = members.select("node").distinct().join(classes.select("node", "rep"), "node")
@@ -194,10 +196,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == text_sha()))
     sets = settle(shingle_sets(texts))
 
-    # each class with the smallest of all classes it shares a bucket with
-    first = members.where("node != hub").groupBy("node").agg(F.min("hub").alias("hub"))
-    tree = settle(confirmed(first.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent).distinct())
-    roots = forest_roots(tree.select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    # each class with one class of each of its buckets, drawn anew for every bucket
+    first = members.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    roots = components(confirmed(first, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "root")
 
     # buckets of several components: the classes outside the largest one with all others there
     placed = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "root"))
