@@ -14,8 +14,8 @@ as many full pieces as they need. Equal lengths keep the order of the written pi
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from lexshape.session import settle
 SEQUENCE = 2048
 GROUP = 4096
 CLOSING_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 class _Joint(Exception):
@@ -37,7 +37,7 @@ class _Joint(Exception):
 
 
 class Words(dict):
-    """Token ids of chunks. A text is cut before each blank and each line feed; chunks whose edges are not
+    """Token ids of chunks, as little-endian 32-bit bytes. A text is cut before each blank and each line feed; chunks whose edges are not
     white space are encoded alone with the same ids as within the text, since the tokenizer's own split
     never joins them. Any other text is encoded whole."""
 
@@ -47,27 +47,27 @@ class Words(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.codec = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def whole(self, text: str):
-        return self.codec.encode(text, allowed_special="all")
+    def whole(self, text: str) -> bytes:
+        ids = self.codec.encode(text, allowed_special="all") if "<|" in text else self.codec.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, chunk: str) -> bytes:
         words = chunk[1:] if chunk.startswith("\n") else chunk
         if not words or words[0].isspace() or words[-1].isspace():
             raise _Joint
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self[chunk] = tuple(self.whole(chunk if chunk.startswith("\n") else " " + chunk))
+        ids = self[chunk] = self.whole(chunk if chunk.startswith("\n") else " " + chunk)
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             if rest and (not first or first[-1].isspace()):
                 raise _Joint
-            head = self.whole(first)
-            return np.fromiter(chain(head, chain.from_iterable(map(self.__getitem__, rest))), np.uint32)
+            return self.whole(first) + b"".join(map(self.__getitem__, rest))
         except _Joint:
-            return np.array(self.whole(text), np.uint32)
+            return self.whole(text)
 
 
 _codecs: dict = {}
@@ -88,18 +88,18 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, in
     arrow, special = to_arrow_schema(out), tuple(special.items())
 
     def run(batches):
-        words = codec(ranks_path, pattern, special)
+        words, closing = codec(ranks_path, pattern, special), struct.pack("<I", closing_id)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(closing_id)).astype("<u4")
-                for a in range(0, len(ids), sequence):
-                    part = ids[a:a + sequence]
+                ids = words.encode(text.as_py() or "") + closing
+                for a in range(0, len(ids), 4 * sequence):
+                    part = ids[a:a + 4 * sequence]
                     row.append(i)
-                    start.append(a)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    total.append(len(ids))
+                    start.append(a // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    total.append(len(ids) // 4)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row, pa.int64())).cast(arrow.field("doc_id").type),
                  *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], schema=arrow)
