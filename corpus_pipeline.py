@@ -12,6 +12,9 @@ from lexshape.llm.queries import table, tokenizer_files
 from lexshape.session import settle
 
 
+NEAR = 80               # percent: the near-dedup stage links at this Jaccard similarity of word shingles; op5 has its own
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -24,7 +27,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, percent=NEAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Two permutations of a universe of 2^22 places make all signature coordinates: the first
 scatters a text's shingles, the second is read at circularly shifted places, so the
 coordinates of one shingle are one contiguous slice of a table, and a signature is the
-minimum of such slices. 32 bands of 6 coordinates give the candidates (a link at a
-similarity of 0.85 is missed with a probability below 3e-7). Where many different texts
+minimum of such slices. Bands of coordinates give the candidates, as many as the threshold
+needs for a link just at it to be missed with a probability below 3e-7 (32 bands of 6 at
+0.85, 50 of 6 at 0.80). Where many different texts
 share buckets, one bit of each of 2048 coordinates is a sketch by which pairs below the
 threshold are passed over (a link is lost with a probability below 1e-6). Every link is
 confirmed on the full sets.
@@ -43,7 +44,8 @@ from lexshape.llm.rows import text_sha, without
 from lexshape.session import settle
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
+ROWS, BANDS = 6, 64         # the most coordinates a band has, and the most bands as long as fewer coordinates would do
+MISSED = 3e-7               # of the links at the threshold
 SKETCH = 2048               # coordinates with one bit each, in 64-bit words
 SIGMAS = 5.3                # a link whose sketches differ by more standard deviations than this is not looked at
 UNIVERSE_BITS = 22
@@ -51,6 +53,15 @@ SEED = 20240229
 MASK = (1 << 64) - 1
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and coordinates of each, by which fewer than ``MISSED`` of the links at the threshold share no band."""
+    for rows in range(ROWS, 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log(apart)) if apart else 1
+        if bands <= BANDS or rows == 1:
+            return bands, rows
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -68,8 +79,8 @@ class Circulant:
         second = rng.permutation(size).astype(np.uint32)
         self.second = np.concatenate([second, second[:SKETCH - 1]])
         self.factors = rng.integers(1, MASK, SHINGLE, np.uint64) | np.uint64(1)
-        self.band = rng.integers(1, MASK, (BANDS, ROWS), np.uint64) | np.uint64(1)
-        self.salt = rng.integers(1, MASK, BANDS, np.uint64)
+        self.band = rng.integers(1, MASK, SKETCH, np.uint64) | np.uint64(1)
+        self.salt = rng.integers(1, MASK, SKETCH, np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """The distinct shingles of a text as sorted hashes."""
@@ -85,7 +96,7 @@ class Circulant:
         total = np.sort(mixed(total))
         return total[np.append(True, total[1:] != total[:-1])]
 
-    def coordinates(self, shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    def coordinates(self, shingles: np.ndarray, n: int) -> np.ndarray:
         """The first ``n`` signature coordinates: least of the slices of the second permutation, read in parts of 2 MB."""
         places = self.first[shingles >> np.uint64(64 - UNIVERSE_BITS)]
         shifted = np.lib.stride_tricks.sliding_window_view(self.second, n)
@@ -95,9 +106,9 @@ class Circulant:
             low = part if low is None else np.minimum(low, part)
         return low
 
-    def keys(self, low: np.ndarray) -> np.ndarray:
-        values = low.reshape(BANDS, ROWS).astype(np.uint64)
-        return mixed((values * self.band).sum(axis=1) + self.salt).view(np.int64)
+    def keys(self, shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        values = self.coordinates(shingles, bands * rows).astype(np.uint64) * self.band[:bands * rows]
+        return mixed(values.reshape(bands, rows).sum(axis=1) + self.salt[:bands]).view(np.int64)
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         low = self.coordinates(shingles, SKETCH)
@@ -114,12 +125,12 @@ def circulant() -> Circulant:
     return _worker[0]
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha of the text, n_shingles, set digest, band keys) of every row."""
+def signatures(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sha of the text, n_shingles, set digest, keys of the bands for a threshold) of every row."""
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("sha", T.BinaryType()),
                         T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
                         T.StructField("bands", T.ArrayType(T.LongType()))])
-    arrow = to_arrow_schema(out)
+    arrow, (n, rows) = to_arrow_schema(out), banding(percent)
 
     def run(batches):
         c = circulant()
@@ -131,7 +142,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sha.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest())
                 size.append(len(found))
                 digest.append(hashlib.sha256(found.tobytes()).digest())
-                bands.append(c.keys(c.coordinates(found)) if len(found) else None)
+                bands.append(c.keys(found, n, rows) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(arrow.field("doc_id").type), pa.array(sha, pa.binary()), pa.array(size, pa.int64()),
                  pa.array(digest, pa.binary()), pa.array(bands, arrow.field("bands").type)], schema=arrow)
@@ -181,7 +192,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, sha (of its text), n_shingles, component_id, root (of the component; null for the empty set)."""
-    sig = settle(signatures(docs, id_col, text_col))
+    sig = settle(signatures(docs, percent, id_col, text_col))
     classes = settle(sig.where("n_shingles > 0").groupBy("digest").agg(
         F.min(F.struct("doc_id", "sha")).alias("rep"), F.min("doc_id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 

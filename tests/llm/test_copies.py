@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from lexshape.llm import exact, graph, minhash
 
 EDGE = [(1, None), (2, ""), (3, "a"), (4, "a"), (4, "a"), (5, "A"), (6, "a "), (7, "one two three"), (None, "a"), (8, "x" * 70_000), (9, "x" * 70_000),
@@ -98,3 +99,24 @@ def test_a_chain_of_links_is_one_component(spark):
     got = dict(graph.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_the_pipelines_stage_links_at_four_fifths(frame, prose, spark):
+    rows = []
+    for g in range(6):
+        base = prose(400, 30 + g)
+        rows += [(100 * (g + 1) + k, edited(base, every, 0)) for k, every in enumerate((500, 55, 53, 48, 41))]
+    sets = {i: shingles(t) for i, t in rows}
+    by = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert any(0.80 <= j < 0.85 for j in by.values()) and any(0.7 < j < 0.80 for j in by.values())
+    want = {i for i, _, low in near_components(rows, 80) if i == low}
+    assert len(want) < len({low for _, _, low in near_components(rows)})
+    kept = corpus_pipeline.without_near_copies(spark, frame(rows), "")
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_bands_follow_from_the_threshold():
+    assert (minhash.banding(85), minhash.banding(80), minhash.banding(100)) == ((32, 6), (50, 6), (1, 6))
+    for percent in range(1, 100):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISSED and bands * rows <= minhash.SKETCH
