@@ -230,6 +230,24 @@ def test_templates_that_rewrite_history_are_seen():
             far.add("user", str(k))
 
 
+def test_templates_that_look_far_back_are_rendered_whole(spark):
+    def forgets(turns):         # drops earlier thoughts when a user speaks
+        last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"[{r}:{t if r != 'thought' or i > last else ''}]" for i, (r, t) in enumerate(turns))
+    turns = [("user", "q"), ("thought", "hm"), *[("assistant", f"a{k}") for k in range(17)], ("user", "r"), ("assistant", "b")]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out, rows = "", sorted(chat.format_turns(df, forgets).collect(), key=lambda r: r.turn_no)
+    for m in rows:
+        out = out[:len(out) - m["rewound"]] + m["piece"]
+        assert m["end"] == len(out)
+    assert out == forgets(turns) and [m["turn_no"] for m in rows if m["rewound"]] == [19]
+    assert all(out[m["text_start"]:m["text_end"]] == turns[m["turn_no"]][1] for m in rows if m["loss"] and m["turn_no"] > 19)
+    held = chat.Incremental(forgets, horizon=16)
+    with pytest.raises(ValueError):
+        for t in turns:
+            held.add(*t)
+
+
 # --- pipeline ----------------------------------------------------------------
 
 def test_every_stage_takes_effect(spark):
