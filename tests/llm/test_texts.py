@@ -66,6 +66,24 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         assert known + p(context, "z") == pytest.approx(1.0, abs=1e-9)
 
 
+def test_every_gram_of_a_rare_language_is_kept_whatever_the_others_have(spark, frame, prose):
+    r = random.Random(4)
+    rare = ["".join(r.choices("mnopé", k=6)) for _ in range(12)]
+    hot = [("hot", " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(40))) for _ in range(30)] * 2
+    labelled = spark.createDataFrame([*hot, ("rare", " ".join(rare))], "lang string, text string")
+    texts = [*enumerate(rare), (90, hot[0][1]), (91, None), (92, "zz é \U0001F600x\U00010400\U00010401q"), (93, " ".join(rare))]
+    whole, dealt = langid.train(labelled), langid.train(labelled, max_grams=500)
+    assert whole.parts == 1 and dealt.parts > 3 and dealt.langs == whole.langs
+    per_part = [p.word_scores(rare) for p in dealt.each()]
+    assert np.allclose(sum(per_part), whole.word_scores(rare), rtol=0, atol=1e-9)
+    assert max(len(k) for p in dealt.each() for k, _ in p.grams[2:]) < max(len(k) for k, _ in whole.grams)
+    a, b = ({r.doc_id: r for r in langid.identify(frame(texts), m).collect()} for m in (whole, dealt))
+    assert a.keys() == b.keys() and len(a) == len(texts)
+    for i in a:
+        assert (a[i].lang_pred, a[i].rejected) == (b[i].lang_pred, b[i].rejected)
+        assert a[i].cross_entropy == pytest.approx(b[i].cross_entropy, abs=1e-9) and a[i].score == pytest.approx(b[i].score, abs=1e-9)
+
+
 # --- quality -----------------------------------------------------------------
 
 def test_rejects_bad_documents_and_keeps_good_ones(spark):
