@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshape.llm import chat, decontaminate, exact, langid, licenses, minhash, packing, quality, sharding, warc
+from lexshape.llm import chat, decontaminate, exact, importance, jaccard_join, langid, licenses, merkle, minhash, packing, quality, sharding, warc
 from lexshape.session import scratch_path
 
 QUERIES: dict = {}
@@ -95,3 +97,79 @@ def tokenizer_files() -> dict:
 @query
 def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), **tokenizer_files())
+
+
+# DuckDB has no CRC-32: a table of 256 entries, then one step for each byte
+CRC_TABLE = """crc AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+@query
+def op11_merkle(spark, d):
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, d, "documents"), F.when(tampered, lowered).otherwise(F.col("text")))
+
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE fields AS (SELECT doc_id, lang, text, '-' AS none,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents),
+{CRC_TABLE},
+told AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AS tampered FROM documents, crc),
+leaves AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+  sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(head || CASE WHEN tampered THEN coalesce(strlen(text) || ':' || translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '-')
+                      ELSE coalesce(strlen(text) || ':' || text, '-') END) AS claim
+  FROM fields JOIN told USING (doc_id)),
+lower_nodes AS (SELECT lang, 0 AS level, i, leaf AS node, n FROM leaves
+  UNION ALL SELECT lang, level + 1, i // 8, sha256(string_agg(node, '' ORDER BY i)), (max(n) + 7) // 8 FROM lower_nodes WHERE n > 1 GROUP BY lang, level, i // 8),
+subroots AS (SELECT lang, level AS depth, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS gn FROM lower_nodes WHERE n = 1),
+upper_nodes AS (SELECT 0 AS level, g AS i, subroot AS node, gn AS n FROM subroots
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(node, '' ORDER BY i)), (max(n) + 7) // 8 FROM upper_nodes WHERE n > 1 GROUP BY level, i // 8),
+nodes AS (SELECT lang, level, i, node, n > 1 AS climbs FROM lower_nodes WHERE n > 1
+  UNION ALL SELECT s.lang, s.depth + u.level, u.i, u.node, true FROM subroots s, upper_nodes u WHERE u.n > 1),
+paths AS (SELECT doc_id, s.lang, depth, l.i AS spot, g, claim FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang),
+climb AS (SELECT doc_id, lang, 0 AS level, CASE WHEN depth = 0 THEN g ELSE spot END AS place, depth, g, claim AS node FROM paths
+  UNION ALL SELECT c.doc_id, any_value(c.lang), c.level + 1, CASE WHEN c.level + 1 = any_value(c.depth) THEN any_value(c.g) ELSE any_value(c.place) // 8 END,
+    any_value(c.depth), any_value(c.g), sha256(string_agg(CASE WHEN n.i = c.place THEN c.node ELSE n.node END, '' ORDER BY n.i))
+  FROM climb c JOIN nodes n ON n.lang IS NOT DISTINCT FROM c.lang AND n.level = c.level AND n.i // 8 = c.place // 8 GROUP BY c.doc_id, c.level),
+proofs AS (SELECT c.doc_id, sha256(coalesce(string_agg(n.node, '' ORDER BY c.level, n.i), '')) AS proof_sha256
+  FROM climb c LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM c.lang AND n.level = c.level AND n.i // 8 = c.place // 8 AND n.i <> c.place GROUP BY c.doc_id),
+folded AS (SELECT doc_id, arg_max(node, level) AS folded_root FROM climb GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT node FROM upper_nodes WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT node FROM upper_nodes WHERE n = 1) AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN proofs USING (doc_id) JOIN folded USING (doc_id)"""
+
+
+@query
+def op12_jaccard_join(spark, d):
+    return jaccard_join.join_documents(table(spark, d, "documents"))
+
+
+@query
+def op13_resampling(spark, d):
+    return importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+ORACLES["op13_resampling"] = rf"""
+WITH {CRC_TABLE},
+texts AS (SELECT 'c' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+words AS (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS (SELECT side, doc_id, f, count(*) AS n FROM features GROUP BY ALL),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hex(encode(f))) // 2), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), crc),
+sums AS (SELECT bucket, sum(n) FILTER (side = 'c') AS s, sum(n) FILTER (side = 't') AS t FROM counted JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(sums.t, 0) + 1)::DOUBLE * (totals.s + 10000) / ((coalesce(sums.s, 0) + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS gain FROM sums, totals),
+weights AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n)::DOUBLE)::BIGINT AS weight
+  FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'c' GROUP BY doc_id),
+scores AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)),
+ranks AS (SELECT *, n_features >= 39 AS fit, row_number() OVER (PARTITION BY n_features >= 39 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 39) AS m FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 25 * m // 100 THEN r END AS rank FROM ranks"""
