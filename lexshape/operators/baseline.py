@@ -16,7 +16,9 @@ from pyspark.sql import Window
 from lexshape import constants as K
 from lexshape.functions import stats as ST
 
-BLOCK = 256   # meanings (or shapes) per side of one counting block
+MEANINGS, SHAPES = 128, 256     # bits of the two sides of a counting block
+FAMILIES = 512                  # families of one counting task, and chances of one partial polynomial, about
+ROUTED = 4096                   # rows of one item that meet its pairs at one key
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -43,65 +45,90 @@ def observed_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES) -> Dat
         F.count(F.lit(1)).alias("obs")).where(F.col("obs") >= min_families)
 
 
-def _block_side(table: DataFrame, item: str, min_could: int) -> tuple[DataFrame, DataFrame]:
-    """Drop items too few families have (exact: no pair of theirs can reach the
-    threshold), and number the blocks the rest needs."""
-    spread = table.select(item, "family").distinct().groupBy(item).agg(F.count(F.lit(1)).alias("f"))
-    kept = table.join(spread.where(F.col("f") >= min_could), item, "left_semi").select("language", "family", item)
-    blocks = kept.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct(item) / BLOCK)).alias("b"))
-    return kept, blocks
+def item_masks(table: DataFrame, item: str, width: int, min_could: int) -> DataFrame:
+    """(language, family, block, mask): which of a block's ``width`` items a language has, as bits of 64-bit words.
+
+    Items too few families have are dropped (exact: no pair of theirs can reach the threshold). The others are
+    hashed into blocks and numbered inside; what a block has beyond its width opens another."""
+    spread = table.select(item, "family").distinct().groupBy(item).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= min_could)
+    blocks = spread.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (width * 0.8))).alias("b")).scalar()
+    hashed = spread.select(item, F.pmod(F.xxhash64(item), blocks).alias("hashed"))
+    place = F.row_number().over(Window.partitionBy("hashed").orderBy(item)) - 1          # some ``width`` rows each
+    placed = hashed.withColumn("place", place).select(
+        item, (F.col("hashed") * (1 << 20) + F.floor(F.col("place") / width)).alias("block"), (F.col("place") % width).alias("bit"))
+    rows = table.select("language", "family", item).join(placed, item)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, bit)), F.lit(0).cast("bigint")) for w in range(width // 64)]
+    return rows.groupBy("language", "family", "block").agg(F.array(*words).alias("mask"))
+
+
+def block_pairs(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFrame:
+    """(m_block, s_block, part, family, m_mask, s_mask): for each language one row per pair of blocks it has items of.
+
+    ``part`` splits a pair of blocks by families. A row is two masks, however many words stand behind it."""
+    meanings = item_masks(meaning_counts(counts), "ckey", MEANINGS, min_could)
+    shapes = item_masks(shape_counts(counts), "shape", SHAPES, min_could)
+    parts = counts.select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
+    left = meanings.select("language", "family", F.col("block").alias("m_block"), F.col("mask").alias("m_mask"))
+    right = shapes.select("language", "family", F.col("block").alias("s_block"), F.col("mask").alias("s_mask"))
+    return left.join(right, ["language", "family"]).select("m_block", "s_block", F.pmod(F.xxhash64("family"), parts).alias("part"), "family", "m_mask", "s_mask")
 
 
 def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFrame:
     """One row ``hypotheses``: pairs at least ``min_could`` families COULD share,
     because some language of each has both the meaning and the shape.
 
-    The pairs are never materialised. Meanings and shapes are hashed into blocks;
-    a task gets one block of each with the languages that have them and counts
-    the pairs by one boolean matrix product per family. A row goes only to those
-    blocks of the other side that its own language has."""
-    meanings, m_blocks = _block_side(meaning_counts(counts), "ckey", min_could)
-    shapes, s_blocks = _block_side(shape_counts(counts), "shape", min_could)
-    mb, sb = m_blocks.scalar(), s_blocks.scalar()
-    meanings = meanings.select(F.pmod(F.xxhash64("ckey"), mb).alias("mb"), F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("ckey").alias("item"))
-    shapes = shapes.select(F.pmod(F.xxhash64("shape"), sb).alias("sb"), F.col("family").alias("fam"), F.col("language").alias("lang"), F.col("shape").alias("item"))
-    columns = [F.col(c).alias(c) for c in ("mb", "sb", "fam", "lang", "item")]      # own names on either side of the cogroup
-    left = meanings.join(shapes.select("lang", "sb").distinct(), "lang").select(*columns)
-    right = shapes.join(meanings.select("lang", "mb").distinct(), "lang").select(*columns)
-
-    def count_block(l, r):
+    The pairs are never materialised. A task gets the masks of two blocks and some of the families: a boolean
+    matrix product tells which pairs each family could share. The tasks' counts, cut off at the threshold (so a
+    byte a pair), are added per pair of blocks."""
+    def bits(masks, width):
         import numpy as np
-        lu, ru = l["item"].unique(), r["item"].unique()
-        could = np.zeros((len(lu), len(ru)), dtype=np.int32)
-        li, ri = pd.Index(lu), pd.Index(ru)
-        right_by_family = dict(tuple(r.groupby("fam")))
-        for family, lf in l.groupby("fam"):
-            rf = right_by_family.get(family)
-            if rf is None:
-                continue
-            langs = pd.Index(np.intersect1d(lf["lang"].unique(), rf["lang"].unique()))
-            if not len(langs):
-                continue
-            a = np.zeros((len(langs), len(lu)), dtype=np.float32)
-            b = np.zeros((len(langs), len(ru)), dtype=np.float32)
-            for rows, m, cols in ((lf, a, li), (rf, b, ri)):
-                at = langs.get_indexer(rows["lang"])
-                m[at[at >= 0], cols.get_indexer(rows["item"])[at >= 0]] = 1.0
-            could += (a.T @ b) > 0
+        words = np.array(masks.to_list(), dtype="<i8").reshape(len(masks), width // 64)
+        return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+
+    def count_part(rows):
+        import numpy as np
+        could = np.zeros((MEANINGS, SHAPES), dtype=np.int64)
+        for _, of in rows.groupby("family", sort=False):
+            shared = np.zeros((MEANINGS, SHAPES), dtype=bool)
+            for a in range(0, len(of), 4096):
+                some = of.iloc[a:a + 4096]
+                shared |= (bits(some["m_mask"], MEANINGS).T @ bits(some["s_mask"], SHAPES)) > 0
+            could += shared
+        first = rows.iloc[0]
+        return pd.DataFrame({"m_block": [first["m_block"]], "s_block": [first["s_block"]], "could": [np.minimum(could, min_could).astype(np.uint8 if min_could < 256 else np.uint32).tobytes()]})
+
+    def add_parts(rows):
+        import numpy as np
+        kind = np.uint8 if min_could < 256 else np.uint32
+        could = sum(np.frombuffer(x, dtype=kind).astype(np.int64) for x in rows["could"])
         return pd.DataFrame({"pairs": [int((could >= min_could).sum())]})
 
-    per_block = left.groupBy("mb", "sb").cogroup(right.groupBy("mb", "sb")).applyInPandas(count_block, "pairs bigint")
+    per_part = block_pairs(counts, min_could).groupBy("m_block", "s_block", "part").applyInPandas(count_part, "m_block bigint, s_block bigint, could binary")
+    per_block = per_part.groupBy("m_block", "s_block").applyInPandas(add_parts, "pairs bigint")
     return per_block.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("hypotheses"))
 
 
+def _routed(pairs: DataFrame, has: DataFrame, item: str) -> DataFrame:
+    """Pairs with the languages that have their ``item``; a common item's languages are dealt over several keys and its pairs go to each."""
+    degree = has.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / ROUTED).alias("keys"))
+    dealt = has.join(degree, item).withColumn("key", F.pmod(F.xxhash64("language"), F.col("keys"))).drop("keys")
+    sent = pairs.join(degree, item).withColumn("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("keys") - 1))).drop("keys")
+    return sent.join(dealt, [item, "key"]).drop("key")
+
+
 def family_chances(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair and family: the chance that the shuffle makes the family share it.
 
-    Rows meet on the shape first (shapes are spread thinner than meanings), then
-    on (language, meaning); both are equi-joins that adaptive execution can split."""
+    Each pair meets the languages of its rarer side, its meaning or its shape, then (language, other side)."""
     totals = counts.groupBy("language").agg(F.sum("n").alias("words"))
-    have = pairs.select("ckey", "shape").join(shape_counts(counts), "shape")
-    both = have.join(meaning_counts(counts).drop("family"), ["language", "ckey"]).join(totals, "language")
+    shapes, meanings = shape_counts(counts), meaning_counts(counts)
+    of_shape = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("by_shape"))
+    of_meaning = meanings.groupBy("ckey").agg(F.count(F.lit(1)).alias("by_meaning"))
+    weighed = pairs.select("ckey", "shape").join(of_shape, "shape").join(of_meaning, "ckey")
+    by_shape = _routed(weighed.where("by_shape <= by_meaning").select("ckey", "shape"), shapes, "shape").join(meanings.drop("family"), ["language", "ckey"])
+    by_meaning = _routed(weighed.where("by_shape > by_meaning").select("ckey", "shape"), meanings, "ckey").join(shapes.drop("family"), ["language", "shape"])
+    both = by_shape.unionByName(by_meaning).join(totals, "language")
     both = both.withColumn("log_miss", ST.miss_probability_log(F.col("words"), F.col("k"), F.col("s")))
     certain = F.count(F.lit(1)) > F.count("log_miss")
     return both.groupBy("ckey", "shape", "family").agg(
@@ -109,57 +136,64 @@ def family_chances(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD) -> DataFrame:
-    """Observed pairs that enough families could share: observed count, 5-95% band, tail."""
+    """Observed pairs that enough families could share: observed count, 5-95% band, tail.
+
+    A pair's chances become partial polynomials of some ``FAMILIES`` families each, which are then multiplied."""
     pairs = observed_pairs(counts, min_families)
-    # one chance per family: the list is bounded by the number of families
-    per_pair = family_chances(counts, pairs).groupBy("ckey", "shape").agg(F.collect_list("p").alias("ps"))
-    tested = per_pair.where(F.size("ps") >= min_could).join(pairs, ["ckey", "shape"])
-    return tested.select("ckey", "shape", "obs", F.size("ps").alias("could"),
-                         family_count_band()(F.col("ps"), F.col("obs")).alias("b")).select(
+    parts = counts.select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
+    chances = family_chances(counts, pairs).withColumn("part", F.pmod(F.xxhash64("family"), parts))
+    partial = chances.groupBy("ckey", "shape", "part").agg(F.collect_list("p").alias("ps")).select(
+        "ckey", "shape", F.size("ps").alias("n"), hit_polynomial()(F.col("ps")).alias("d"))
+    per_pair = partial.groupBy("ckey", "shape").agg(F.sum("n").cast("int").alias("could"), F.collect_list("d").alias("ds"))
+    tested = per_pair.where(F.col("could") >= min_could).join(pairs, ["ckey", "shape"])
+    return tested.select("ckey", "shape", "obs", "could", family_count_band()(F.col("ds"), F.col("obs")).alias("b")).select(
         "ckey", "shape", "obs", "could", "b.lo", "b.hi", "b.p")
 
 
+def _product(polynomials: list):
+    """Product of polynomials (distributions of counts), neighbours first; the vanishing top is left out."""
+    import numpy as np
+    made = sorted(polynomials, key=lambda d: (len(d), d.tolist()))        # one order, so one value
+    while len(made) > 1:
+        made = [np.convolve(*made[i:i + 2]) if i + 1 < len(made) else made[i] for i in range(0, len(made), 2)]
+        made = [d[:np.flatnonzero(d > 1e-300)[-1] + 1] for d in made]
+    return made[0]
+
+
+def hit_polynomial():
+    """UDF (chances) -> chance of 0, 1, 2, ... hits; equal chances are one binomial, found by squaring."""
+    @F.pandas_udf("array<double>")
+    def polynomial(ps: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(chances):
+            values, times = np.unique(np.asarray(chances, dtype="float64"), return_counts=True)
+            factors = []
+            for p, n in zip(values, times):
+                base = np.array([1.0 - p, p])
+                for bit in range(int(n).bit_length()):
+                    if n >> bit & 1:
+                        factors.append(base)
+                    base = _product([base, base])
+            return _product(factors)
+        return ps.map(one)
+    return polynomial
+
+
 def family_count_band(low: float = 0.05, high: float = 0.95):
-    """UDF (chances, observed) -> lo, hi, p: band and upper tail of the number of hits.
+    """UDF (partial polynomials, observed) -> lo, hi, p: band and upper tail of the number of hits.
 
-    The exact distribution of a sum of independent chances takes one pass per
-    chance; Arrow batches let numpy do each pass for many pairs at once. The
-    array functions in ``functions.stats`` give the same numbers, one pair at a
-    time. Chances are sorted, so the result has one value."""
+    The array functions in ``functions.stats`` give the same numbers from all chances at once."""
     @F.pandas_udf("lo int, hi int, p double")
-    def band(ps: pd.Series, obs: pd.Series) -> pd.DataFrame:
+    def band(ds: pd.Series, obs: pd.Series) -> pd.DataFrame:
         import numpy as np
-        sizes = ps.map(len).to_numpy()
-        seen = obs.to_numpy()
-        lo, hi, p = (np.zeros(len(ps), dtype=t) for t in ("int32", "int32", "float64"))
-        order = np.argsort(sizes, kind="stable")
-        start = 0
-        while start < len(order):
-            # as many pairs at a time as fit a few million cells
-            width = int(sizes[order[start]]) + 1
-            stop = start + 1
-            while stop < len(order) and (stop - start + 1) * (int(sizes[order[stop]]) + 1) <= 4_000_000:
-                width = int(sizes[order[stop]]) + 1
-                stop += 1
-            at = order[start:stop]
-            chances = np.zeros((len(at), width - 1))
-            for row, i in enumerate(at):
-                chances[row, : sizes[i]] = np.sort(np.asarray(ps.iloc[i], dtype="float64"))
-            dist = np.zeros((len(at), width))
-            dist[:, 0] = 1.0
-            for j in range(width - 1):   # chances past a pair's own are 0 and change nothing
-                step = dist[:, : j + 1] * chances[:, j: j + 1]
-                dist[:, : j + 1] -= step
-                dist[:, 1: j + 2] += step
-            acc = np.cumsum(dist, axis=1)
-            last = sizes[at]
-            for f, out in ((low, lo), (high, hi)):
-                reached = acc >= f - 1e-12
-                out[at] = np.where(reached.any(axis=1), reached.argmax(axis=1), last)
-            tail = np.where(np.arange(width)[None, :] >= seen[at][:, None], dist, 0.0).sum(axis=1)
-            p[at] = np.minimum(1.0, tail)
-            start = stop
-        return pd.DataFrame({"lo": lo, "hi": hi, "p": p})
+        rows = []
+        for polynomials, seen in zip(ds, obs):
+            dist = _product([np.asarray(d, dtype="float64") for d in polynomials])
+            acc = np.cumsum(dist)
+            at = [min(int(np.searchsorted(acc, f - 1e-12)), len(dist) - 1) for f in (low, high)]
+            rows.append((*at, min(1.0, float(dist[int(seen):][::-1].sum()))))
+        return pd.DataFrame(rows, columns=["lo", "hi", "p"])
     return band
 
 

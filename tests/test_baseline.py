@@ -47,7 +47,7 @@ def test_band_udf_equals_the_array_functions(spark):
     rows = [([rng.random() ** rng.choice([1, 6]) for _ in range(n)], rng.randrange(0, n + 1)) for n in (1, 2, 5, 9, 30, 61)]
     rows += [([1.0, 1.0, 1.0], 3), ([0.0, 0.5], 0)]
     df = spark.createDataFrame(rows, "ps array<double>, obs bigint").withColumn("dist", ST.poisson_binomial(F.col("ps")))
-    out = df.select("ps", "obs", "dist", B.family_count_band()(F.col("ps"), F.col("obs")).alias("b"),
+    out = df.select("ps", "obs", "dist", B.family_count_band()(F.array(B.hit_polynomial()(F.col("ps"))), F.col("obs")).alias("b"),
                     ST.distribution_quantile(F.col("dist"), 0.05).alias("lo"), ST.distribution_quantile(F.col("dist"), 0.95).alias("hi"),
                     ST.upper_tail(F.col("dist"), F.col("obs")).alias("p"))
     for r in out.collect():
@@ -119,13 +119,36 @@ def test_null_data_passes_almost_nothing_and_hypotheses_match_brute_force(spark)
     assert summary["tested"] > 100 and summary["beyond"] <= 2
 
 
-def test_many_blocks_count_the_same(spark, monkeypatch):
+def test_many_blocks_and_parts_count_the_same(spark, monkeypatch):
     rng = random.Random(11)
-    rows = [(f"c{rng.randrange(30)}", f"l{i % 40}", f"f{i % 13}", f"s{rng.randrange(25)}") for i in range(1500)]
-    counts = B.word_counts(spark.createDataFrame(rows, SCHEMA))
+    rows = [(f"c{rng.randrange(150)}", f"l{i % 60}", f"f{i % 23}", f"s{rng.randrange(140)}") for i in range(6000)]
+    counts = B.word_counts(spark.createDataFrame(rows, SCHEMA)).cache()
+    tested = sorted(map(tuple, B.tested_pairs(counts).collect()))
     one = B.count_hypotheses(counts).first()[0]
-    monkeypatch.setattr(B, "BLOCK", 4)
+    for name, value in (("MEANINGS", 64), ("SHAPES", 64), ("FAMILIES", 3), ("ROUTED", 2)):
+        monkeypatch.setattr(B, name, value)
+    assert B.block_pairs(counts).select("m_block", "s_block", "part").distinct().count() > 30
     assert B.count_hypotheses(counts).first()[0] == one > 0
+    split = sorted(map(tuple, B.tested_pairs(counts).collect()))
+    assert [x[:6] for x in split] == [x[:6] for x in tested] and [x[6] for x in split] == pytest.approx([x[6] for x in tested], rel=1e-9)
+
+
+def test_a_meaning_of_every_language_makes_no_large_task(spark):
+    rng = random.Random(1)
+    rows = [(c, f"l{i}", "", f"s{rng.randrange(900)}") for i in range(2000) for c in ["all", *(f"c{rng.randrange(700)}" for _ in range(30))]]
+    sizes = sorted(r["count"] for r in B.block_pairs(B.word_counts(spark.createDataFrame(rows, SCHEMA))).groupBy("m_block", "s_block", "part").count().collect())
+    assert len(sizes) > 50 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_chances_of_many_families_multiply_in_bounded_space():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    ps = rng.random(100_000) ** 6 * 0.01
+    parts = [B.hit_polynomial().func(__import__("pandas").Series([part]))[0] for part in np.array_split(ps, 200)]
+    dist = B._product(parts)
+    at = np.arange(len(dist))
+    assert len(dist) < 3000 and dist.sum() == pytest.approx(1, abs=1e-9)
+    assert (at * dist).sum() == pytest.approx(ps.sum()) and (at ** 2 * dist).sum() - (at * dist).sum() ** 2 == pytest.approx((ps * (1 - ps)).sum())
 
 
 def test_rates(spark):
