@@ -11,6 +11,7 @@ from lexshape import constants as K
 from lexshape.operators import catalog as CAT
 from lexshape.operators import index as IX
 from lexshape.operators import linking as L
+from lexshape.operators.schemes import TONE_BLIND, Scheme
 from lexshape.session import settle
 from lexshape.sources import sinks
 from lexshape.sources import wordlists as WL
@@ -25,6 +26,7 @@ class Catalog:
     forms: DataFrame
     words: DataFrame
     excluded: DataFrame
+    scheme: str = K.SCHEME_VERSION      # of the keys
 
 
 def read_datasets(spark: SparkSession, root: str) -> tuple[list[WL.Dataset], DataFrame]:
@@ -40,7 +42,8 @@ def read_datasets(spark: SparkSession, root: str) -> tuple[list[WL.Dataset], Dat
     return found, spark.createDataFrame(rows, "dataset string, path string, reason string")
 
 
-def build_catalog(spark: SparkSession, root: str, glottolog: DataFrame | None = None, concepticon: DataFrame | None = None) -> Catalog:
+def build_catalog(spark: SparkSession, root: str, glottolog: DataFrame | None = None, concepticon: DataFrame | None = None,
+                  scheme: Scheme | None = None) -> Catalog:
     """Build from every cleared word list under ``root``; entries of unknown sources fail the build.
 
     What came first (dataset, then row) decides; how files are split does not."""
@@ -54,28 +57,30 @@ def build_catalog(spark: SparkSession, root: str, glottolog: DataFrame | None =
         entries = L.link_concepts(entries, concepticon)
     if glottolog is not None:
         languages = L.name_languages(languages, glottolog)
-    judged = settle(CAT.judge_entries(entries, sources))
+    scheme = scheme or TONE_BLIND
+    judged = settle(CAT.judge_entries(entries, sources, canonicalizer=scheme.canonicalizer))
     forms = settle(CAT.build_forms(judged))
     counts = entries.groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("entries"))
     return Catalog(report.join(counts, "dataset", "left").fillna(0, ["entries"]), sources, CAT.catalog_languages(languages, judged, forms),
-                   forms, CAT.build_words(judged), CAT.excluded_counts(judged))
+                   forms, CAT.build_words(judged), CAT.excluded_counts(judged), scheme.version)
 
 
 def publish(catalog: Catalog, path: str, version: str, buckets: int) -> None:
     """Write the catalog and its index under ``path/version``, stamped with the key scheme; readers are pointed at it last."""
     spark, folder = catalog.forms.sparkSession, f"{path}/{version}"
-    stamp = spark.createDataFrame([(version, K.SCHEME_VERSION)], "version string, scheme string")
+    last = sinks.last_entry(spark, f"{path}/current")      # whoever publishes in between is first
+    stamp = spark.createDataFrame([(version, catalog.scheme)], "version string, scheme string")
     tables = {"report": catalog.report, "sources": catalog.sources, "languages": catalog.languages, "forms": catalog.forms, "words": catalog.words, "excluded": catalog.excluded,
               "postings": IX.postings(catalog.forms), "shapes": IX.shape_features(catalog.forms), "build": stamp}
     sinks.write_index(tables, folder, {"forms": "glottocode", "postings": "shape"}, buckets)
-    sinks.publish_version(spark, f"{path}/current", version, folder)
+    sinks.publish_version(spark, f"{path}/current", version, folder, after=last)
 
 
-def published(spark: SparkSession, path: str, table: str) -> DataFrame:
+def published(spark: SparkSession, path: str, table: str, scheme: str | None = None) -> DataFrame:
     """A table of the version that readers are pointed at; keys made by another scheme are refused."""
     folder = sinks.current_version(spark, f"{path}/current")["dir"]
-    scheme = spark.read.parquet(f"{folder}/build").first()["scheme"]
-    if scheme != K.SCHEME_VERSION:
-        raise ValueError(f"{folder} was built with key scheme {scheme}, not {K.SCHEME_VERSION}")
+    built, wanted = spark.read.parquet(f"{folder}/build").first()["scheme"], scheme or K.SCHEME_VERSION
+    if built != wanted:
+        raise ValueError(f"{folder} was built with key scheme {built}, not {wanted}")
     out = spark.read.parquet(f"{folder}/{table}")
     return out.drop("bucket") if "bucket" in out.columns else out

@@ -460,4 +460,10 @@ ORACLES: dict[str, str] = {
     "write_index_tables": f"WITH {POSTS} SELECT shape, glottocode, tier_rank, onset_class FROM posts JOIN (SELECT shape, onset_class FROM feats) USING (shape) WHERE shape IN ('de', 'la')",
     "export_json": f"WITH {POSTS} SELECT *, 'u' || array_to_string(list_transform(string_split(shape, ''), lambda c: lpad(lower(to_hex(ord(c))), 4, '0')), '-') AS slug FROM feats",
     "merge_release": f"""WITH {FORMS} SELECT glottocode, shape, tier_rank, cc_rank, under_review, tones, array_to_string(list_sort(string_split(sources, '|')), '|') AS sources, preferred_source FROM forms""",
+    "sweep_stale": "SELECT p_brand || '/' || p_type AS key, p_partkey FROM part WHERE right(p_brand, 1)::int % 2 = 0",
+    "scheme_mapping": f"""WITH {CANON}, x AS (SELECT segmental, string_split(replace(segmental, 'ː', ''), '') AS c FROM cn)
+        SELECT segmental AS old_key, coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), ''), '') AS new_key, count(*) AS words FROM x GROUP BY ALL""",
 }
+# the views over published tables give what the views over the texts give
+ORACLES |= {f"published_{name}": ORACLES[name] for name in ("heatmap", "family_spread", "concept_labels", "concept_summary")}
+ORACLES["published_chance_bands"] = f"WITH {SUMMARY} SELECT ckey, shape, label, obs, lo, hi, q FROM bh JOIN l3 USING (ckey)"

@@ -16,10 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal texts out evenly: they grow manifold when they are cut into words, and files differ in size.
+    """Deal texts out where the scan has fewer splits than the cluster has cores (a small file of one row group); otherwise leave them as scanned.
 
-    One shuffle of the texts, small beside the rules that run on their words."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    Texts grow manifold when they are cut into words. A table of many files is split by its scan and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 # --- words: documents -> entries ---------------------------------------------

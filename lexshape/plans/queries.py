@@ -25,7 +25,9 @@ from lexshape.operators import rates as R
 from lexshape.operators import rows as RW
 from lexshape.operators import typology as TY
 from lexshape.plans import build as BD
+from lexshape.operators import schemes as SC
 from lexshape.plans import projections as P
+from lexshape.plans import published as PUB
 from lexshape.session import scratch_path, settle
 from lexshape.sources import pronunciations as PR
 from lexshape.sources import sinks
@@ -921,3 +923,53 @@ def merge_release(spark, d):
     f = RL.forms_of_release(RL.merge_release(first, e.where(odd), s))
     return f.select("glottocode", "shape", "tier_rank", "cc_rank", "under_review", joined("tones").alias("tones"),
                     joined(F.array_sort("sources")).alias("sources"), "preferred_source")
+
+
+@query
+def sweep_stale(spark, d):
+    """Parts by size and type: a build, then one without every other brand, of which only the changed buckets are rewritten; the
+    swept table read back, with what its manifest holds of each key."""
+    path = scratch_path(spark, "swept")
+    rows = P.table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("key"), "p_partkey", F.substring("p_brand", -1, 1).cast("int").alias("digit"))
+    sinks.write_partitioned(rows, path, "key", buckets=64)
+    later = rows.where("digit % 2 = 0")
+    sinks.sweep_stale(spark, path, later)
+    return spark.read.parquet(path).drop("bucket", "digit").join(sinks.manifest(spark, path).select("key"), "key")
+
+
+@query
+def scheme_mapping(spark, d):
+    """What becomes of the keys of all words when lengths are set aside."""
+    return SC.key_changes(vocabulary(spark, d).select(F.col("w").alias("ipa"), F.lit(False).alias("segmented")), SC.TONE_BLIND, SC.LENGTH_BLIND)
+
+
+def _published(spark, d, *names):
+    """A concept catalog of all texts, written as bucketed tables."""
+    path = scratch_path(spark, "published")
+    return PUB.publish_concepts(judged(spark, d, glosses=True), P.word_languages(spark, d), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, names)
+
+
+@query
+def published_heatmap(spark, d):
+    return _published(spark, d, "shapes", "postings", "languages").heatmap()
+
+
+@query
+def published_family_spread(spark, d):
+    return _published(spark, d, "postings", "languages").family_spread()
+
+
+@query
+def published_concept_labels(spark, d):
+    return _published(spark, d, "labels")["labels"]
+
+
+@query
+def published_concept_summary(spark, d):
+    return _published(spark, d, "concepts", "languages", "labels", "bands").concept_summary()
+
+
+@query
+def published_chance_bands(spark, d):
+    """Bands of the texts' concepts with their labels, from two tables of one key."""
+    return _published(spark, d, "labels", "bands").labelled_bands().select("ckey", "shape", "label", "obs", "lo", "hi", "q")
