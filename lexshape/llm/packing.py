@@ -29,7 +29,8 @@ from lexshape.session import settle
 SEQUENCE = 2048
 GROUP = 4096
 CLOSING_ID = 1
-CACHED_WORDS = 1_000_000
+CACHED_BYTES = 12_000_000     # about, of a worker's cache of chunks and their ids; a task's cache ends with it
+ENTRY = 200                   # what an entry takes beside its characters and ids
 
 
 class _Joint(Exception):
@@ -45,6 +46,7 @@ class Words(dict):
         import tiktoken
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.held = 0
         self.codec = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def whole(self, text: str) -> bytes:
@@ -55,11 +57,16 @@ class Words(dict):
         words = chunk[1:] if chunk.startswith("\n") else chunk
         if not words or words[0].isspace() or words[-1].isspace():
             raise _Joint
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+        if self.held >= CACHED_BYTES:
+            self.forget()
         ids = self[chunk] = self.whole(chunk if chunk.startswith("\n") else " " + chunk)
+        self.held += ENTRY + len(chunk) + len(ids)
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def encode(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
@@ -89,6 +96,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, in
 
     def run(batches):
         words, closing = codec(ranks_path, pattern, special), struct.pack("<I", closing_id)
+        words.forget()
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -103,6 +111,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, in
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row, pa.int64())).cast(arrow.field("doc_id").type),
                  *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], schema=arrow)
+        words.forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
