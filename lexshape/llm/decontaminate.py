@@ -1,23 +1,25 @@
 """Benchmark passages in documents: pigeonhole pieces, then Myers' bit-parallel distance.
 
-Texts are compared word by word (lower case, ASCII punctuation as blanks). An item may
+Texts are compared word by word (lower case; punctuation and blanks of any script part words, and a letter of
+a script that is written without blanks is a word). An item may
 differ from a passage by an error budget of a share of its words (inserted, lost or
 changed). It is cut into budget + 1 pieces, one of which must then stand in the passage
-unchanged; places of pieces are found by the hash of their first words and checked
+unchanged (a short item has a budget of 0 and is one piece); places of pieces are found by the hash of their first words, up to ``WIDEST``, and checked
 against the whole piece, and the item is held against the text around them by
 bit-parallel approximate matching over the words themselves.
 
 Documents are read in one pass for each ``ITEMS`` benchmark items, the most that a pass
 carries to the executors. Nothing is shuffled or joined; no group exists to be hot.
 
-Defined cases: null or wordless texts have no hits. Items of fewer than ``MIN_WORDS`` words
-are no evidence and are left out, as are null items. An item given twice is found twice.
+Defined cases: null or wordless texts have no hits, null or wordless items no evidence. Every other item is searched, those of
+one word too. An item given twice is found twice.
 Equal distances: the first place counts. Repeated documents are reported once each.
 Empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -29,12 +31,19 @@ from pyspark.sql import types as T
 from lexshape.llm.rows import add_columns, keep_rows
 
 ERRORS = 0.15
-MIN_WORDS = 6
+WIDEST = 5              # words of a piece that its hash covers
 ITEMS = 20_000
 _PLAIN = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
+# scripts without blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han), and punctuation and blanks beyond ASCII
+_ALONE = re.compile("[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u1049\u1780-\u17d3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_BETWEEN = re.compile("[\u0085\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u3000-\u3004\u3008-\u3020\u3030\u30fb\ufe10-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def words_of(text: str) -> list[bytes]:
+    if not text.isascii():
+        text = _ALONE.sub(r" \g<0> ", _BETWEEN.sub(" ", text))
     return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
@@ -73,29 +82,32 @@ class Finder:
     """All pieces of a bounded number of items."""
 
     def __init__(self, items: list, errors: float = ERRORS):
-        self.items, by_key = [], defaultdict(list)
+        self.items, by_width = [], defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = words_of(text or "")
-            if len(words) >= MIN_WORDS:
+            if words:
                 places = defaultdict(int)
                 for i, w in enumerate(words):
                     places[w] |= 1 << i
                 self.items.append((item_id, words, dict(places), budget(len(words), errors)))
         cuts = [piece_starts(len(words), e + 1) for _, words, _, e in self.items]
-        self.width = min((b - a for c in cuts for a, b in zip(c, c[1:])), default=1)
         for k, ((_, words, _, _), cut) in enumerate(zip(self.items, cuts)):
             codes = word_codes(words)
             for a, b in zip(cut, cut[1:]):
-                by_key[int(self.rolled(codes[a:a + self.width])[0])].append((k, a, b))
-        self.by_key = dict(by_key)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[np.array([x >> 44 for x in self.by_key], np.int64)] = True
-
-    def rolled(self, codes: np.ndarray) -> np.ndarray:
+                width = min(b - a, WIDEST)
+                by_width[width][int(self.rolled(codes[a:a + width], width)[0])].append((k, a, b))
+        self.by_width = {}
+        for width, by_key in by_width.items():
+            seen = np.zeros(1 << 20, bool)
+            seen[np.array([x >> 44 for x in by_key], np.int64)] = True
+            self.by_width[width] = dict(by_key), seen
+
+    @staticmethod
+    def rolled(codes: np.ndarray, width: int) -> np.ndarray:
         """Hash of each run of ``width`` words."""
-        last = len(codes) - self.width + 1
+        last = len(codes) - width + 1
         h = np.zeros(max(0, last), np.uint64)
-        for j in range(self.width if last > 0 else 0):
+        for j in range(width if last > 0 else 0):
             h = (h ^ codes[j:j + last]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return h
@@ -103,27 +115,32 @@ class Finder:
     def hits(self, text: str) -> list[tuple]:
         """(item_id, distance, first word, end word) of each item within its budget, at its best place."""
         words = words_of(text)
-        if not self.items or len(words) < self.width:
+        if not self.items or not words:
             return []
-        keys = self.rolled(word_codes(words))
-        tried, best = set(), {}
-        for at in np.flatnonzero(self.seen[(keys >> np.uint64(44)).astype(np.int64)]).tolist():
-            for k, a, b in self.by_key.get(int(keys[at]), ()):
-                item_id, item, places, e = self.items[k]
-                if (k, at - a) in tried or words[at:at + b - a] != item[a:b]:
-                    continue
-                tried.add((k, at - a))
-                start = max(0, at - a - e)
-                distance, end = myers(places, len(item), words[start:at - a + len(item) + e])
-                if distance <= e and (k not in best or distance < best[k][1]):
-                    # the reversed item against the reversed text up to the end: where the part begins
-                    back = defaultdict(int)
-                    for i, w in enumerate(reversed(item)):
-                        back[w] |= 1 << i
-                    _, length = myers(back, len(item), words[start:start + end][::-1])
-                    best[k] = (item_id, distance, start + end - length, start + end)
+        codes, tried, best = word_codes(words), set(), {}
+        for width, (by_key, seen) in self.by_width.items():
+            keys = self.rolled(codes, width)
+            places = np.flatnonzero(seen[(keys >> np.uint64(44)).astype(np.int64)]).tolist()
+            self._try(words, ((at, piece) for at in places for piece in by_key.get(int(keys[at]), ())), tried, best)
         return [best[k] for k in sorted(best)]
 
+    def _try(self, words: list, found, tried: set, best: dict) -> None:
+        """Hold the items of found pieces (place, (item, piece's words)) against the text around; ``best`` keeps each item's best place."""
+        for at, (k, a, b) in found:
+            item_id, item, places, e = self.items[k]
+            if (k, at - a) in tried or words[at:at + b - a] != item[a:b]:
+                continue
+            tried.add((k, at - a))
+            start = max(0, at - a - e)
+            distance, end = myers(places, len(item), words[start:at - a + len(item) + e])
+            if distance <= e and (k not in best or (distance, start + end) < (best[k][1], best[k][3])):
+                # the reversed item against the reversed text up to the end: where the part begins
+                back = defaultdict(int)
+                for i, w in enumerate(reversed(item)):
+                    back[w] |= 1 << i
+                _, length = myers(back, len(item), words[start:start + end][::-1])
+                best[k] = (item_id, distance, start + end - length, start + end)
+
 
 def _passes(benchmark: DataFrame, items: int, id_col: str, text_col: str):
     """Lists of at most about ``items`` (id, text) items: bounded parts of the benchmark, one at a time."""
