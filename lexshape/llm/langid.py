@@ -3,16 +3,17 @@
 Training counts runs of ``ORDER`` characters of all words (with their edges) of all labelled
 texts: counted per batch, summed by Spark per language. Lower orders are continuation
 counts; discounts follow from the counts of counts. Probabilities are joins of one order
-with the next. The model keeps all grams, as sorted 64-bit hashes with one column a
-language. Where an order has more than ``MAX_GRAMS`` entries over all languages, the model
-is dealt into parts by the two characters before the predicted one, and texts are read in
+with the next. The model keeps all grams, as sorted 64-bit hashes, each with the languages that
+have it and their values. It is dealt into parts by the two characters before the predicted one, as many as
+hold at most about ``MAX_GRAMS`` entries of an order. Texts are read in
 one pass for each part: every character is predicted in one pass, from all of its grams
-(single characters and pairs go with every part), and the passes' logs are added.
+(single characters and pairs go with every part). A pass leaves a row's id, the hash of its text and its
+sums; the passes' sums are added by these keys.
 
 A text's language is the one of least cross-entropy per character over all of its letters.
-Scores are computed once for a word and batch. The language's own texts calibrate
-rejection: a cross-entropy above all but a thousandth of theirs is rejected; a scale for the
-softmax of cross-entropies gives the score. Both use at most ``CALIBRATION`` texts.
+Scores are computed once for a word and batch. At most about ``CALIBRATION`` distinct texts, and at most a tenth, are left out
+of the counts, chosen by a hash, and calibrate rejection: a cross-entropy above all but a thousandth of the language's own
+(by rank and by a normal curve, whichever is higher) is rejected; a scale for the softmax of cross-entropies gives the score.
 
 Words are runs of letters in lower case; runs of over ``STRETCH`` letters are read in
 stretches. Defined cases: a null or letterless text is ``und`` with score 0. Equal
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexshape.llm.rows import text_sha
 from lexshape.session import settle
 
 ORDER = 5
-MAX_GRAMS = 400_000         # entries of each order that a pass carries, about
+MAX_GRAMS = 1_500_000       # entries (gram and language) of each order that a pass carries, about: 14 bytes each, and 12 for each gram
 CALIBRATION = 4_000
+FOLD = 0.1                  # of the labelled texts, at most, are left out of the counts for calibration
 STRETCH = 24
-CACHED_WORDS = 300_000
-REJECTED = 0.999
+CACHED_WORDS = 200_000
+DENSE = 3                   # cells for each entry up to which a table has a column a language
+SCORED = 8_000              # words that are scored at a time
+REJECTED, NORMAL = 0.999, 3.09      # the share of own texts within the limit, and where a normal curve has it
 OPEN, CLOSE = "\x02", "\x03"
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -120,8 +126,8 @@ def gram_hashes(codes: list[np.ndarray]) -> np.ndarray:
 class Model:
     langs: list[str]
     order: int = ORDER
-    grams: list = field(default_factory=list)        # per order: (sorted hashes, log p by language, nan where unseen)
-    contexts: list = field(default_factory=list)     # per order: (sorted hashes, log of what is left, 0 where unseen)
+    grams: list = field(default_factory=list)        # per order: sorted hashes, and where their entries start, languages, log p
+    contexts: list = field(default_factory=list)     # per order: the same with the log of what is left
     limits: np.ndarray | None = None                 # rejecting cross-entropy by language
     scale: float = 1.0
     part: int = 0                                    # which of the parts ``grams`` and ``contexts`` are
@@ -130,11 +136,11 @@ class Model:
 
     @classmethod
     def of(cls, tables: list[tuple], order: int = ORDER, part: int = 0, parts: int = 1) -> Model:
-        read = [tuple(cls._part(t, n - k, k, part, parts).toArrow() for k, t in enumerate(pair)) for n, pair in enumerate(tables, 1)]
-        model = cls(sorted(set(read[0][0].column("lang").to_pylist())), order, part=part, parts=parts, tables=tables)
-        for n, (grams, contexts) in enumerate(read, 1):
-            model.grams.append(model._sorted(grams, n, np.nan))
-            model.contexts.append(model._sorted(contexts, n - 1, 0.0))
+        named = sorted(r["lang"] for r in tables[0][0].select("lang").distinct().collect())
+        model = cls(named, order, part=part, parts=parts, tables=tables)
+        for n, (grams, contexts) in enumerate(tables, 1):
+            model.grams.append(model._sorted(cls._part(grams, n, 0, part, parts).toArrow(), n, np.nan))
+            model.contexts.append(model._sorted(cls._part(contexts, n - 1, 1, part, parts).toArrow(), n - 1, 0.0))
         return model
 
     @staticmethod
@@ -153,25 +159,41 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"tables": None}
 
-    def _sorted(self, table, length: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        grams = table.column("gram").to_pylist()
-        codes = np.array([[ord(c) for c in g] for g in grams], np.uint32).reshape(len(grams), length)
-        hashes = gram_hashes(list(codes.T)) if length else np.repeat(gram_hashes([]), len(grams))
-        keys, at = np.unique(hashes, return_inverse=True)
-        values = np.full((len(keys), len(self.langs)), missing)
+    def _sorted(self, table, length: int, missing: float) -> tuple:
+        """Sorted hashes, and their values: by language where that takes no more room, otherwise as entries."""
         where = {lang: i for i, lang in enumerate(self.langs)}
-        values[at, [where[x] for x in table.column("lang").to_pylist()]] = table.column("v").to_numpy()
-        return keys, values
-
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = table
+        hashes, langs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16 if len(where) < 1 << 16 else np.uint32)]
+        for batch in table.to_batches(max_chunksize=50_000):
+            codes = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(batch.num_rows, length)
+            hashes.append(gram_hashes(list(codes.T)) if length else np.repeat(gram_hashes([]), batch.num_rows))
+            langs.append(np.fromiter(map(where.__getitem__, batch.column("lang").to_pylist()), langs[0].dtype, batch.num_rows))
+        hashes, langs, values = np.concatenate(hashes), np.concatenate(langs), table.column("v").to_numpy()
+        order = np.lexsort((langs, hashes))
+        keys, starts = np.unique(hashes[order], return_index=True)
+        if len(keys) * len(where) <= DENSE * len(order):
+            dense = np.full((len(keys), len(where)), missing)
+            dense[np.repeat(np.arange(len(keys)), np.diff(np.append(starts, len(order)))), langs[order]] = values[order]
+            return keys, dense
+        return keys, (np.append(starts, len(order)).astype(np.uint32), langs[order], values[order])
+
+    def _look(self, table: tuple, hashes: np.ndarray, missing: float) -> np.ndarray:
+        """Values by language of each hash; ``missing`` where a language doesn't have it."""
+        keys, held = table
+        at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+        if isinstance(held, np.ndarray) and len(keys):
+            found = held[at]
+            found[keys[at] != hashes] = missing
+            return found
+        out = np.full((len(hashes), len(self.langs)), missing)
         if not len(keys):
-            return np.full((len(hashes), values.shape[1]), missing)
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        found = values[at]
-        found[keys[at] != hashes] = missing
-        return found
+            return out
+        starts, langs, values = held
+        rows = np.flatnonzero(keys[at] == hashes)
+        first = starts[at[rows]].astype(np.int64)
+        each = starts[at[rows] + 1] - first
+        entry = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
+        out[np.repeat(rows, each), langs[entry]] = values[entry]
+        return out
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word with its edges, by language; of the characters of this part."""
@@ -199,8 +221,8 @@ class Model:
         new = list(set().union(*split) - rows.keys())
         if new:
             rows.update(zip(new, range(len(rows), len(rows) + len(new))))
-            scores = self.word_scores(new)
-            cache["scores"] = np.concatenate([cache["scores"], scores]) if "scores" in cache else scores
+            scores = [self.word_scores(new[a:a + SCORED]) for a in range(0, len(new), SCORED)]
+            cache["scores"] = np.concatenate([cache["scores"], *scores] if "scores" in cache else scores)
         out = np.full((len(texts), len(self.langs)), np.nan)
         for i, words in enumerate(split):
             if words:
@@ -223,79 +245,75 @@ class Model:
         return made
 
 
-def calibrate(model: Model, labelled: DataFrame, most: int = CALIBRATION) -> Model:
-    """Set the model's limits and scale from at most about ``most`` labelled texts, chosen by a hash of the text."""
-    share = min(1.0, most / max(1, labelled.count()))
-    rows = labelled.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    if model.parts == 1:
-        found = with_entropies(rows.select("lang", "text"), model).select("lang", "h").toArrow()
-    else:
-        *_, summed = over_parts(rows.select("lang", "text"), model)
-        found = summed.select("lang", "h").toArrow()
-    if not found.num_rows:
+def calibrate(model: Model, texts: DataFrame) -> Model:
+    """Set the model's limits and scale from a bounded number of (lang, text) rows that its counts don't hold."""
+    found = entropies_of(texts.where(F.col("lang").isin(model.langs)), model, "lang").toArrow() if model.langs else None
+    if not found:
         return model
-    h, lang = np.array(found.column("h").to_pylist()), np.array([model.langs.index(x) for x in found.column("lang").to_pylist()])
+    h, lang = np.array(found.column("h").to_pylist()), np.array([model.langs.index(x) for x in found.column("id").to_pylist()])
     sound = ~np.isnan(h).any(axis=1)
     h, lang = h[sound], lang[sound]
     if len(h):
         own = h[np.arange(len(h)), lang]
-        model.limits = np.array([np.quantile(own[lang == k], REJECTED) if (lang == k).any() else np.inf for k in range(len(model.langs))])
+        limit = lambda x: max(np.quantile(x, REJECTED), x.mean() + NORMAL * x.std())
+        model.limits = np.array([limit(own[lang == k]) if (lang == k).sum() > 1 else np.inf for k in range(len(model.langs))])
         loss = lambda s: np.mean(np.log(np.exp(-np.minimum((h - own[:, None]) * s, 700)).sum(axis=1)))
         model.scale = min((2.0 ** k for k in range(7)), key=loss)
     return model
 
 
-def with_entropies(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` with ``h``, the cross-entropies of their text by this part of the model, added to those they have."""
-    out = T.StructType([*(f for f in rows.schema if f.name != "h"), T.StructField("h", T.ArrayType(T.DoubleType()))])
-    arrow, more = to_arrow_schema(out), "h" in rows.columns
+def entropies_of(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """(id, h): the cross-entropies of each row's text by language, summed over the passes of the model's parts.
+
+    A pass writes ids, hashes of texts and sums; rows alike in id and text have equal sums, so any of them serves."""
+    keyed = rows.select(F.col(id_col).alias("id"), F.col("text"), text_sha().alias("sha"))
+    first, *others = [settle(_pass(keyed, part)) for part in model.each()]
+
+    def add(sums: DataFrame, more: DataFrame) -> DataFrame:
+        more = more.dropDuplicates(["id", "sha"]).select(F.col("id").alias("id_"), F.col("sha").alias("sha_"), F.col("h").alias("h_"))
+        return sums.join(more, F.col("id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_"))).select("id", "sha", F.zip_with("h", "h_", lambda x, y: x + y).alias("h"))
+    return reduce(add, others, first).select("id", "h")
+
+
+def _pass(keyed: DataFrame, part: Model) -> DataFrame:
+    out = T.StructType([keyed.schema["id"], keyed.schema["sha"], T.StructField("h", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(out)
 
     def run(batches):
         cache: dict = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                h = model.entropies([t or "" for t in part.column("text").to_pylist()], cache)
-                if more:
-                    h = h + np.array(part.column("h").to_pylist(), float).reshape(h.shape)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name).cast(f.type) for f in list(arrow)[:-1]), pa.array(list(h), arrow.field("h").type)], schema=arrow)
-
-    return rows.mapInArrow(run, out)
-
+                rows = batch.slice(a, 2000)
+                h = part.entropies([t or "" for t in rows.column("text").to_pylist()], cache)
+                yield pa.RecordBatch.from_arrays([rows.column("id").cast(arrow.field(0).type), rows.column("sha").cast(arrow.field(1).type), pa.array(list(h), arrow.field(2).type)], schema=arrow)
 
-def over_parts(rows: DataFrame, model: Model):
-    """``with_entropies`` after each part of the model, written in between; the last has all."""
-    for part in model.each():
-        rows = settle(with_entropies(rows, part))
-        yield rows
+    return keyed.mapInArrow(run, out)
 
 
-def train(labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
+def train(labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, most: int = CALIBRATION) -> Model:
     """A calibrated model of (lang, text) rows; rows without a language or text do not count."""
     known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    tables = kneser_ney(gram_counts(known, order), order)
+    share = min(FOLD, most / max(1, known.count()))
+    left_out = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))
+    fold = settle(known.where(left_out).dropDuplicates(["lang", "text"]))
+    counted = known.where(~left_out)
+    only_there = fold.join(counted.select("lang").distinct(), "lang", "left_anti")         # a language all of whose texts were left out is counted
+    tables = kneser_ney(gram_counts(counted.unionByName(only_there), order), order)
     parts = 1 if order < 3 else max(1, -(-max(t.count() for pair in tables[2:] for t in pair) // max_grams))
-    return calibrate(Model.of(tables, order, parts=parts), known)
+    return calibrate(Model.of(tables, order, parts=parts), fold)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, lang_pred, score, cross_entropy, rejected."""
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                         T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    arrow, whole = to_arrow_schema(out), model.parts == 1
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    judge = model if whole else replace(model, grams=[], contexts=[], tables=None)
-    if not whole:
-        *_, rows = over_parts(rows, model)
-        rows = rows.select("doc_id", "h")
+    arrow = to_arrow_schema(out)
+    judge = replace(model, grams=[], contexts=[], tables=None)
+    rows = entropies_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "doc_id")
 
     def run(batches):
-        cache: dict = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                h = judge.entropies([t or "" for t in part.column("text").to_pylist()], cache) if whole else np.array(part.column("h").to_pylist(), float)
-                made = judge.judge(h)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(arrow.field("doc_id").type), *(pa.array(x, f.type) for x, f in zip(zip(*made), list(arrow)[1:]))], schema=arrow)
+            made = judge.judge(np.array(batch.column("h").to_pylist(), float).reshape(batch.num_rows, len(judge.langs)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(arrow.field("doc_id").type), *(pa.array(x, f.type) for x, f in zip(zip(*made), list(arrow)[1:]))], schema=arrow)
 
     return rows.mapInArrow(run, out)

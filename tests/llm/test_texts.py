@@ -84,6 +84,94 @@ def test_every_gram_of_a_rare_language_is_kept_whatever_the_others_have(spark, f
         assert a[i].cross_entropy == pytest.approx(b[i].cross_entropy, abs=1e-9) and a[i].score == pytest.approx(b[i].score, abs=1e-9)
 
 
+def plain_kneser_ney(texts, order):
+    """A word's log-likelihood by dictionaries: discounted counts, continuation counts below, one share for unseen letters."""
+    from collections import Counter, defaultdict
+    levels = [None] * order + [Counter()]
+    for text in texts:
+        for w in langid.words_of(text):
+            padded = langid.OPEN * (order - 1) + w + langid.CLOSE
+            levels[order].update(padded[i:i + order] for i in range(len(w) + 1))
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discounts, totals = [0.0], [None]
+    for level in levels[1:]:
+        n1, n2 = (sum(c == k for c in level.values()) for k in (1, 2))
+        discounts.append(min(max(n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5, 0.05), 0.95))
+        of = defaultdict(lambda: [0, 0])
+        for g, c in level.items():
+            of[g[:-1]][0] += c
+            of[g[:-1]][1] += 1
+        totals.append(of)
+
+    def p(gram):
+        n = len(gram)
+        total, kinds = totals[n].get(gram[:-1], (0, 0)) if n else (0, 0)
+        lower = 1 / (totals[1][""][1] + 1) if n == 1 else p(gram[1:])
+        return lower if not total else max(levels[n][gram] - discounts[n], 0) / total + discounts[n] * kinds / total * lower
+
+    def score(word):
+        padded = langid.OPEN * (order - 1) + word + langid.CLOSE
+        return sum(np.log(p(padded[i:i + order])) for i in range(len(word) + 1))
+    return score
+
+
+def test_word_scores_equal_a_plain_model(spark, prose):
+    texts = {"a": [prose(60, k) for k in range(4)], "b": ["zéro un deux trois quatre", prose(20, 9), "un deux"]}
+    labelled = spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string")
+    model = langid.Model.of(langid.kneser_ney(langid.gram_counts(labelled)))
+    words = [*prose(15, 2).split(), "un", "deuxième", "qqq", "x", "你好", "zé"]
+    got = model.word_scores(words)
+    for k, lang in enumerate(model.langs):
+        score = plain_kneser_ney(texts[lang], langid.ORDER)
+        assert got[:, k] == pytest.approx([score(w) for w in words], abs=1e-9)
+
+
+def test_held_out_texts_are_rejected_about_as_rarely_as_meant(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.where("doc_id % 4 = 2")
+    model = langid.train(docs.where("doc_id % 4 <> 2"))
+    got = langid.identify(held.where("n_chars > 100"), model).collect()
+    assert sum(r.rejected for r in got) <= 0.015 * len(got)
+    strange = spark.createDataFrame([(k, "".join(random.Random(k).choices("qxzwvkj ", k=300))) for k in range(20)], "doc_id long, text string")
+    assert all(r.rejected for r in langid.identify(strange, model).collect())
+
+
+# --- short and unspaced benchmark items ---------------------------------------
+
+def test_short_items_and_items_without_blanks_are_found(spark, frame, prose):
+    question = "请问中国的首都是哪一座城市？请从下面四个选项中选出一个正确的答案。"
+    items = [(1, "What is the capital?"), (2, question), (3, "yes"), (4, "¿Qué hora es?"), (5, None), (6, " -- "), (7, "ประเทศไทย")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    near = question.replace("四个", "五个")                           # one letter of some thirty: within the budget
+    rows = [(1, f"{prose(20, 1)} what is the CAPITAL {prose(20, 2)}"), (2, f"前言。{question}后记。"), (3, f"text {near} text"), (4, "oh yes, that"), (5, "dice qué hora es hoy"),
+            (6, prose(50, 3)), (7, "what is a capital"), (8, "我来自ประเทศไทย"), (9, None), (10, "eyes yesterday")]
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(frame(rows), bench).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 2, 1), (4, 3, 0), (5, 4, 0), (8, 7, 0)}
+    assert {r.doc_id for r in decontaminate.drop_leaked(frame(rows), bench).collect()} == {6, 7, 9, 10}
+
+
+def test_a_false_declaration_of_statelessness_is_seen_in_the_registered_path(spark):
+    def forgets(turns):         # drops earlier thoughts when a user speaks
+        last = max((i for i, (role, _) in enumerate(turns) if role == "user"), default=-1)
+        return "".join(f"<{role}>{text}" for i, (role, text) in enumerate(turns) if role != "thought" or i > last)
+    claimed = chat.stateless(lambda turns: forgets(turns))
+    turns = [("user", "a"), ("thought", "b"), ("assistant", "c"), ("user", "d")]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.format_turns(df, claimed).collect(), key=lambda r: r.turn_no)
+    assert [r.turn_no for r in rows if r.rewound] == [3]                       # within the whole prefixes
+    state = chat.Incremental(claimed)
+    with pytest.raises(ValueError, match="declared stateless"):                # and later by the whole rendering
+        for k in range(200):
+            state.add(*[("user", "x"), ("thought", "y")][k % 5 == 4 and k > chat.WHOLE])
+
+
+def test_long_stateless_conversations_equal_the_whole_rendering():
+    turns = [(("user", "assistant")[k % 2], f"turn {k} <|im_end|>") for k in range(700)]
+    state = chat.Incremental(chat.chatml)
+    assert "".join(state.add(*t)["piece"] for t in turns) == chat.chatml(turns)
+
+
 # --- quality -----------------------------------------------------------------
 
 def test_rejects_bad_documents_and_keeps_good_ones(spark):
@@ -167,7 +255,7 @@ def test_leaks_equal_brute_force(spark, frame, prose):
     for i, text in rows:
         for item_id, item in items:
             w = decontaminate.words_of(item or "")
-            if len(w) >= decontaminate.MIN_WORDS and (d := edit_distance_in(w, decontaminate.words_of(text or ""))) <= decontaminate.budget(len(w)):
+            if w and (d := edit_distance_in(w, decontaminate.words_of(text or ""))) <= decontaminate.budget(len(w)):
                 want.add((i, item_id, d))
     got = decontaminate.leaks(frame(rows), bench).collect()
     assert {(g.doc_id, g.item_id, g.distance) for g in got} == want and len(want) > 30
