@@ -29,7 +29,7 @@ from lexshape.session import settle
 SEQUENCE = 2048
 GROUP = 4096
 CLOSING_ID = 1
-CACHED_BYTES = 12_000_000     # about, of a worker's cache of chunks and their ids; a task's cache ends with it
+CACHED_BYTES = 48_000_000     # about, of a worker's cache of chunks and their ids; a task's cache ends with it
 ENTRY = 200                   # what an entry takes beside its characters and ids
 
 
