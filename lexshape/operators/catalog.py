@@ -131,24 +131,40 @@ def word_concept(e: DataFrame) -> Column:
             .when(gloss != "", F.concat(F.lit("g:"), gloss)))
 
 
-def cross_source_disagreement(judged: DataFrame) -> DataFrame:
-    """Open forms whose word (same language, meaning, spelling but for length)
-    another source closes."""
-    keys = ["glottocode", "concept", "loose"]
+_VERDICT_KEYS = ["glottocode", "concept", "loose", "source", "shape"]
+
+
+def verdict_state(judged: DataFrame) -> DataFrame:
+    """Mergeable verdicts of the judged words that stand for a meaning: was a shape of it ever closed, ever open."""
     words = (judged_words(judged).withColumn("concept", word_concept(judged)).where("concept is not null")
              .withColumn("loose", C.loose_key(F.col("shape")))
              .withColumn("open", F.col("is_open").cast("int")))
-    per_source = words.groupBy(*keys, "source").agg(F.min("open").alias("lo"), F.max("open").alias("hi"))
+    return words.groupBy(*_VERDICT_KEYS).agg(F.min("open").alias("lo"), F.max("open").alias("hi"))
+
+
+def disagreement_from_state(verdicts: DataFrame) -> DataFrame:
+    """Open forms whose word (same language, meaning, spelling but for length)
+    another source closes."""
+    keys = ["glottocode", "concept", "loose"]
+    per_source = verdicts.groupBy(*keys, "source").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     split = per_source.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     ).where("n > 1 and lo <> hi").select(*keys)
-    open_forms = words.where("open = 1").select(*keys, "shape").distinct()
+    open_forms = verdicts.where("hi = 1").select(*keys, "shape").distinct()
     return open_forms.join(split, keys, "left_semi").select("glottocode", "shape").distinct()
 
 
+def cross_source_disagreement(judged: DataFrame) -> DataFrame:
+    return disagreement_from_state(verdict_state(judged))
+
+
 def flag_disagreements(forms: DataFrame, judged: DataFrame) -> DataFrame:
     """Put disputed forms under review; ``disputed`` marks the newly flagged ones."""
-    flags = cross_source_disagreement(judged).withColumn("_flag", F.lit(True))
+    return flag_forms(forms, cross_source_disagreement(judged))
+
+
+def flag_forms(forms: DataFrame, disputed: DataFrame) -> DataFrame:
+    flags = disputed.withColumn("_flag", F.lit(True))
     joined = forms.join(flags, ["glottocode", "shape"], "left")
     flag = F.coalesce(F.col("_flag"), F.lit(False))
     return (joined.withColumn("disputed", flag & ~F.col("under_review"))
@@ -163,7 +179,11 @@ def word_glosses(judged: DataFrame) -> DataFrame:
 
 def build_words(judged: DataFrame) -> DataFrame:
     """Words: homophones of one form and tone collapse; sources in first-seen order."""
-    per_source = word_glosses(judged).groupBy("glottocode", "shape", "tone", "source", "tier_rank").agg(
+    return words_from_glosses(word_glosses(judged))
+
+
+def words_from_glosses(glosses: DataFrame) -> DataFrame:
+    per_source = glosses.groupBy("glottocode", "shape", "tone", "source", "tier_rank").agg(
         F.min("seq").alias("seq"), F.count(F.lit(1)).alias("glosses"))
     return per_source.groupBy("glottocode", "shape", "tone").agg(
         F.min("tier_rank").alias("tier_rank"), F.sum("glosses").alias("glosses"), F.min("seq").alias("seq"),
@@ -200,10 +220,18 @@ def tone_marked(judged: DataFrame) -> DataFrame:
 
 def language_counts(judged: DataFrame) -> DataFrame:
     """``examined``, ``sample`` and ``tone_marked`` from one pass over the judged words."""
-    per_word = judged_words(judged).groupBy("glottocode", "segments").agg(
+    return counts_from_state(sample_state(judged))
+
+
+def sample_state(judged: DataFrame) -> DataFrame:
+    """Mergeable counts of the judged segment strings: rows, rows with tone, first and last kind of source."""
+    return judged_words(judged).groupBy("glottocode", "segments").agg(
         F.sum("rows").alias("rows"),
         F.sum(F.when(F.col("tone") != "", F.col("rows")).otherwise(0)).alias("toned"),
         F.min("kind").alias("k0"), F.max("kind").alias("k1"))
+
+
+def counts_from_state(per_word: DataFrame) -> DataFrame:
     return per_word.groupBy("glottocode").agg(
         F.count(F.lit(1)).alias("examined"),
         F.when(F.min("k0") == F.max("k1"), F.min("k0")).otherwise("mixed").alias("sample"),
@@ -237,9 +265,6 @@ def merge_languages(languages: DataFrame) -> DataFrame:
     ).select("glottocode", "a.*", "family")
 
 
-_ROWS = 10 ** 34      # more than any dataset's own ``seq``
-
-
 def union_datasets(*tables: DataFrame) -> DataFrame:
     """Concatenate datasets; each keeps its place as ``dataset_ord``.
 
@@ -248,7 +273,7 @@ def union_datasets(*tables: DataFrame) -> DataFrame:
     for i, t in enumerate(tables):
         t = t.withColumn("dataset_ord", F.lit(i))
         if "seq" in t.columns:
-            t = t.withColumn("seq", (F.col("seq").cast("decimal(34,0)") + F.lit(str(i * _ROWS)).cast("decimal(38,0)")).cast("decimal(38,0)"))
+            t = t.withColumn("seq", F.struct(F.lit(i).alias("dataset_ord"), F.col("seq").cast("decimal(34,0)").alias("seq")))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 

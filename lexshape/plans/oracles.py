@@ -142,6 +142,10 @@ POSTS = FORMS + "," + LANGS + """,
 posts AS (SELECT shape, glottocode, tier_rank, cc_rank, under_review, n_tones::int AS tones FROM forms),
 feats AS (SELECT shape, arg_min(onset_class, glottocode) AS onset_class, arg_min(nucleus_bucket, glottocode) AS nucleus_bucket,
     arg_min(nucleus_type, glottocode) AS nucleus_type, count(*) AS languages FROM forms GROUP BY shape)"""
+DISPUTED = FORMS + ", " + r"""v AS (SELECT glottocode, shape, src, is_open, coalesce('c' || cid, 'g' || lower(trim(gloss))) AS concept, string_split(replace(shape, 'ː', ''), '') AS c FROM jv WHERE status IN ('open', 'closed')),
+        u AS (SELECT DISTINCT glottocode, shape, src, is_open, concept, array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), '') AS loose FROM v WHERE concept IS NOT NULL),
+        g AS (SELECT glottocode, concept, loose FROM u GROUP BY ALL HAVING count(DISTINCT src) > 1 AND bool_or(is_open) AND NOT bool_and(is_open)),
+        d AS (SELECT DISTINCT u.glottocode, u.shape, true AS flag FROM u JOIN g USING (glottocode, concept, loose) WHERE is_open)"""
 TIER_COUNTS = ", ".join(f"count(*) FILTER (tier_rank = {i}) AS {t}" for i, t in enumerate(K.TIERS))
 
 CONCEPTS = POSTS + """,
@@ -313,10 +317,7 @@ ORACLES: dict[str, str] = {
     "disambiguate_names": f"WITH {LANGS} SELECT glottocode, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' || glottocode || ')' ELSE name END AS name FROM langs",
     "commercial_safe": f"WITH {FORMS} SELECT glottocode, shape FROM jv JOIN src ON jv.src = src.id WHERE status = 'open' GROUP BY ALL HAVING bool_and(license IN ('CC-BY-4.0', 'CC-BY-SA-4.0'))",
     "build_forms": f"WITH {FORMS} SELECT glottocode, shape, tier_rank, cc_rank, under_review, onset_class, nucleus_type, nucleus_bucket, tones, sources, preferred_source FROM forms",
-    "forms_under_review": f"""WITH {FORMS}, v AS (SELECT glottocode, shape, src, is_open, coalesce('c' || cid, 'g' || lower(trim(gloss))) AS concept, string_split(replace(shape, 'ː', ''), '') AS c FROM jv WHERE status IN ('open', 'closed')),
-        u AS (SELECT DISTINCT glottocode, shape, src, is_open, concept, array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), '') AS loose FROM v WHERE concept IS NOT NULL),
-        g AS (SELECT glottocode, concept, loose FROM u GROUP BY ALL HAVING count(DISTINCT src) > 1 AND bool_or(is_open) AND NOT bool_and(is_open)),
-        d AS (SELECT DISTINCT u.glottocode, u.shape, true AS flag FROM u JOIN g USING (glottocode, concept, loose) WHERE is_open)
+    "forms_under_review": f"""WITH {DISPUTED}
         SELECT glottocode, shape, coalesce(flag, false) AND NOT under_review AS disputed FROM forms LEFT JOIN d USING (glottocode, shape) WHERE under_review OR flag""",
     "build_words": f"""WITH {CONCEPTS}, s AS (SELECT glottocode, shape, tone, src, min(seq) AS seq, count(*) AS n FROM wg GROUP BY ALL)
         SELECT glottocode, shape, tone, min(tier_rank)::int AS tier_rank, sum(n)::bigint AS glosses, string_agg(src, '|' ORDER BY seq) AS sources FROM s JOIN src ON s.src = src.id GROUP BY ALL""",
@@ -457,8 +458,10 @@ ORACLES: dict[str, str] = {
     "read_glosses": """SELECT p_name || ' ' || p_partkey AS word, least(3, count(DISTINCT l_linenumber)) AS senses, max(length(p_type) + 2)::int AS longest
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 5 GROUP BY ALL""",
     "write_index": f"WITH {POSTS} SELECT * FROM posts",
-    "write_index_tables": f"WITH {POSTS} SELECT shape, glottocode, tier_rank, onset_class FROM posts JOIN (SELECT shape, onset_class FROM feats) USING (shape) WHERE shape IN ('de', 'la')",
+    "write_index_tables": f"WITH {POSTS} SELECT shape, glottocode, tier_rank, onset_class FROM posts JOIN (SELECT shape, onset_class FROM feats) USING (shape)",
     "export_json": f"WITH {POSTS} SELECT *, 'u' || array_to_string(list_transform(string_split(shape, ''), lambda c: lpad(lower(to_hex(ord(c))), 4, '0')), '-') AS slug FROM feats",
+    "release_forms": f"""WITH {DISPUTED} SELECT glottocode, shape, tier_rank, cc_rank, under_review OR coalesce(flag, false) AS under_review,
+        coalesce(flag, false) AND NOT under_review AS disputed, onset_class, tones, sources, preferred_source FROM forms LEFT JOIN d USING (glottocode, shape)""",
     "merge_release": f"""WITH {FORMS} SELECT glottocode, shape, tier_rank, cc_rank, under_review, tones, array_to_string(list_sort(string_split(sources, '|')), '|') AS sources, preferred_source FROM forms""",
     "sweep_stale": "SELECT p_brand || '/' || p_type AS key, p_partkey FROM part WHERE right(p_brand, 1)::int % 2 = 0",
     "scheme_mapping": f"""WITH {CANON}, x AS (SELECT segmental, string_split(replace(segmental, 'ː', ''), '') AS c FROM cn)
@@ -467,3 +470,5 @@ ORACLES: dict[str, str] = {
 # the views over published tables give what the views over the texts give
 ORACLES |= {f"published_{name}": ORACLES[name] for name in ("heatmap", "family_spread", "concept_labels", "concept_summary")}
 ORACLES["published_chance_bands"] = f"WITH {SUMMARY} SELECT ckey, shape, label, obs, lo, hi, q FROM bh JOIN l3 USING (ckey)"
+# a catalog made by releases is the one made at once
+ORACLES |= {f"release_{name.removeprefix('build_')}": ORACLES[name] for name in ("build_words", "language_counts", "excluded_counts")}

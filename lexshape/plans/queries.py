@@ -894,13 +894,12 @@ def write_index(spark, d):
 
 @query
 def write_index_tables(spark, d):
-    """Postings by shape and shapes as one table, written together; the postings of two shapes read back by key."""
+    """Postings by shape and shapes as one table, written together and joined as read back."""
     path = scratch_path(spark, "tables")
     f = settled_forms(spark, d)
     sinks.write_index({"postings": IX.postings(f), "shapes": IX.shape_features(f)}, path, {"postings": "shape"}, buckets=16)
     shapes = spark.read.parquet(f"{path}/shapes").select("shape", "onset_class")
-    found = sinks.read_key(spark, f"{path}/postings", "shape", "de").unionByName(sinks.read_key(spark, f"{path}/postings", "shape", "la"))
-    return found.join(shapes, "shape").select("shape", "glottocode", "tier_rank", "onset_class")
+    return spark.read.parquet(f"{path}/postings").join(shapes, "shape").select("shape", "glottocode", "tier_rank", "onset_class")
 
 
 @query
@@ -925,6 +924,42 @@ def merge_release(spark, d):
                     joined(F.array_sort("sources")).alias("sources"), "preferred_source")
 
 
+def _released(spark, d, *tables):
+    """Three releases: a first build, one of two texts in seven, and one of a single source; the last is sent twice and counts once."""
+    e = P.word_entries(spark, d, doc_id=True)
+    s = settle(P.word_sources(spark, d))
+    store = RL.Releases(spark, scratch_path(spark, "releases"), 16, tables)
+    alone = F.coalesce(F.regexp_extract("source", r"^(.*)/", 1) == "src1", F.lit(False))
+    second = (F.col("doc_id") % 7 >= 5) & ~alone
+    for name, part in [("first", ~alone & ~second), ("second", second), ("third", alone), ("third", alone)]:
+        store.add(name, CAT.judge_entries(e.where(part), s))
+    return store
+
+
+@query
+def release_forms(spark, d):
+    """Forms of a catalog made by releases, with disagreements between texts of different releases."""
+    f = _released(spark, d, "forms", "verdicts").forms()
+    return f.select("glottocode", "shape", "tier_rank", "cc_rank", "under_review", "disputed", "onset_class", joined("tones").alias("tones"),
+                    joined("sources").alias("sources"), "preferred_source")
+
+
+@query
+def release_words(spark, d):
+    w = _released(spark, d, "glosses").words()
+    return w.select("glottocode", "shape", "tone", "tier_rank", "glosses", joined("sources").alias("sources"))
+
+
+@query
+def release_language_counts(spark, d):
+    return _released(spark, d, "samples").language_counts()
+
+
+@query
+def release_excluded_counts(spark, d):
+    return _released(spark, d, "excluded").excluded_counts()
+
+
 @query
 def sweep_stale(spark, d):
     """Parts by size and type: a build, then one without every other brand, of which only the changed buckets are rewritten; the

@@ -132,6 +132,11 @@ def last_entry(spark: SparkSession, path: str) -> int:
     return max((n for n, _ in _log(spark, path)), default=0)
 
 
+def versions(spark: SparkSession, path: str) -> set[str]:
+    """Names of the complete entries of a version log."""
+    return {entry["version"] for _, entry in _log(spark, path)}
+
+
 def publish_version(spark: SparkSession, path: str, version: str, folder: str, chunked: bool = True, after: int | None = None) -> int:
     """Point readers at a finished build: a new entry in the log at ``path``, written last, after the build's data.
 

@@ -90,6 +90,43 @@ def test_a_release_equals_a_rebuild(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+def test_releases_equal_a_rebuild_and_leave_other_buckets_alone(spark, tmp_path):
+    rows = [("x", "maa", "c1", "mother"), ("y", "ta", "m1", "horse"), ("y", "mat", "m1", "mat"), ("z", "*a", "c1"),
+            ("x", "maː", "c2", "Mother"), ("x", "ma˥", "g1", "horse"), ("x", "ma˥", "g1", "horse"), ("w", "ko", "c1", None, 7)]
+    e, s = entries(spark, rows), sources(spark)
+    first, second = (C.judge_entries(e.where(part), s) for part in ("seq < 4", "seq >= 4"))
+    store = RL.Releases(spark, str(tmp_path / "r"), 64)
+    with pytest.raises(ValueError, match="no release"):
+        store.forms()
+    assert store.add("first", first) and not any(r["disputed"] for r in store.forms().collect())
+    assert store.add("second", second) and not store.add("second", second), "a release counts once"
+
+    whole = C.judge_entries(e, s)
+    for got, expected in [(store.forms(), C.build_forms(whole)), (store.words(), C.build_words(whole)), (store.language_counts(), C.language_counts(whole)),
+                          (store.excluded_counts(), C.excluded_counts(whole))]:
+        assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+    assert [r["shape"] for r in store.forms().where("disputed").collect()] == ["maː"]
+
+    bucket = {r["glottocode"]: r["b"] for r in e.select("glottocode", F.expr("pmod(xxhash64(glottocode), 64)").alias("b")).distinct().collect()}
+    folders = {p.name for p in (tmp_path / "r" / "forms" / "release=2").iterdir() if p.is_dir()}
+    assert folders == {f"bucket={bucket[g]}" for g in "xw"}, "only what the entries touch is rewritten"
+    live = {r["bucket"]: r["release"] for r in store._live(2).collect()}
+    assert live == {bucket["x"]: 2, bucket["w"]: 2, bucket["y"]: 1, bucket["z"]: 1}
+
+
+def test_a_failed_release_leaves_no_trace(spark, tmp_path):
+    e, s = entries(spark, [("x", "ma", "c1"), ("x", "ma", "c2")]), sources(spark)
+    store = RL.Releases(spark, str(tmp_path / "r"), 4, ("forms", "samples"))
+    store.add("first", C.judge_entries(e.where("seq = 0"), s))
+    # what a writer that died before its log entry leaves behind
+    C.form_state(C.judge_entries(e, s)).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(str(tmp_path / "r" / "forms" / "release=2"))
+    assert [r["sources"] for r in C.forms_from_state(store.state("forms")).collect()] == [["c1"]]
+    assert store.add("second", C.judge_entries(e.where("seq = 1"), s))
+    assert [r["sources"] for r in C.forms_from_state(store.state("forms")).collect()] == [["c1", "c2"]]
+    assert store.add("nothing", C.judge_entries(e.where("seq > 1"), s)), "a release may be empty"
+    assert store.state("forms").agg(F.sum("rows")).first()[0] == 2
+
+
 def test_merges(spark):
     s = spark.createDataFrame([("a", "curated", "x", "k", 0), ("a", "mined", "y", "k", 1)], "id string, tier string, license string, kind string, dataset_ord int")
     assert [r["tier"] for r in C.merge_sources(s).collect()] == ["mined"]
