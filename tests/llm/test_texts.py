@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -218,6 +219,45 @@ def test_licenses(frame):
     assert licenses.scan(frame(rows)).count() == len(rows) and licenses.scan(frame(rows).limit(0)).count() == 0
 
 
+def license_body(name):
+    return (Path(licenses.__file__).parent / "license_texts" / name).read_text()
+
+
+def test_license_bodies_and_parts(frame, prose):
+    mit, gpl, apache = (license_body(n) for n in ("mit.mit.txt", "gpl.gpl-3.0.txt", "apache.apache-2.0.txt"))
+    warranty = mit.strip().split("\n\n")[-1]
+    rows = [(1, mit), (2, f"{prose(40, 1)} {warranty} {prose(40, 2)}"), (3, license_body("isc.isc.txt")), (4, gpl), (5, apache[len(apache) // 2:]),
+            (6, license_body("unlicense.unlicense.txt")), (7, license_body("lgpl.lgpl-3.0.txt")), (8, license_body("bsd.bsd-2.txt")), (9, license_body("zlib.zlib.txt")),
+            (10, "this is released under the MIT licence now"), (11, "it is released under a MIT licence now"), (12, prose(4000, 3)), (13, " ".join([warranty] * 3))]
+    got = {r.doc_id: r for r in licenses.scan(frame(rows)).collect()}
+    assert [got[i].labels for i in range(1, 10)] == ["mit", "mit", "isc", "gpl", "apache", "unlicense", "gpl,lgpl", "bsd", "zlib"]
+    assert got[7].base_labels == "gpl" and {s.label for s in got[7].spans} == {"lgpl"}, "the base phrase stands in the lesser license, too"
+    assert (got[2].spans[0].first_word, got[2].score) == (40, 1.0) and got[2].base_labels == ""
+    covered = sum(s.end_word - s.first_word for s in got[4].spans)
+    assert covered > 0.9 * got[4].n_words, "the spans cover the whole body"
+    assert (got[10].labels, got[10].score) == ("mit", 0.8), "a similarity of exactly 0.8 is enough"
+    assert got[11].labels == got[12].labels == "" and len(got[13].spans) == 3
+
+
+def test_license_spans_equal_all_places_tried(frame, prose):
+    """Brute force: every template against every part of every text, by a plain table of edits."""
+    r = random.Random(5)
+    templates = [("a", prose(12, 11)), ("b", prose(20, 12)), ("c", prose(31, 13))]
+    rows = []
+    for i in range(60):
+        words = prose(r.randint(5, 25), 100 + i).split()
+        for _, t in r.sample(templates, r.randint(0, 2)):
+            t = t.split()
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(t))
+                t[at:at + r.randint(0, 1)] = r.choice([[], ["zzz"]])
+            words += t + prose(r.randint(6, 12), 500 + i).split()
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: x.labels for x in licenses.scan(frame(rows), templates).collect()}
+    within = {i: ",".join(sorted({label for label, t in templates if 100 * edit_distance_in(t.split(), text.split()) <= 20 * len(t.split())})) for i, text in rows}
+    assert got == within and len(set(got.values())) > 3
+
+
 # --- decontamination ---------------------------------------------------------
 
 def edit_distance_in(item, text):
