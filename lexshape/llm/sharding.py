@@ -1,6 +1,8 @@
 """Shards through fixed virtual slots.
 
-A record's key is hashed to one of a few thousand slots and stays there for good. Bytes
+A record's key is hashed to one of a few thousand slots. A slot that holds more than a
+``PART`` of a shard (one key, or none, may be a third of all rows) is opened: its records are hashed
+by key, text and place instead and so lie in all slots; the map says which slots are open. Bytes
 are summed per slot, and a map from slot to shard, stored in versions, says where a slot
 lives. Rebalancing edits the map: it moves as few slots as evens out the bytes, writes
 the next version and never touches the hash. Adding a shard moves slots into it only.
@@ -11,8 +13,8 @@ the only things the driver sees and the only table that is broadcast.
 Positions within a shard are counted in two steps (rows of a slot in a written part,
 then totals over parts and slots), so neither a shard nor a slot is ever one task's group.
 
-Defined cases: a null text has no bytes (size 1, CRC 0). Null keys share a slot. Rows that
-repeat a key stay together in its slot and get positions of their own. An empty table
+Defined cases: a null text has no bytes (size 1, CRC 0). Null keys share a slot, and so do rows that
+repeat a key, unless it is open; each row gets a position of its own. An empty table
 gives an empty result and an even map.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql.window import Window
 from lexshape.session import settle
 
 SLOTS = 4096
+PART = 64                   # a slot with more than this part of an even shard is opened
 
 
 def slot_of(*keys: str, slots: int = SLOTS):
@@ -41,6 +44,18 @@ def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> list[int]:
     return sizes
 
 
+def hot_slots(sizes: list[int], shards: int) -> list[int]:
+    """Slots of more than a ``PART`` of an even shard: fewer than ``shards * PART``."""
+    limit = sum(sizes) / (shards * PART)
+    return [slot for slot, size in enumerate(sizes) if size > limit]
+
+
+def open_slots(rows: DataFrame, opened: list[int], slots: int = SLOTS) -> DataFrame:
+    """Deal the records of opened slots over all slots."""
+    dealt = slot_of("doc_id", "text_crc32", "row", slots=slots)
+    return rows.withColumn("vslot", F.when(F.col("vslot").isin(opened), dealt).otherwise(F.col("vslot")))
+
+
 def even_map(shards: int, slots: int = SLOTS) -> list[int]:
     """The first map: slots in turn."""
     return [s % shards for s in range(slots)]
@@ -96,14 +111,15 @@ def grow(owner: list[int], sizes: list[int], shards: int) -> list[int]:
         load[shards] += sizes[slot]
 
 
-def write_map(spark: SparkSession, path: str, version: int, owner: list[int], sizes: list[int]) -> None:
+def write_map(spark: SparkSession, path: str, version: int, owner: list[int], sizes: list[int], opened: list[int] = ()) -> None:
     """Store a version of the map beside the earlier ones."""
-    rows = [(slot, shard, sizes[slot]) for slot, shard in enumerate(owner)]
-    spark.createDataFrame(rows, "vslot int, shard int, bytes long").coalesce(1).write.parquet(f"{path}/version={version}")
+    hot = set(opened)
+    rows = [(slot, shard, sizes[slot], slot in hot) for slot, shard in enumerate(owner)]
+    spark.createDataFrame(rows, "vslot int, shard int, bytes long, opened boolean").coalesce(1).write.parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """(vslot, shard, bytes, version) of one version, the latest by default."""
+    """(vslot, shard, bytes, opened, version) of one version, the latest by default."""
     table = spark.read.parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
@@ -133,11 +149,14 @@ def place(rows: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, path: str, slots: int = SLOTS, **cols) -> DataFrame:
-    """Shard all records: even map (version 1), rebalanced by bytes (version 2) under ``path``, rows placed."""
+    """Shard all records: even map (version 1), hot slots opened and rebalanced by bytes (version 2) under ``path``, rows placed."""
     spark = docs.sparkSession
     rows = digest(docs, slots, **cols)
     sizes = slot_bytes(rows, slots)
     first = even_map(shards, slots)
     write_map(spark, path, 1, first, sizes)
-    write_map(spark, path, 2, rebalance(first, sizes, shards), sizes)
+    opened = hot_slots(sizes, shards)
+    rows = open_slots(rows, opened, slots)
+    sizes = slot_bytes(rows, slots)
+    write_map(spark, path, 2, rebalance(first, sizes, shards), sizes, opened)
     return place(rows, read_map(spark, path))

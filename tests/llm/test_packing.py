@@ -77,6 +77,21 @@ def test_shards_are_even_and_positions_gapless(frame, prose, spark):
     assert 0 < moved < sharding.SLOTS // 8
 
 
+def test_a_hot_key_does_not_fill_a_shard(frame, prose, spark):
+    text = prose(300, 1)
+    rows = [(i, prose(300, i)) for i in range(400)] + [(None, text)] * 400 + [(7, prose(300, 1000 + i)) for i in range(400)]
+    path = scratch_path(spark, "map")
+    got = sharding.shard_by_bytes(frame(rows), 8, path).collect()
+    loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert len(got) == len(rows) and max(loads) - min(loads) < 0.02 * sum(loads) / 8
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    opened = {r.vslot for r in sharding.read_map(spark, path).where("opened").collect()}
+    key = spark.createDataFrame([(None,), (7,)], "doc_id long").select(sharding.slot_of("doc_id")).collect()
+    assert {r[0] for r in key} <= opened and not sharding.read_map(spark, path, 1).where("opened").count()
+
+
 def test_one_shard_more_takes_rows_only_into_itself():
     sizes = [(7 * k) % 53 for k in range(512)]
     owner = sharding.rebalance(sharding.even_map(4, 512), sizes, 4)
