@@ -926,13 +926,14 @@ def merge_release(spark, d):
 
 def _released(spark, d, *tables):
     """Three releases: a first build, one of two texts in seven, and one of a single source; the last is sent twice and counts once."""
-    e = P.word_entries(spark, d, doc_id=True)
+    glosses = bool({"glosses", "verdicts"} & set(tables))
+    e = P.word_entries(spark, d, glosses, doc_id=True)
     s = settle(P.word_sources(spark, d))
     store = RL.Releases(spark, scratch_path(spark, "releases"), 16, tables)
     alone = F.coalesce(F.regexp_extract("source", r"^(.*)/", 1) == "src1", F.lit(False))
     second = (F.col("doc_id") % 7 >= 5) & ~alone
     for name, part in [("first", ~alone & ~second), ("second", second), ("third", alone), ("third", alone)]:
-        store.add(name, CAT.judge_entries(e.where(part), s))
+        store.add(name, CAT.judge_entries(e.where(part), s, glosses))
     return store
 
 

@@ -59,7 +59,7 @@ class Releases:
     tables: tuple[str, ...] = tuple(STATES)
 
     def add(self, name: str, judged: DataFrame) -> bool:
-        """Merge judged entries (with glosses and later ``seq`` values) as release ``name``; False where the log has it already.
+        """Merge judged entries (with later ``seq`` values, and with glosses for the tables of glosses and verdicts) as release ``name``; False where the log has it already.
 
         Of two writers that follow the same release one is refused (``sinks.VersionTaken``)."""
         last = sinks.last_entry(self.spark, self._log)
