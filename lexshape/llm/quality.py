@@ -13,9 +13,10 @@ documented bound); sums and priors cover all documents. Hosts are summed before
 shuffle, and a host with a third of all rows is split by the join.
 
 Defined cases: a null or empty text has no evidence of its own (log-likelihood ratio 0).
-Null hosts and paths form groups of their own. Labels that are null do not count; without
-labels of both kinds every document is accepted. Repeated rows are judged alike. An
-empty table gives an empty result.
+Null hosts and paths form groups of their own. Labels that are null do not count, equal
+labels of one document count once, and of rows that repeat a labelled id the smallest text is
+learned from, so that the fitted rows stay bounded; without labels of both kinds every document
+is accepted. Repeated rows are judged alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,9 +86,11 @@ def fit_model(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality") -> Model:
     """The model of at most about ``sample`` labelled documents."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label_col).cast("double").alias("__y"))
+    known = settle(known.distinct())
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("text", "__y")    # about `sample` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))    # about `sample` ids
+    rows = rows.groupBy("__id", "__y").agg(F.min("text").alias("text"))
     made = add_columns(rows, "text", T.StructType([T.StructField("__x", T.ArrayType(T.DoubleType()))]),
                        lambda texts: [[features(t) for t in texts]]).select("__x", "__y").toArrow()
     if not made.num_rows:
@@ -118,7 +121,7 @@ def _strength(groups: DataFrame, mean: Column | float) -> float:
     return min(1e6, max(1.0, m * (1 - m) / between))
 
 
-def site_table(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float, float]:
+def site_table(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, tuple[float, float, float]]:
     """Sums per path with its host's sums, the mean of all, and the two prior strengths, over all documents."""
     n, s, ss = F.count("*").cast("double").alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") * F.col("__p")).alias("ss")
     paths = settle(scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(n, s, ss))
@@ -132,9 +135,15 @@ def site_table(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, floa
 
 
 def judged(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``__llr``, ``__host_posterior``, ``__path_posterior``, ``__posterior`` and ``__accepted``."""
-    scored = with_evidence(docs, model)
-    sites, (total, k_host, k_path) = site_table(with_evidence(docs.select(host, path, "text"), model).select(host, path, "__p"), host, path)
+    """``docs`` with ``__llr``, ``__host_posterior``, ``__path_posterior``, ``__posterior`` and ``__accepted``.
+
+    Texts are scored in both passes: writing them once more would cost more than scoring them again."""
+    sums = with_evidence(docs.select(host, path, "text"), model).select(host, path, "__p")
+    return _posteriors(with_evidence(docs, model), site_table(sums, host, path), host, path, threshold)
+
+
+def _posteriors(scored: DataFrame, sites: tuple, host: str, path: str, threshold: float) -> DataFrame:
+    sites, (total, k_host, k_path) = sites
     p = F.col("__p")
     host_mean = (k_host * F.lit(total) + F.col("__hs") - p) / (k_host + F.col("__hn") - 1)     # without the document itself
     path_mean = (k_path * F.col("__host_posterior") + F.col("__s") - p) / (k_path + F.col("__n") - 1)
@@ -147,7 +156,8 @@ def judged(docs: DataFrame, model: Model, host: str = "source", path: str = "lan
 
 def quality_decisions(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, evidence, host_posterior, path_posterior, posterior, accepted."""
-    rows = judged(docs.select("doc_id", host, path, "text"), train(docs, labels, sample), host, path, threshold)
+    scored = settle(with_evidence(docs.select("doc_id", host, path, "text"), train(docs, labels, sample)).drop("text"))
+    rows = _posteriors(scored, site_table(scored.select(host, path, "__p"), host, path), host, path, threshold)
     return rows.select("doc_id", F.col("__llr").alias("evidence"), F.col("__host_posterior").alias("host_posterior"),
                        F.col("__path_posterior").alias("path_posterior"), F.col("__posterior").alias("posterior"), F.col("__accepted").alias("accepted"))
 

@@ -201,6 +201,64 @@ def test_quality_edge_cases(spark, frame):
     assert quality.keep_good(frame(EDGE).limit(0), labels).count() == 0
 
 
+def plain_posteriors(rows, model):
+    """{row number: (evidence, host posterior, path posterior, posterior)} of (host, path, text) rows, by the definitions, without Spark."""
+    llr = [model.evidence(t or "") for _, _, t in rows]
+    p = [1 / (1 + (1 - model.rate) / model.rate * np.exp(-x)) for x in llr]
+    by_path, by_host = {}, {}
+    for (host, path, _), x in zip(rows, p):
+        by_path.setdefault((host, path), []).append(x)
+        by_host.setdefault(host, []).append(x)
+
+    def strength(groups, centres):
+        sizes = np.array([len(g) for g in groups], float)
+        n, every = sizes.sum(), np.concatenate(groups)
+        if len(groups) < 2 or n == len(groups):
+            return 1.0
+        spread = sum(len(g) * (np.mean(g) - c) ** 2 for g, c in zip(groups, centres))
+        within = max(1e-9, every.var() - spread / n) * n / (n - len(groups))
+        between = max(1e-9, (spread - (len(groups) - 1) * within) / (n - (sizes ** 2).sum() / n))
+        return min(1e6, max(1.0, every.mean() * (1 - every.mean()) / between))
+    total = np.mean(p)
+    k_host = strength([np.array(g) for g in by_host.values()], [total] * len(by_host))
+    k_path = strength([np.array(g) for g in by_path.values()], [np.mean(by_host[h]) for h, _ in by_path])
+    near = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+    out = {}
+    for i, ((host, path, _), x) in enumerate(zip(rows, p)):
+        h, own = by_host[host], by_path[host, path]
+        a = near((k_host * total + sum(h) - x) / (k_host + len(h) - 1))
+        b = near((k_path * a + sum(own) - x) / (k_path + len(own) - 1))
+        out[i] = (llr[i], a, b, 1 / (1 + (1 - b) / b * np.exp(-llr[i])))
+    return out
+
+
+def test_posteriors_equal_plain_ones_with_a_hot_host_ties_and_repeats(spark, prose):
+    r = random.Random(5)
+    bad = lambda seed: prose(30, seed).upper().replace(" ", "#1 ")
+    kinds = [(r.random() < (0.9 if i % 2 else 0.3), "hot" if i < 150 else r.choice(["a", "b", None]), r.choice(["x", "y", None])) for i in range(400)]
+    rows = [(h, p, prose(30, i) if good else bad(i)) for i, (good, h, p) in enumerate(kinds)]
+    rows += [("hot", "x", "the same text")] * 20 + [("lone", "z", None), ("lone", "z", "")]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, source string, lang string, text string")
+    labels = spark.createDataFrame([(i, int(good)) for i, (good, _, _) in enumerate(kinds) if i % 3 == 0] * 2, "doc_id long, quality int")
+    want = plain_posteriors(rows, quality.train(docs, labels))
+    got = {d.doc_id: d for d in quality.quality_decisions(docs, labels).collect()}
+    assert set(got) == set(want)
+    for i, x in want.items():
+        assert np.allclose((got[i].evidence, got[i].host_posterior, got[i].path_posterior, got[i].posterior), x, atol=1e-9)
+        assert got[i].accepted == (x[3] >= quality.THRESHOLD) or abs(x[3] - quality.THRESHOLD) < 1e-9
+    kept = {d.doc_id for d in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i in got if got[i].accepted} and 0 < len(kept) < len(rows)
+
+
+def test_repeated_labels_and_ids_leave_the_model_as_it_was(spark, prose):
+    rows = [(i, prose(20, i) if i % 2 else "#1 @2 " * 20) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = quality.train(docs, labels)
+    more = quality.train(docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 7")), labels.unionByName(labels))
+    assert np.allclose(once.weights, more.weights) and once.rate == more.rate == 0.5
+
+
 # --- licenses ----------------------------------------------------------------
 
 def test_licenses(frame):
