@@ -14,8 +14,8 @@ shuffle, and a host with a third of all rows is split by the join.
 
 Defined cases: a null or empty text has no evidence of its own (log-likelihood ratio 0).
 Null hosts and paths form groups of their own. Labels that are null do not count, equal
-labels of one document count once, and of rows that repeat a labelled id the smallest text is
-learned from, so that the fitted rows stay bounded; without labels of both kinds every document
+labels of one document count once, and of rows that repeat a labelled id one (the
+smallest features) is learned from, so that the fitted rows stay bounded; without labels of both kinds every document
 is accepted. Repeated rows are judged alike. An empty table gives an empty result.
 """
 
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))    # about `sample` ids
     rows = rows.groupBy("__id", "__y").agg(F.min("text").alias("text"))
     made = add_columns(rows, "text", T.StructType([T.StructField("__x", T.ArrayType(T.DoubleType()))]),
-                       lambda texts: [[features(t) for t in texts]]).select("__x", "__y").toArrow()
+                       lambda texts: [[features(t) for t in texts]]).groupBy("__id", "__y").agg(F.min("__x").alias("__x")).toArrow()
     if not made.num_rows:
         return fit_model(np.zeros((0, 1)), np.zeros(0))
     x = made.column("__x").combine_chunks().flatten().to_numpy().reshape(made.num_rows, -1)
