@@ -90,7 +90,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))    # about `sample` ids
-    rows = rows.groupBy("__id", "__y").agg(F.min("text").alias("text"))
     made = add_columns(rows, "text", T.StructType([T.StructField("__x", T.ArrayType(T.DoubleType()))]),
                        lambda texts: [[features(t) for t in texts]]).groupBy("__id", "__y").agg(F.min("__x").alias("__x")).toArrow()
     if not made.num_rows:
