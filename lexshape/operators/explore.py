@@ -8,7 +8,7 @@ is spread over tasks by the two-step aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -138,27 +138,40 @@ def observed_share(cells: DataFrame, inventories: DataFrame, languages: DataFram
         "verdict", F.when(F.col("could") >= K.MIN_CELL_FAMILIES, ST.share_verdict(F.col("ratio"))))
 
 
-def region_share(postings: DataFrame, languages: DataFrame, unit: str = "families") -> DataFrame:
-    """Share of each region's families (or languages) that have each shape, also where none has.
+def region_name() -> Column:
+    return F.coalesce(F.nullif(F.col("macroarea"), F.lit("")), F.lit("Unlisted"))
 
-    The denominator is every language with any open form; thin regions are left out.
-    The regions, a handful, come as a list to each shape, so nothing is shuffled by region alone."""
-    able = postings.select("glottocode").distinct()
+
+def regions_of(able: DataFrame, languages: DataFrame, unit: str = "families") -> tuple[DataFrame, DataFrame]:
+    """(glottocode, region, fam) of the languages in ``able``, and (region, total) of the regions that are not thin."""
     langs = languages.join(able, "glottocode", "left_semi")
-    region = F.coalesce(F.nullif(F.col("macroarea"), F.lit("")), F.lit("Unlisted"))
-    langs = langs.select("glottocode", region.alias("region")).join(family_or_self(langs), "glottocode")
-    item = F.col("fam") if unit == "families" else F.col("glottocode")
-    base = langs.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(item).alias("total"))
+    langs = langs.select("glottocode", region_name().alias("region")).join(family_or_self(langs), "glottocode")
+    base = langs.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fam" if unit == "families" else "glottocode").alias("total"))
     base = base.where((F.col("n") >= K.MIN_REGION_LANGUAGES)
                       & ((F.col("total") >= K.MIN_REGION_FAMILIES) if unit == "families" else F.lit(True)))
-    hits = postings.select("shape", "glottocode").distinct().join(langs, "glottocode").groupBy("shape", "region").agg(
-        F.count_distinct(item).alias("hits"))
-    regions = base.agg(F.collect_list(F.struct("region", "total")).alias("r")).select("r").scalar()
-    asked = postings.select("shape").distinct().select("shape", F.explode(regions).alias("x")).select("shape", "x.region", "x.total")
+    return langs, base.select("region", "total")
+
+
+def region_shares(shapes: DataFrame, hits: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, shape, hits, total, share), also where a region has none.
+
+    The regions, a handful, come as a list to each shape, so nothing is shuffled by region alone."""
+    listed = regions.agg(F.collect_list(F.struct("region", "total")).alias("r")).select("r").scalar()
+    asked = shapes.select("shape", F.explode(listed).alias("x")).select("shape", "x.region", "x.total")
     return (asked.join(hits, ["shape", "region"], "left").fillna(0, ["hits"])
             .select("region", "shape", "hits", "total", (F.col("hits") / F.col("total")).alias("share")))
 
 
+def region_share(postings: DataFrame, languages: DataFrame, unit: str = "families") -> DataFrame:
+    """Share of each region's families (or languages) that have each shape, also where none has.
+
+    The denominator is every language with any open form; thin regions are left out."""
+    langs, regions = regions_of(postings.select("glottocode").distinct(), languages, unit)
+    hits = postings.select("shape", "glottocode").distinct().join(langs, "glottocode").groupBy("shape", "region").agg(
+        F.count_distinct("fam" if unit == "families" else "glottocode").alias("hits"))
+    return region_shares(postings.select("shape").distinct(), hits, regions)
+
+
 def language_index(postings: DataFrame) -> DataFrame:
     """Per language: its shapes by tier."""
     return postings.groupBy("glottocode").agg(

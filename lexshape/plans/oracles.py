@@ -468,7 +468,17 @@ ORACLES: dict[str, str] = {
         SELECT segmental AS old_key, coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), ''), '') AS new_key, count(*) AS words FROM x GROUP BY ALL""",
 }
 # the views over published tables give what the views over the texts give
-ORACLES |= {f"published_{name}": ORACLES[name] for name in ("heatmap", "family_spread", "concept_labels", "concept_summary")}
+ORACLES |= {f"published_{name}": ORACLES[name] for name in ("heatmap", "family_spread", "spread_elsewhere", "region_share_families", "region_share_languages", "concept_labels", "concept_summary")}
 ORACLES["published_chance_bands"] = f"WITH {SUMMARY} SELECT ckey, shape, label, obs, lo, hi, q FROM bh JOIN l3 USING (ckey)"
 # a catalog made by releases is the one made at once
 ORACLES |= {f"release_{name.removeprefix('build_')}": ORACLES[name] for name in ("build_words", "language_counts", "excluded_counts")}
+ORACLES["published_spread"] = ORACLES["family_spread"]
+# reference tables written as files, searches through an index: what the operators give without them
+ORACLES |= {"read_wals": ORACLES["syllable_structure"], "read_phoible": ORACLES["sound_inventories"], "indexed_search_languages": ORACLES["search_languages"]}
+ORACLES |= {
+    "read_glottolog": "SELECT 's' || s_suppkey AS ID, s_name AS Name, 'language' AS Level, 'n' || s_nationkey AS Family_ID FROM supplier",
+    "read_concepticon": "SELECT p_partkey::varchar AS ID, upper(p_name) AS GLOSS, p_type AS ONTOLOGICAL_CATEGORY, NULL::varchar AS REPLACEMENT_ID FROM part",
+    "read_seed_json": """SELECT 'g-' || p_brand AS name, 'seed' || (p_partkey // 5000) AS source, 'word list' AS kind, CASE WHEN p_type <> 'SMALL' THEN p_type END AS gloss,
+        p_size > 25 AS segmented, count(*) AS entries, arg_min(p_name, p_partkey) AS first_ipa FROM part GROUP BY ALL""",
+    "indexed_search_customers": "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'r_1')",
+}

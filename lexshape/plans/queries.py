@@ -24,12 +24,14 @@ from lexshape.operators import quality as Q
 from lexshape.operators import rates as R
 from lexshape.operators import rows as RW
 from lexshape.operators import typology as TY
-from lexshape.plans import build as BD
 from lexshape.operators import schemes as SC
+from lexshape.operators import search as SE
+from lexshape.plans import build as BD
 from lexshape.plans import projections as P
 from lexshape.plans import published as PUB
 from lexshape.session import scratch_path, settle
 from lexshape.sources import pronunciations as PR
+from lexshape.sources import reference as REF
 from lexshape.sources import sinks
 from lexshape.sources import wordlists as WL
 from lexshape.streaming import releases as RL
@@ -282,6 +284,22 @@ def search_meanings(spark, d):
     return X.search_meanings(labels, "Sense 1")
 
 
+@query
+def indexed_search_languages(spark, d):
+    """Names and aliases searched through written lists of letter triples."""
+    path, langs = scratch_path(spark, "grams"), settle(P.word_languages(spark, d))
+    SE.write_gram_index(SE.gram_index(langs, "glottocode", ["name", "alias"]), path, 16)
+    return SE.search(langs, "glottocode", ["name", "alias"], " SRC1 ", path).select("glottocode", "name")
+
+
+@query
+def indexed_search_customers(spark, d):
+    """A part of a number in all customers' names."""
+    path, c = scratch_path(spark, "grams"), P.table(spark, d, "customer").select("c_custkey", "c_name")
+    SE.write_gram_index(SE.gram_index(c, "c_custkey", ["c_name"]), path, 64)
+    return SE.search(c, "c_custkey", ["c_name"], "R_1", path)
+
+
 @query
 def filter_languages(spark, d):
     f = X.filter_languages(P.yield_languages(spark, d), macroarea="ASIA", family=None, sample="word list",
@@ -884,6 +902,68 @@ def read_glosses(spark, d):
     return g.groupBy("word").agg(F.count(F.lit(1)).alias("senses"), F.max(F.length("gloss")).alias("longest"))
 
 
+def _csv(df, path, **options):
+    df.write.options(header=True, quote='"', escape='"', emptyValue="", **options).csv(path)
+
+
+@query
+def read_seed_json(spark, d):
+    """Parts as hand-made seed documents of at most 5000 entries each, read back from their folder; the first spelling in document order."""
+    path = scratch_path(spark, "seed")
+    p = P.table(spark, d, "part").withColumn("doc", F.floor(F.col("p_partkey") / 5000))
+    lang = F.concat(F.lit("g-"), "p_brand")
+    entry = F.struct(lang.alias("glottocode"), F.col("p_name").alias("ipa"), F.when(F.col("p_type") != "SMALL", F.col("p_type")).alias("gloss"),
+                     F.concat(F.lit("seed"), "doc").alias("source"), F.when(F.col("p_size") > 25, True).alias("segmented"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"])
+    languages = F.transform(F.array_sort(F.collect_set(lang)), lambda g: F.struct(g.alias("glottocode"), g.alias("name")))
+    sources = F.array(F.struct(F.concat(F.lit("seed"), "doc").alias("id"), F.lit("curated").alias("tier"), F.lit("CC0-1.0").alias("license")))
+    docs = p.groupBy("doc").agg(entries.alias("entries"), languages.alias("languages"))
+    docs.select("doc", F.to_json(F.struct(sources.alias("sources"), "languages", "entries")).alias("value")).write.partitionBy("doc").text(path)
+    s = REF.read_seed_json(spark, path)
+    names = s.languages.select("glottocode", "name").distinct()
+    rows = s.entries.join(s.sources.select(F.col("id").alias("source"), "kind"), "source").join(names, "glottocode")
+    return rows.groupBy("name", "source", "kind", "gloss", "segmented").agg(F.count(F.lit(1)).alias("entries"), F.min_by("ipa", "seq").alias("first_ipa"))
+
+
+@query
+def read_wals(spark, d):
+    """The survey of ``syllable_structure`` written as its two files and read back."""
+    path = scratch_path(spark, "wals")
+    c = P.table(spark, d, "customer")
+    _csv(c.select("c_name", F.col("c_custkey").alias("ID"), F.concat(F.lit("g"), F.floor(F.col("c_custkey") / 2)).alias("Glottocode")), f"{path}/languages.csv")
+    _csv(c.select(F.col("c_custkey").alias("Language_ID"), F.lit("12A").alias("Parameter_ID"), (F.col("c_nationkey") % 4 + 1).alias("Value"), F.monotonically_increasing_id().alias("ID")), f"{path}/values.csv")
+    return TY.syllable_structure(*REF.read_wals(spark, path))
+
+
+@query
+def read_phoible(spark, d):
+    """The inventories of ``sound_inventories`` written as their two files and read back."""
+    path = scratch_path(spark, "phoible")
+    v = letters_as_inventory(spark, d).withColumn("p", F.concat_ws(":", "segment_class", "value"))
+    _csv(v.select(F.col("segment_class").alias("SegmentClass"), F.col("p").alias("ID")).distinct(), f"{path}/parameters.csv")
+    _csv(v.select(F.col("p").alias("Parameter_ID"), F.col("value").alias("Value"), F.col("glottocode").alias("Language_ID")), f"{path}/values.csv")
+    inv = TY.inventories(*REF.read_phoible(spark, path))
+    return inv.select("glottocode", joined("onsets").alias("onsets"), joined("nuclei").alias("nuclei"))
+
+
+@query
+def read_glottolog(spark, d):
+    """Suppliers as a list of languages with parents; the file's columns lie in an order of their own."""
+    path = scratch_path(spark, "glottolog")
+    s = P.table(spark, d, "supplier")
+    _csv(s.select(F.col("s_name").alias("Name"), F.lit("language").alias("Level"), F.concat(F.lit("n"), "s_nationkey").alias("Family_ID"), F.concat(F.lit("s"), "s_suppkey").alias("ID")), path)
+    return REF.read_glottolog(spark, path).select("ID", "Name", "Level", "Family_ID")
+
+
+@query
+def read_concepticon(spark, d):
+    """Parts as concepts in a tab-separated file that lacks a column."""
+    path = scratch_path(spark, "concepticon")
+    p = P.table(spark, d, "part")
+    _csv(p.select(F.col("p_partkey").alias("ID"), F.upper("p_name").alias("GLOSS"), F.col("p_type").alias("ONTOLOGICAL_CATEGORY")), path, sep="\t")
+    return REF.read_concepticon(spark, path).select("ID", "GLOSS", "ONTOLOGICAL_CATEGORY", "REPLACEMENT_ID")
+
+
 @query
 def write_index(spark, d):
     """Postings written in buckets and read back whole."""
@@ -981,8 +1061,8 @@ def scheme_mapping(spark, d):
 
 def _published(spark, d, *names):
     """A concept catalog of all texts, written as bucketed tables."""
-    path = scratch_path(spark, "published")
-    return PUB.publish_concepts(judged(spark, d, glosses=True), P.word_languages(spark, d), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, names)
+    path, glosses = scratch_path(spark, "published"), bool({"concepts", "labels", "bands"} & set(names))
+    return PUB.publish_concepts(judged(spark, d, glosses), P.word_languages(spark, d), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, names)
 
 
 @query
@@ -995,6 +1075,26 @@ def published_family_spread(spark, d):
     return _published(spark, d, "postings", "languages").family_spread()
 
 
+@query
+def published_spread(spark, d):
+    return _published(spark, d, "families").spread()
+
+
+@query
+def published_spread_elsewhere(spark, d):
+    return _published(spark, d, "families", "postings").spread_elsewhere()
+
+
+@query
+def published_region_share_families(spark, d):
+    return _published(spark, d, "families", "postings", "languages").region_share("families").withColumn("share", F.round("share", 6))
+
+
+@query
+def published_region_share_languages(spark, d):
+    return _published(spark, d, "families", "postings", "languages").region_share("languages").withColumn("share", F.round("share", 6))
+
+
 @query
 def published_concept_labels(spark, d):
     return _published(spark, d, "labels")["labels"]

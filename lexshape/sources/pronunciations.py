@@ -107,6 +107,6 @@ def _choose(listed: DataFrame) -> DataFrame:
 
 
 def read_glosses(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines dictionary dump -> (word, sense, gloss)."""
-    return parse_glosses(spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")))
+    """JSON-lines dictionary dump -> (word, sense, gloss). Lines are ordered by file, block and place in the block."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    return parse_glosses(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("line")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshape.sources.ordering import with_file_order
 from lexshape.sources.wordlists import Dataset, read_csv
 
 _SEED = """sources array<struct<id:string,tier:string,license:string,kind:string>>,
@@ -15,13 +16,17 @@ _SEED = """sources array<struct<id:string,tier:string,license:string,kind:string
 
 
 def read_seed_json(spark: SparkSession, path: str) -> Dataset:
-    """A hand-made dataset in one JSON document (one task: the format's own unit)."""
-    doc = spark.read.schema(_SEED).json(path, multiLine=True)
+    """A hand-made dataset in one JSON document, or in a folder of them (one task a document: the format's own unit).
+
+    Rows are ordered by document, then by their place in it."""
+    table = spark.read.schema(_SEED).json(path, multiLine=True)
 
     def rows(field: str, order: str) -> DataFrame:
-        return doc.select(F.posexplode(field).alias(order, "r")).select("r.*", order)
+        doc = with_file_order(table, "_doc", field)
+        return doc.select("_doc", F.posexplode(field).alias("_at", "r")).select(
+            "r.*", (F.col("_doc") + F.col("_at")).cast("decimal(34,0)").alias(order))
     sources = rows("sources", "row").drop("row").fillna("word list", ["kind"])
-    entries = rows("entries", "seq").withColumn("seq", F.col("seq").cast("bigint")).withColumn(
+    entries = rows("entries", "seq").withColumn(
         "linked_by", F.lit(None).cast("string")).fillna(False, ["segmented"])
     return Dataset(sources, rows("languages", "row").fillna("", ["alias", "family"]), entries)
 

@@ -86,6 +86,16 @@ def read_key(spark: SparkSession, path: str, key: str, value: object) -> DataFra
     return spark.read.parquet(path).where((F.col("bucket") == at) & (F.col(key) == typed)).drop("bucket")
 
 
+def read_keys(spark: SparkSession, path: str, key: str, values: list) -> DataFrame:
+    """Rows of some keys; only their bucket folders are scanned."""
+    layout = _layout(spark, path)
+    if key != layout["key"]:
+        raise ValueError(f"{path} is laid out by {layout['key']}, not by {key}")
+    typed = F.array(*[F.lit(v).cast(layout["type"]) for v in values])
+    at = spark.range(1).select(F.transform(typed, lambda v: F.pmod(F.xxhash64(v), F.lit(layout["buckets"])).cast("int"))).first()[0]
+    return spark.read.parquet(path).where(F.col("bucket").isin(at) & F.col(key).isin(values)).drop("bucket")
+
+
 def write_index(tables: dict[str, DataFrame], path: str, keys: dict[str, str], buckets: int) -> None:
     """Write the index tables; those with a key are bucketed by it."""
     for name, table in tables.items():
