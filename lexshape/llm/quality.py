@@ -136,7 +136,7 @@ def site_table(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, tupl
 def judged(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``__llr``, ``__host_posterior``, ``__path_posterior``, ``__posterior`` and ``__accepted``.
 
-    Texts are scored in both passes: writing them once more would cost more than scoring them again."""
+    Texts are scored in both passes rather than written once more (which of the two costs less was not measured)."""
     sums = with_evidence(docs.select(host, path, "text"), model).select(host, path, "__p")
     return _posteriors(with_evidence(docs, model), site_table(sums, host, path), host, path, threshold)
 
