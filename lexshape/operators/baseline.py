@@ -9,6 +9,7 @@ share. Input everywhere: word rows ``(ckey, language, family, shape)``.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,7 +19,7 @@ from lexshape.functions import stats as ST
 
 MEANINGS, SHAPES = 128, 256     # bits of the two sides of a counting block
 FAMILIES = 512                  # families of one counting task, and chances of one partial polynomial, about
-ROUTED = 4096                   # rows of one item that meet its pairs at one key
+ROUTED = 1024                   # languages of one task that sums up chances, about
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -45,17 +46,21 @@ def observed_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES) -> Dat
         F.count(F.lit(1)).alias("obs")).where(F.col("obs") >= min_families)
 
 
+def place_items(items: DataFrame, item: str, width: int) -> DataFrame:
+    """(item, block, bit): distinct items hashed into blocks and numbered inside; what a block has beyond its width opens another."""
+    blocks = items.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (width * 0.8))).alias("b")).scalar()
+    hashed = items.select(item, F.pmod(F.xxhash64(item), blocks).alias("hashed"))
+    place = F.row_number().over(Window.partitionBy("hashed").orderBy(item)) - 1          # some ``width`` rows each
+    return hashed.withColumn("place", place).select(
+        item, (F.col("hashed") * (1 << 20) + F.floor(F.col("place") / width)).alias("block"), (F.col("place") % width).alias("bit"))
+
+
 def item_masks(table: DataFrame, item: str, width: int, min_could: int) -> DataFrame:
     """(language, family, block, mask): which of a block's ``width`` items a language has, as bits of 64-bit words.
 
-    Items too few families have are dropped (exact: no pair of theirs can reach the threshold). The others are
-    hashed into blocks and numbered inside; what a block has beyond its width opens another."""
+    Items too few families have are dropped (exact: no pair of theirs can reach the threshold)."""
     spread = table.select(item, "family").distinct().groupBy(item).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= min_could)
-    blocks = spread.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (width * 0.8))).alias("b")).scalar()
-    hashed = spread.select(item, F.pmod(F.xxhash64(item), blocks).alias("hashed"))
-    place = F.row_number().over(Window.partitionBy("hashed").orderBy(item)) - 1          # some ``width`` rows each
-    placed = hashed.withColumn("place", place).select(
-        item, (F.col("hashed") * (1 << 20) + F.floor(F.col("place") / width)).alias("block"), (F.col("place") % width).alias("bit"))
+    placed = place_items(spread, item, width)
     rows = table.select("language", "family", item).join(placed, item)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
     words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, bit)), F.lit(0).cast("bigint")) for w in range(width // 64)]
@@ -109,37 +114,102 @@ def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFra
     return per_block.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("hypotheses"))
 
 
-def _routed(pairs: DataFrame, has: DataFrame, item: str) -> DataFrame:
-    """Pairs with the languages that have their ``item``; a common item's languages are dealt over several keys and its pairs go to each."""
-    degree = has.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / ROUTED).alias("keys"))
-    dealt = has.join(degree, item).withColumn("key", F.pmod(F.xxhash64("language"), F.col("keys"))).drop("keys")
-    sent = pairs.join(degree, item).withColumn("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("keys") - 1))).drop("keys")
-    return sent.join(dealt, [item, "key"]).drop("key")
+def item_counts(table: DataFrame, placed: DataFrame, item: str, n: str, width: int) -> DataFrame:
+    """(language, family, block, items): a language's items of a block with their words, each as one number, words * width + bit."""
+    items = F.collect_list(F.col(n) * width + F.col("bit"))         # at most ``width``
+    return table.join(placed, item).groupBy("language", "family", "block").agg(items.alias("items"))
+
+
+def dealt_languages(counts: DataFrame) -> DataFrame:
+    """(language, family, words, part): parts hold some ``ROUTED`` languages, of few families; a larger family has several parts."""
+    spoken = counts.groupBy("language", "family").agg(F.sum("n").alias("n"))
+    totals = spoken.groupBy("language").agg(F.sum("n").alias("words"))
+    sizes = spoken.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / ROUTED).alias("chunks"))
+    groups = spoken.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / ROUTED)).alias("g")).scalar()
+    part = F.pmod(F.xxhash64("family"), groups) * (1 << 32) + F.pmod(F.xxhash64("language"), F.col("chunks"))
+    return spoken.join(sizes, "family").join(totals, "language").select("language", "family", "words", part.alias("part"))
+
+
+def log_misses(words: int, ks, ss):
+    """Matrix of ln C(N-s, k) / C(N, k) for a language of N words; -inf where a hit is certain.
+
+    As ``stats.miss_probability_log``: summed over the smaller of k and s."""
+    import numpy as np
+
+    def sums(few, many):
+        out = np.full((len(few), len(many)), -np.inf)
+        before, top = np.zeros(len(many)), int(min(few[-1], many[-1]))
+        for start in range(0, top, 1024):
+            i = np.arange(start, min(start + 1024, top))
+            with np.errstate(divide="ignore"):
+                run = before + np.cumsum(np.log1p(-np.minimum(many / (words - i)[:, None], 1.0)), axis=0)
+            here = (few > start) & (few <= start + len(i))
+            out[here] = run[few[here] - start - 1]
+            before = run[-1]
+        return out
+
+    (k, at_k), (s, at_s) = np.unique(ks, return_inverse=True), np.unique(ss, return_inverse=True)
+    table = np.where(k[:, None] <= s, sums(k, s), sums(s, k).T)
+    return table[at_k][:, at_s]
 
 
 def family_chances(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair and family: the chance that the shuffle makes the family share it.
 
-    Each pair meets the languages of its rarer side, its meaning or its shape, then (language, other side)."""
-    totals = counts.groupBy("language").agg(F.sum("n").alias("words"))
-    shapes, meanings = shape_counts(counts), meaning_counts(counts)
-    of_shape = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("by_shape"))
-    of_meaning = meanings.groupBy("ckey").agg(F.count(F.lit(1)).alias("by_meaning"))
-    weighed = pairs.select("ckey", "shape").join(of_shape, "shape").join(of_meaning, "ckey")
-    by_shape = _routed(weighed.where("by_shape <= by_meaning").select("ckey", "shape"), shapes, "shape").join(meanings.drop("family"), ["language", "ckey"])
-    by_meaning = _routed(weighed.where("by_shape > by_meaning").select("ckey", "shape"), meanings, "ckey").join(shapes.drop("family"), ["language", "shape"])
-    both = by_shape.unionByName(by_meaning).join(totals, "language")
-    both = both.withColumn("log_miss", ST.miss_probability_log(F.col("words"), F.col("k"), F.col("s")))
-    certain = F.count(F.lit(1)) > F.count("log_miss")
-    return both.groupBy("ckey", "shape", "family").agg(
-        F.when(certain, 1.0).otherwise(-F.expm1(F.coalesce(F.sum("log_miss"), F.lit(0.0)))).alias("p"))
-
-
-def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD) -> DataFrame:
+    No row is made for a pair and a language. A task gets two blocks of items as some languages use them, and the pairs
+    that are asked for among those items: each language adds a matrix of logarithms to its family's. What leaves the task
+    is a row for a pair and a family; the parts of a large family are added up."""
+    meanings = place_items(pairs.select("ckey").distinct(), "ckey", MEANINGS)
+    shapes = place_items(pairs.select("shape").distinct(), "shape", SHAPES)
+    block = ["m_block", "s_block"]
+    placed = (pairs.select("ckey", "shape")
+              .join(meanings.select("ckey", F.col("block").alias("m_block"), F.col("bit").alias("m_bit")), "ckey")
+              .join(shapes.select("shape", F.col("block").alias("s_block"), F.col("bit").alias("s_bit")), "shape")
+              .select("ckey", "shape", *block, (F.col("m_bit") * SHAPES + F.col("s_bit")).cast("int").alias("code")))
+    languages = dealt_languages(counts)
+    left = item_counts(meaning_counts(counts), meanings, "ckey", "k", MEANINGS).join(languages, ["language", "family"])
+    right = item_counts(shape_counts(counts), shapes, "shape", "s", SHAPES)
+    rows = left.select("language", "family", "words", "part", F.col("block").alias("m_block"), F.col("items").alias("ks")).join(
+        right.select("language", F.col("block").alias("s_block"), F.col("items").alias("ss")), "language")
+    asked = placed.groupBy(*block).agg(F.collect_list("code").alias("codes")).crossJoin(languages.select(F.col("part").alias("to_part")).distinct())
+    width_m, width_s = MEANINGS, SHAPES
+
+    schema = pa.schema([("m_block", pa.int64()), ("s_block", pa.int64()), ("code", pa.int32()), ("family", pa.string()), ("log_miss", pa.float64())])
+
+    def add_up(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        import numpy as np
+        if not rows.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        wanted = np.zeros(width_m * width_s, dtype=bool)
+        wanted[asked["codes"].combine_chunks().flatten().to_numpy()] = True
+        wanted = wanted.reshape(width_m, width_s)
+        words, (ks, ss) = rows["words"].to_numpy(), (np.split(x.flatten().to_numpy(), np.cumsum(x.value_lengths().to_numpy())[:-1])
+                                                     for x in (rows["ks"].combine_chunks(), rows["ss"].combine_chunks()))
+        names, of = np.unique(np.array(rows["family"].to_pylist(), dtype=object), return_inverse=True)
+        made = []
+        for at in np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1]):
+            ms, hs = np.unique(np.concatenate([ks[i] for i in at]) % width_m), np.unique(np.concatenate([ss[i] for i in at]) % width_s)
+            logs = np.zeros((len(ms), len(hs)))
+            for i in at:
+                k, s = ks[i], ss[i]
+                logs[np.ix_(np.searchsorted(ms, k % width_m), np.searchsorted(hs, s % width_s))] += log_misses(int(words[i]), k // width_m, s // width_s)
+            m, s = np.nonzero(wanted[np.ix_(ms, hs)] & (logs < 0))        # less than 0: a language of the family has both
+            made.append((ms[m] * width_s + hs[s], logs[m, s]))
+        codes, sizes = np.concatenate([c for c, _ in made]), [len(c) for c, _ in made]
+        key = [np.full(len(codes), rows[c][0].as_py()) for c in ("m_block", "s_block")]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip([*key, codes, np.repeat(names, sizes), np.concatenate([x for _, x in made])], schema)], schema=schema)
+
+    logs = rows.drop("language").groupBy(*block, "part").cogroup(asked.groupBy(*block, "to_part")).applyInArrow(
+        add_up, "m_block bigint, s_block bigint, code int, family string, log_miss double")
+    chances = logs.groupBy(*block, "code", "family").agg((-F.expm1(F.sum("log_miss"))).alias("p"))
+    return chances.join(placed, [*block, "code"]).select("ckey", "shape", "family", "p")
+
+
+def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD, settle=None) -> DataFrame:
     """Observed pairs that enough families could share: observed count, 5-95% band, tail.
 
     A pair's chances become partial polynomials of some ``FAMILIES`` families each, which are then multiplied."""
-    pairs = observed_pairs(counts, min_families)
+    pairs = (settle or (lambda df: df))(observed_pairs(counts, min_families))
     parts = counts.select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
     chances = family_chances(counts, pairs).withColumn("part", F.pmod(F.xxhash64("family"), parts))
     partial = chances.groupBy("ckey", "shape", "part").agg(F.collect_list("p").alias("ps")).select(
@@ -236,11 +306,11 @@ def chance_bands(words: DataFrame, min_families: int = K.MIN_FAMILIES, min_could
                  settle=None) -> DataFrame:
     """Observed families, 5-95% chance band and q (6 digits) per tested pair.
 
-    ``settle`` (for example ``lexshape.session.settle``) is applied to the two
+    ``settle`` (for example ``lexshape.session.settle``) is applied to the three
     tables that several branches read, so a cluster computes them once."""
     keep = settle or (lambda df: df)
     counts = keep(word_counts(words))
-    tested = keep(tested_pairs(counts, min_families, min_could))
+    tested = keep(tested_pairs(counts, min_families, min_could, settle))
     banded = benjamini_hochberg(tested, count_hypotheses(counts, min_could))
     return banded.withColumn("q", F.round("q", 6))
 
@@ -250,7 +320,7 @@ def baseline_summary(words: DataFrame, fdr: float = K.FDR, min_families: int = K
     """One row: hypotheses, tested pairs, pairs beyond chance, the rate used."""
     keep = settle or (lambda df: df)
     counts = keep(word_counts(words))
-    tested = keep(tested_pairs(counts, min_families, min_could))
+    tested = keep(tested_pairs(counts, min_families, min_could, settle))
     hypotheses = count_hypotheses(counts, min_could)
     q = benjamini_hochberg(tested, hypotheses)
     out = q.agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.round("q", 6) <= fdr).alias("beyond"))
