@@ -190,3 +190,16 @@ def test_ranks_of_a_hot_group(spark):
     for g in ("hot", "cold"):
         mine = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["n"], r["s"]))
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_words_are_judged_once_and_one_without_a_segmented_flag_stays(spark, tmp_path):
+    e = entries(spark, [("l0", "ta", "c1"), ("l1", "ta", "m1")])
+    e = e.withColumn("segmented", F.expr("if(glottocode = 'l1', cast(null AS boolean), segmented)"))
+    for glosses in (True, False):
+        j = C.judge_entries(e, sources(spark), glosses)
+        assert sorted((r.glottocode, r["shape"], r.is_open) for r in j.collect()) == [("l0", "ta", True), ("l1", "ta", True)]
+    e.write.parquet(str(tmp_path / "e"))
+    judged = C.judge_entries(spark.read.parquet(str(tmp_path / "e")), sources(spark))
+    judged.write.parquet(str(tmp_path / "j"))
+    once = C.cross_source_disagreement(spark.read.parquet(str(tmp_path / "j")))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
