@@ -8,12 +8,12 @@ stands. Whole prefixes are rendered, since a black box may look back as far as i
 conversation's cost then grows with the square of its turns. A template declared
 ``stateless`` (the built-in one is) is rendered in whole prefixes for the first ``WHOLE`` turns; later turns
 are rendered by themselves and their pieces held against the whole rendering whenever the conversation has
-doubled, up to ``CHECKED`` turns, so a false declaration is refused and long conversations cost
-little more a turn than short ones. With a ``horizon`` every turn is also rendered from the last
+doubled and at its end, so a false declaration is refused at any length: rows are those of whole prefixes or there
+are none, and long conversations cost little more a turn than short ones. With a ``horizon`` every turn is also rendered from the last
 turns alone, and a template that looks further back is refused at the turn that shows it.
 
 Turns are dealt by conversation and sorted; a conversation passes through one task as a
-stream of turns (its digest is sequential), of which at most ``CHECKED`` are held for a stateless template.
+stream of turns (its digest is sequential) and is held there for its whole renderings.
 
 Defined cases: null texts and roles are empty; conversations without an id are one. Turns with
 equal numbers are ordered by role, then text; repeated rows are turns of their own. An
@@ -36,7 +36,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 MARK = "text"
 WHOLE = 64               # turns of a conversation that are always rendered as whole prefixes
-CHECKED = 4096           # turns up to which a declaration of statelessness is held against whole renderings, at every doubling
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 
 Turn = tuple[str, str]
@@ -90,7 +89,7 @@ class Incremental:
         if not alone:
             self.before.append((role, text))
             self.old = new
-        elif self.turns <= CHECKED:
+        else:
             self._check((role, text), rewound, piece)
         return {"turn_no": self.turns - 1, "rewound": rewound, "piece": piece, "start": start, "end": self.end,
                 "text_start": start + len(head) if inside else None, "text_end": self.end - len(tail) if inside else None}
@@ -100,12 +99,18 @@ class Incremental:
         self.before.append(turn)
         self.later.append(piece)
         if rewound or self.turns & (self.turns - 1) == 0:
-            whole = self.render(self.before)
-            if rewound or whole != self.old + "".join(self.later):
-                raise ValueError("the template was declared stateless, but a turn's output depends on other turns")
-            self.old, self.later = whole, []
-        if self.turns == CHECKED:
-            self.before, self.old, self.later = [], self.empty, []
+            self._hold(rewound)
+
+    def _hold(self, rewound: int = 0) -> None:
+        whole = self.render(self.before)
+        if rewound or whole != self.old + "".join(self.later):
+            raise ValueError("the template was declared stateless, but a turn's output depends on other turns")
+        self.old, self.later = whole, []
+
+    def close(self) -> None:
+        """The conversation is over: what has come since the last doubling is held against the whole rendering."""
+        if self.later:
+            self._hold()
 
     @staticmethod
     def _step(old: str, new: str) -> tuple[int, str]:
@@ -124,8 +129,8 @@ def _stream(df: DataFrame, key: str, out: T.StructType, begin: Callable, row: Ca
         for batch in batches:
             for values in batch.to_pylist():
                 if state is None or values[key] != current:
-                    if state is not None and finish:
-                        rows.append(finish(state, current))
+                    if state is not None and finish and (last := finish(state, current)) is not None:
+                        rows.append(last)
                     state, current = begin(), values[key]
                 if (made := row(state, values)) is not None:
                     rows.append(made)
@@ -133,8 +138,8 @@ def _stream(df: DataFrame, key: str, out: T.StructType, begin: Callable, row: Ca
                 if len(rows) >= 4096 or held >= 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
                     rows, held = [], 0
-        if state is not None and finish:
-            rows.append(finish(state, current))
+        if state is not None and finish and (last := finish(state, current)) is not None:
+            rows.append(last)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
@@ -155,7 +160,7 @@ def format_turns(conversations: DataFrame, render: Callable[[list[Turn]], str] =
         made = state.add(v["role"], v["text"])
         return made | {"conv_id": v["conv_id"], "role": v["role"], "loss": v["role"] in learn and made["text_start"] is not None}
 
-    return _stream(rows, "conv_id", out, lambda: Incremental(render, horizon), row)
+    return _stream(rows, "conv_id", out, lambda: Incremental(render, horizon), row, lambda state, _: state.close())
 
 
 class ReadBack:

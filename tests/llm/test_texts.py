@@ -167,6 +167,15 @@ def test_a_false_declaration_of_statelessness_is_seen_in_the_registered_path(spa
             state.add(*[("user", "x"), ("thought", "y")][k % 5 == 4 and k > chat.WHOLE])
 
 
+@pytest.mark.parametrize("at", [100, 4500])
+def test_a_false_declaration_is_refused_at_any_length(spark, at):
+    """The template changes at one turn: between two doublings, and far along."""
+    late = chat.stateless(lambda turns: "".join(f"<{text}{'!' * (k == at)}>" for k, (_, text) in enumerate(turns)))
+    df = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(at + 5)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="declared stateless"):
+        chat.format_turns(df, late).collect()
+
+
 def test_long_stateless_conversations_equal_the_whole_rendering():
     turns = [(("user", "assistant")[k % 2], f"turn {k} <|im_end|>") for k in range(700)]
     state = chat.Incremental(chat.chatml)
