@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -40,52 +40,76 @@ def shape_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("language", "family", "shape").agg(F.sum("n").alias("s"))
 
 
+def item_uses(counts: DataFrame, settle=None) -> tuple[DataFrame, DataFrame]:
+    """Words by meaning and by shape, each written once where ``settle`` is given."""
+    keep = settle or (lambda df: df)
+    return keep(meaning_counts(counts)), keep(shape_counts(counts))
+
+
+def pair_families(counts: DataFrame) -> DataFrame:
+    """(ckey, shape, family, languages): each pair's families, with their languages that have it."""
+    return counts.groupBy("ckey", "shape", "family").agg(F.count(F.lit(1)).alias("languages"))
+
+
 def observed_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES) -> DataFrame:
     """Pairs that at least ``min_families`` families share."""
-    return counts.select("ckey", "shape", "family").distinct().groupBy("ckey", "shape").agg(
-        F.count(F.lit(1)).alias("obs")).where(F.col("obs") >= min_families)
+    return shared_pairs(pair_families(counts), min_families)
+
+
+def shared_pairs(having: DataFrame, min_families: int = K.MIN_FAMILIES) -> DataFrame:
+    return having.groupBy("ckey", "shape").agg(F.count(F.lit(1)).alias("obs")).where(F.col("obs") >= min_families)
+
+
+def item_leaders(table: DataFrame, item: str) -> DataFrame:
+    """(item, families, leader): how many families use an item, and the least hash of its languages: items of the same languages mostly share it."""
+    per_family = table.groupBy(item, "family").agg(F.min(F.xxhash64("language")).alias("leader"))
+    return per_family.groupBy(item).agg(F.count(F.lit(1)).alias("families"), F.min("leader").alias("leader"))
 
 
 def place_items(items: DataFrame, item: str, width: int) -> DataFrame:
-    """(item, block, bit): distinct items hashed into blocks and numbered inside; what a block has beyond its width opens another."""
+    """(item, block, bit): distinct items put into blocks and numbered inside; what a block has beyond its width opens another.
+
+    Items of one leader lie together, so a language meets few blocks however many there are. A leader of very many items
+    has several homes, so no home holds more than some of them."""
     blocks = items.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (width * 0.8))).alias("b")).scalar()
-    hashed = items.select(item, F.pmod(F.xxhash64(item), blocks).alias("hashed"))
-    place = F.row_number().over(Window.partitionBy("hashed").orderBy(item)) - 1          # some ``width`` rows each
-    return hashed.withColumn("place", place).select(
-        item, (F.col("hashed") * (1 << 20) + F.floor(F.col("place") / width)).alias("block"), (F.col("place") % width).alias("bit"))
+    led = items.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (width * 8)).alias("chunks"))
+    housed = items.join(led, "leader").select(
+        item, "leader", F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64(item), F.col("chunks"))), blocks).alias("home"))
+    place = F.row_number().over(Window.partitionBy("home").orderBy("leader", item)) - 1
+    return housed.withColumn("place", place).select(
+        item, (F.col("home") * (1 << 20) + F.floor(F.col("place") / width)).alias("block"), (F.col("place") % width).alias("bit"))
 
 
 def item_masks(table: DataFrame, item: str, width: int, min_could: int) -> DataFrame:
     """(language, family, block, mask): which of a block's ``width`` items a language has, as bits of 64-bit words.
 
     Items too few families have are dropped (exact: no pair of theirs can reach the threshold)."""
-    spread = table.select(item, "family").distinct().groupBy(item).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= min_could)
-    placed = place_items(spread, item, width)
+    placed = place_items(item_leaders(table, item).where(F.col("families") >= min_could), item, width)
     rows = table.select("language", "family", item).join(placed, item)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
     words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, bit)), F.lit(0).cast("bigint")) for w in range(width // 64)]
     return rows.groupBy("language", "family", "block").agg(F.array(*words).alias("mask"))
 
 
-def block_pairs(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFrame:
+def block_pairs(counts: DataFrame, min_could: int = K.MIN_COULD, uses: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(m_block, s_block, part, family, m_mask, s_mask): for each language one row per pair of blocks it has items of.
 
     ``part`` splits a pair of blocks by families. A row is two masks, however many words stand behind it."""
-    meanings = item_masks(meaning_counts(counts), "ckey", MEANINGS, min_could)
-    shapes = item_masks(shape_counts(counts), "shape", SHAPES, min_could)
-    parts = counts.select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
+    meanings, shapes = uses or item_uses(counts)
+    parts = meanings.select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
+    meanings, shapes = item_masks(meanings, "ckey", MEANINGS, min_could), item_masks(shapes, "shape", SHAPES, min_could)
     left = meanings.select("language", "family", F.col("block").alias("m_block"), F.col("mask").alias("m_mask"))
     right = shapes.select("language", "family", F.col("block").alias("s_block"), F.col("mask").alias("s_mask"))
     return left.join(right, ["language", "family"]).select("m_block", "s_block", F.pmod(F.xxhash64("family"), parts).alias("part"), "family", "m_mask", "s_mask")
 
 
-def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFrame:
+def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD, uses: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row ``hypotheses``: pairs at least ``min_could`` families COULD share,
     because some language of each has both the meaning and the shape.
 
     The pairs are never materialised. A task gets the masks of two blocks and some of the families: a boolean
     matrix product tells which pairs each family could share. The tasks' counts, cut off at the threshold (so a
-    byte a pair), are added per pair of blocks."""
+    byte a pair), are added per pair of blocks. ``uses``: the words by meaning and by shape, where they are at hand."""
     def bits(masks, width):
         import numpy as np
         words = np.array(masks.to_list(), dtype="<i8").reshape(len(masks), width // 64)
@@ -109,7 +133,7 @@ def count_hypotheses(counts: DataFrame, min_could: int = K.MIN_COULD) -> DataFra
         could = sum(np.frombuffer(x, dtype=kind).astype(np.int64) for x in rows["could"])
         return pd.DataFrame({"pairs": [int((could >= min_could).sum())]})
 
-    per_part = block_pairs(counts, min_could).groupBy("m_block", "s_block", "part").applyInPandas(count_part, "m_block bigint, s_block bigint, could binary")
+    per_part = block_pairs(counts, min_could, uses).groupBy("m_block", "s_block", "part").applyInPandas(count_part, "m_block bigint, s_block bigint, could binary")
     per_block = per_part.groupBy("m_block", "s_block").applyInPandas(add_parts, "pairs bigint")
     return per_block.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("hypotheses"))
 
@@ -120,14 +144,25 @@ def item_counts(table: DataFrame, placed: DataFrame, item: str, n: str, width: i
     return table.join(placed, item).groupBy("language", "family", "block").agg(items.alias("items"))
 
 
+def dealt_parts(rows: DataFrame, within: list[str]) -> DataFrame:
+    """(*within, family, first, chunks): parts hold some ``ROUTED`` languages, of few families; a larger family has several parts.
+
+    ``rows`` has a row per language, family and pair of blocks ``within`` which it is dealt."""
+    sizes = rows.groupBy(*within, "family").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy(*within).agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / ROUTED)).alias("groups"))
+    first = F.pmod(F.xxhash64("family"), F.col("groups")) * (1 << 32)
+    sized = sizes.join(groups, within) if within else sizes.crossJoin(groups)
+    return sized.select(*within, "family", first.alias("first"), F.ceil(F.col("n") / ROUTED).alias("chunks"))
+
+
+def part_number() -> Column:
+    return F.col("first") + F.pmod(F.xxhash64("language"), F.col("chunks"))
+
+
 def dealt_languages(counts: DataFrame) -> DataFrame:
-    """(language, family, words, part): parts hold some ``ROUTED`` languages, of few families; a larger family has several parts."""
-    spoken = counts.groupBy("language", "family").agg(F.sum("n").alias("n"))
-    totals = spoken.groupBy("language").agg(F.sum("n").alias("words"))
-    sizes = spoken.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / ROUTED).alias("chunks"))
-    groups = spoken.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / ROUTED)).alias("g")).scalar()
-    part = F.pmod(F.xxhash64("family"), groups) * (1 << 32) + F.pmod(F.xxhash64("language"), F.col("chunks"))
-    return spoken.join(sizes, "family").join(totals, "language").select("language", "family", "words", part.alias("part"))
+    """(language, family, part): how languages that all meet in one pair of blocks are dealt."""
+    spoken = counts.select("language", "family").distinct()
+    return spoken.join(dealt_parts(spoken, []), "family").select("language", "family", part_number().alias("part"))
 
 
 def log_misses(words: int, ks, ss):
@@ -153,25 +188,36 @@ def log_misses(words: int, ks, ss):
     return table[at_k][:, at_s]
 
 
-def family_chances(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair and family: the chance that the shuffle makes the family share it.
+_CODE = ["m_block", "s_block", "code"]
+
+
+def place_pairs(pairs: DataFrame, uses: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of the pairs' meanings and of their shapes, and the pairs with their blocks and their ``code`` in them."""
+    meanings, shapes = (place_items(item_leaders(table.join(pairs.select(item).distinct(), item, "left_semi"), item), item, width)
+                        for table, item, width in zip(uses, ("ckey", "shape"), (MEANINGS, SHAPES)))
+    placed = (pairs.join(meanings.select("ckey", F.col("block").alias("m_block"), F.col("bit").alias("m_bit")), "ckey")
+              .join(shapes.select("shape", F.col("block").alias("s_block"), F.col("bit").alias("s_bit")), "shape")
+              .select(*pairs.columns, "m_block", "s_block", (F.col("m_bit") * SHAPES + F.col("s_bit")).cast("int").alias("code")))
+    return meanings, shapes, placed
+
+
+def block_chances(uses: tuple[DataFrame, DataFrame], meanings: DataFrame, shapes: DataFrame, placed: DataFrame, settle=None) -> DataFrame:
+    """(m_block, s_block, code, family, p): per placed pair and family the chance that the shuffle makes the family share it.
 
     No row is made for a pair and a language. A task gets two blocks of items as some languages use them, and the pairs
     that are asked for among those items: each language adds a matrix of logarithms to its family's. What leaves the task
-    is a row for a pair and a family; the parts of a large family are added up."""
-    meanings = place_items(pairs.select("ckey").distinct(), "ckey", MEANINGS)
-    shapes = place_items(pairs.select("shape").distinct(), "shape", SHAPES)
+    is a row for a pair and a family; the parts of a large family are added up. All rows of a pair are dealt together."""
+    keep = settle or (lambda df: df)
     block = ["m_block", "s_block"]
-    placed = (pairs.select("ckey", "shape")
-              .join(meanings.select("ckey", F.col("block").alias("m_block"), F.col("bit").alias("m_bit")), "ckey")
-              .join(shapes.select("shape", F.col("block").alias("s_block"), F.col("bit").alias("s_bit")), "shape")
-              .select("ckey", "shape", *block, (F.col("m_bit") * SHAPES + F.col("s_bit")).cast("int").alias("code")))
-    languages = dealt_languages(counts)
-    left = item_counts(meaning_counts(counts), meanings, "ckey", "k", MEANINGS).join(languages, ["language", "family"])
-    right = item_counts(shape_counts(counts), shapes, "shape", "s", SHAPES)
-    rows = left.select("language", "family", "words", "part", F.col("block").alias("m_block"), F.col("items").alias("ks")).join(
-        right.select("language", F.col("block").alias("s_block"), F.col("items").alias("ss")), "language")
-    asked = placed.groupBy(*block).agg(F.collect_list("code").alias("codes")).crossJoin(languages.select(F.col("part").alias("to_part")).distinct())
+    words = uses[0].groupBy("language").agg(F.sum("k").alias("words"))
+    left = keep(item_counts(uses[0], meanings, "ckey", "k", MEANINGS).join(words, "language").select(
+        "language", "family", "words", F.col("block").alias("m_block"), F.col("items").alias("ks")))
+    right = keep(item_counts(uses[1], shapes, "shape", "s", SHAPES).select("language", F.col("block").alias("s_block"), F.col("items").alias("ss")))
+    met = left.join(right, "language")
+    dealt = dealt_parts(met, block)
+    rows = met.join(dealt, [*block, "family"]).select("family", "words", part_number().alias("part"), *block, "ks", "ss")
+    parts = dealt.select(*block, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("chunks") - 1)).alias("to_part")).distinct()
+    asked = placed.groupBy(*block).agg(F.collect_list("code").alias("codes")).join(parts, block)
     width_m, width_s = MEANINGS, SHAPES
 
     schema = pa.schema([("m_block", pa.int64()), ("s_block", pa.int64()), ("code", pa.int32()), ("family", pa.string()), ("log_miss", pa.float64())])
@@ -199,23 +245,33 @@ def family_chances(counts: DataFrame, pairs: DataFrame) -> DataFrame:
         key = [np.full(len(codes), rows[c][0].as_py()) for c in ("m_block", "s_block")]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip([*key, codes, np.repeat(names, sizes), np.concatenate([x for _, x in made])], schema)], schema=schema)
 
-    logs = rows.drop("language").groupBy(*block, "part").cogroup(asked.groupBy(*block, "to_part")).applyInArrow(
+    logs = rows.groupBy(*block, "part").cogroup(asked.groupBy(*block, "to_part")).applyInArrow(
         add_up, "m_block bigint, s_block bigint, code int, family string, log_miss double")
-    chances = logs.groupBy(*block, "code", "family").agg((-F.expm1(F.sum("log_miss"))).alias("p"))
-    return chances.join(placed, [*block, "code"]).select("ckey", "shape", "family", "p")
+    return logs.repartition(*_CODE).groupBy(*_CODE, "family").agg((-F.expm1(F.sum("log_miss"))).alias("p"))
+
+
+def family_chances(counts: DataFrame, pairs: DataFrame, settle=None) -> DataFrame:
+    """Per pair and family: the chance that the shuffle makes the family share it."""
+    uses = item_uses(counts, settle)
+    meanings, shapes, placed = place_pairs(pairs.select("ckey", "shape"), uses)
+    return block_chances(uses, meanings, shapes, placed, settle).join(placed, _CODE).select("ckey", "shape", "family", "p")
 
 
-def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD, settle=None) -> DataFrame:
+def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD, settle=None,
+                 uses: tuple[DataFrame, DataFrame] | None = None, having: DataFrame | None = None) -> DataFrame:
     """Observed pairs that enough families could share: observed count, 5-95% band, tail.
 
-    A pair's chances become partial polynomials of some ``FAMILIES`` families each, which are then multiplied."""
-    pairs = (settle or (lambda df: df))(observed_pairs(counts, min_families))
-    parts = counts.select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
-    chances = family_chances(counts, pairs).withColumn("part", F.pmod(F.xxhash64("family"), parts))
-    partial = chances.groupBy("ckey", "shape", "part").agg(F.collect_list("p").alias("ps")).select(
-        "ckey", "shape", F.size("ps").alias("n"), hit_polynomial()(F.col("ps")).alias("d"))
-    per_pair = partial.groupBy("ckey", "shape").agg(F.sum("n").cast("int").alias("could"), F.collect_list("d").alias("ds"))
-    tested = per_pair.where(F.col("could") >= min_could).join(pairs, ["ckey", "shape"])
+    A pair's chances become partial polynomials of some ``FAMILIES`` families each, which are then multiplied. Pairs get their
+    names back at the end. ``uses``: the words by meaning and by shape, ``having``: ``pair_families``, where they are at hand."""
+    keep, uses = settle or (lambda df: df), uses or item_uses(counts, settle)
+    meanings, shapes, placed = place_pairs(keep(shared_pairs(having or pair_families(counts), min_families)), uses)
+    meanings, shapes, placed = keep(meanings), keep(shapes), keep(placed)
+    parts = uses[0].select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
+    chances = block_chances(uses, meanings, shapes, placed, settle).withColumn("part", F.pmod(F.xxhash64("family"), parts))
+    partial = chances.groupBy(*_CODE, "part").agg(F.collect_list("p").alias("ps")).select(
+        *_CODE, F.size("ps").alias("n"), hit_polynomial()(F.col("ps")).alias("d"))
+    per_pair = partial.groupBy(*_CODE).agg(F.sum("n").cast("int").alias("could"), F.collect_list("d").alias("ds"))
+    tested = per_pair.where(F.col("could") >= min_could).join(placed, _CODE)
     return tested.select("ckey", "shape", "obs", "could", family_count_band()(F.col("ds"), F.col("obs")).alias("b")).select(
         "ckey", "shape", "obs", "could", "b.lo", "b.hi", "b.p")
 
@@ -302,26 +358,32 @@ def benjamini_hochberg(tested: DataFrame, hypotheses: DataFrame, p: str = "p") -
     return tested.join(q, p)
 
 
+def _baseline(counts: DataFrame, min_families: int, min_could: int, settle, having: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tested pairs and the number of hypotheses; with ``settle`` each is computed once, however many branches read it."""
+    keep = settle or (lambda df: df)
+    uses = item_uses(counts, settle)
+    return keep(tested_pairs(counts, min_families, min_could, settle, uses, having)), keep(count_hypotheses(counts, min_could, uses))
+
+
 def chance_bands(words: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD,
                  settle=None) -> DataFrame:
     """Observed families, 5-95% chance band and q (6 digits) per tested pair.
 
-    ``settle`` (for example ``lexshape.session.settle``) is applied to the three
+    ``settle`` (for example ``lexshape.session.settle``) is applied to the
     tables that several branches read, so a cluster computes them once."""
-    keep = settle or (lambda df: df)
-    counts = keep(word_counts(words))
-    tested = keep(tested_pairs(counts, min_families, min_could, settle))
-    banded = benjamini_hochberg(tested, count_hypotheses(counts, min_could))
-    return banded.withColumn("q", F.round("q", 6))
+    return chance_bands_of((settle or (lambda df: df))(word_counts(words)), min_families, min_could, settle)
+
+
+def chance_bands_of(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD, settle=None,
+                    having: DataFrame | None = None) -> DataFrame:
+    """``chance_bands`` from ``word_counts`` (and ``pair_families``), for a caller that reads these too."""
+    return benjamini_hochberg(*_baseline(counts, min_families, min_could, settle, having)).withColumn("q", F.round("q", 6))
 
 
 def baseline_summary(words: DataFrame, fdr: float = K.FDR, min_families: int = K.MIN_FAMILIES,
                      min_could: int = K.MIN_COULD, settle=None) -> DataFrame:
     """One row: hypotheses, tested pairs, pairs beyond chance, the rate used."""
-    keep = settle or (lambda df: df)
-    counts = keep(word_counts(words))
-    tested = keep(tested_pairs(counts, min_families, min_could, settle))
-    hypotheses = count_hypotheses(counts, min_could)
+    tested, hypotheses = _baseline((settle or (lambda df: df))(word_counts(words)), min_families, min_could, settle)
     q = benjamini_hochberg(tested, hypotheses)
     out = q.agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.round("q", 6) <= fdr).alias("beyond"))
     return out.select(hypotheses.scalar().alias("hypotheses"), "tested", "beyond", F.lit(fdr).alias("fdr"))

@@ -320,7 +320,12 @@ def convergence(entries: DataFrame, languages: DataFrame, bands: DataFrame | Non
     by = ["ckey", "shape"]
     best = language_best(entries, by).join(languages.select("glottocode", "family"), "glottocode")
     tiers = [F.count_if(F.col("tier_rank") == i).alias(t) for i, t in enumerate(K.TIERS)]
-    per_family = best.groupBy(*by, "family").agg(F.count(F.lit(1)).alias("languages"), *tiers)
+    return convergence_of(best.groupBy(*by, "family").agg(F.count(F.lit(1)).alias("languages"), *tiers), bands, fdr)
+
+
+def convergence_of(per_family: DataFrame, bands: DataFrame | None = None, fdr: float = K.FDR) -> DataFrame:
+    """``convergence`` of the languages and tiers of each meaning, shape and family."""
+    by = ["ckey", "shape"]
     out = per_family.groupBy(*by).agg(
         F.sum("languages").alias("languages"), F.count_if(F.col("family") != "").alias("families"),
         *[F.sum(t).alias(t) for t in K.TIERS])
