@@ -16,6 +16,7 @@ from pyspark.sql import Window
 
 from lexshape import constants as K
 from lexshape.functions import stats as ST
+from lexshape.session import settle as written
 
 MEANINGS, SHAPES = 128, 256     # bits of the two sides of a counting block
 FAMILIES = 512                  # families of one counting task, and chances of one partial polynomial, about
@@ -41,8 +42,8 @@ def shape_counts(counts: DataFrame) -> DataFrame:
 
 
 def item_uses(counts: DataFrame, settle=None) -> tuple[DataFrame, DataFrame]:
-    """Words by meaning and by shape, each written once where ``settle`` is given."""
-    keep = settle or (lambda df: df)
+    """Words by meaning and by shape, each written once (by ``settle``, or to the scratch folder)."""
+    keep = settle or written
     return keep(meaning_counts(counts)), keep(shape_counts(counts))
 
 
@@ -207,7 +208,7 @@ def block_chances(uses: tuple[DataFrame, DataFrame], meanings: DataFrame, shapes
     No row is made for a pair and a language. A task gets two blocks of items as some languages use them, and the pairs
     that are asked for among those items: each language adds a matrix of logarithms to its family's. What leaves the task
     is a row for a pair and a family; the parts of a large family are added up. All rows of a pair are dealt together."""
-    keep = settle or (lambda df: df)
+    keep = settle or written
     block = ["m_block", "s_block"]
     words = uses[0].groupBy("language").agg(F.sum("k").alias("words"))
     left = keep(item_counts(uses[0], meanings, "ckey", "k", MEANINGS).join(words, "language").select(
@@ -253,7 +254,7 @@ def block_chances(uses: tuple[DataFrame, DataFrame], meanings: DataFrame, shapes
 def family_chances(counts: DataFrame, pairs: DataFrame, settle=None) -> DataFrame:
     """Per pair and family: the chance that the shuffle makes the family share it."""
     uses = item_uses(counts, settle)
-    meanings, shapes, placed = place_pairs(pairs.select("ckey", "shape"), uses)
+    meanings, shapes, placed = map(settle or written, place_pairs(pairs.select("ckey", "shape"), uses))
     return block_chances(uses, meanings, shapes, placed, settle).join(placed, _CODE).select("ckey", "shape", "family", "p")
 
 
@@ -263,7 +264,7 @@ def tested_pairs(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_coul
 
     A pair's chances become partial polynomials of some ``FAMILIES`` families each, which are then multiplied. Pairs get their
     names back at the end. ``uses``: the words by meaning and by shape, ``having``: ``pair_families``, where they are at hand."""
-    keep, uses = settle or (lambda df: df), uses or item_uses(counts, settle)
+    keep, uses = settle or written, uses or item_uses(counts, settle)
     meanings, shapes, placed = place_pairs(keep(shared_pairs(having or pair_families(counts), min_families)), uses)
     meanings, shapes, placed = keep(meanings), keep(shapes), keep(placed)
     parts = uses[0].select("family").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / FAMILIES)).alias("p")).scalar()
@@ -359,8 +360,8 @@ def benjamini_hochberg(tested: DataFrame, hypotheses: DataFrame, p: str = "p") -
 
 
 def _baseline(counts: DataFrame, min_families: int, min_could: int, settle, having: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tested pairs and the number of hypotheses; with ``settle`` each is computed once, however many branches read it."""
-    keep = settle or (lambda df: df)
+    """Tested pairs and the number of hypotheses; each is computed once, however many branches read it."""
+    keep = settle or written
     uses = item_uses(counts, settle)
     return keep(tested_pairs(counts, min_families, min_could, settle, uses, having)), keep(count_hypotheses(counts, min_could, uses))
 
@@ -369,9 +370,9 @@ def chance_bands(words: DataFrame, min_families: int = K.MIN_FAMILIES, min_could
                  settle=None) -> DataFrame:
     """Observed families, 5-95% chance band and q (6 digits) per tested pair.
 
-    ``settle`` (for example ``lexshape.session.settle``) is applied to the
+    ``settle`` (``lexshape.session.settle`` where none is given) is applied to the
     tables that several branches read, so a cluster computes them once."""
-    return chance_bands_of((settle or (lambda df: df))(word_counts(words)), min_families, min_could, settle)
+    return chance_bands_of((settle or written)(word_counts(words)), min_families, min_could, settle)
 
 
 def chance_bands_of(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_could: int = K.MIN_COULD, settle=None,
@@ -383,7 +384,7 @@ def chance_bands_of(counts: DataFrame, min_families: int = K.MIN_FAMILIES, min_c
 def baseline_summary(words: DataFrame, fdr: float = K.FDR, min_families: int = K.MIN_FAMILIES,
                      min_could: int = K.MIN_COULD, settle=None) -> DataFrame:
     """One row: hypotheses, tested pairs, pairs beyond chance, the rate used."""
-    tested, hypotheses = _baseline((settle or (lambda df: df))(word_counts(words)), min_families, min_could, settle)
+    tested, hypotheses = _baseline((settle or written)(word_counts(words)), min_families, min_could, settle)
     q = benjamini_hochberg(tested, hypotheses)
     out = q.agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.round("q", 6) <= fdr).alias("beyond"))
     return out.select(hypotheses.scalar().alias("hypotheses"), "tested", "beyond", F.lit(fdr).alias("fdr"))
