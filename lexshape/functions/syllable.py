@@ -53,6 +53,21 @@ def reason(t: Column) -> Column:
     )
 
 
+_PLAIN_V = "".join(c for c in K.VOWELS if c.isascii())
+_PLAIN_C = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in _PLAIN_V)
+
+
+def plain(word: Column, segmented: Column) -> Column:
+    """Unsegmented lower-case ASCII letters: clean and toneless whatever they are, by the scheme's own canonicalizer."""
+    return ~segmented & word.rlike("^[a-z]++\\z")
+
+
+def plain_reason(word: Column, segmented: Column) -> Column:
+    """Reason of a ``plain`` word with two vowel letters or more, before any key is made (each letter is a segment); NULL for others."""
+    several = f"^[{_PLAIN_C}]*+[{_PLAIN_V}][{_PLAIN_C}]*+[{_PLAIN_V}][a-z]*+\\z"
+    return F.when(~segmented & word.rlike(several), SEVERAL)
+
+
 def nasal_before_consonant(n: Column) -> Column:
     """A nasal written as its own segment, right before a consonant segment."""
     return n.rlike(f"{_START}{_BARE_NASAL} [^ {_V}{_GL}]")

@@ -203,3 +203,27 @@ def test_words_are_judged_once_and_one_without_a_segmented_flag_stays(spark, tmp
     judged.write.parquet(str(tmp_path / "j"))
     once = C.cross_source_disagreement(spark.read.parquet(str(tmp_path / "j")))
     assert once._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_words_closed_by_their_letters_are_judged_as_by_the_rules(spark):
+    import itertools
+    letters = ["".join(w) for n in (1, 2, 3) for w in itertools.product("aiybgjmwz", repeat=n)] + ["abe\n", "Abe", "a1e", "abé", "kst ", "", "mb"]
+    rows = [(f"l{i % 3}", w, ("c1", "m1")[i % 2], None, None, seg, "spelling" if i % 11 == 0 else None)
+            for i, w in enumerate(letters) for seg in (False, True)] + [("l9", "maː˥", "m1"), ("l9", "ma", "c1"), ("l9", "*a", "c1"), ("l9", "tata", "c1")]
+    e, s = entries(spark, rows), sources(spark)
+    whole, counted, toned = C.judge_entries(e, s, glosses=False), C.judge_for_counts(e, s), C.judge_for_counts(e, s, reasons=False)
+    for f, j in ((C.excluded_counts, counted), (C.tone_marked, counted), (C.tone_marked, toned)):
+        assert sorted(map(tuple, f(j).collect())) == sorted(map(tuple, f(whole).collect()))
+    assert toned.count() < counted.count() < whole.count()
+    spoken = whole.where("is_open")
+    assert spoken.count() and sorted(map(str, C.judge_open(e, s, glosses=False).select(*spoken.columns).collect())) == sorted(map(str, spoken.collect()))
+
+
+def test_open_words_are_judged_without_shuffling_the_others(spark):
+    e, s = entries(spark, [("x", "ma", "c1", "mother"), ("x", "ma", "c1", "mother"), ("x", "tata", "m1"), ("x", "mat", "m1")]), sources(spark)
+    j = C.judge_open(e, s)
+    assert [(r["shape"], r["rows"], r["tier_rank"]) for r in j.collect()] == [("ma", 2, 0)]
+    plan = j._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan.split("Aggregate")[-1], "closed words leave below the grouping"
+    with pytest.raises(Exception, match="unknown source lost"):
+        C.judge_open(entries(spark, [("x", "tata", "lost"), ("x", "ma", "c1")]), s).collect()
