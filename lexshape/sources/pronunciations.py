@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexshape import constants as K
 from lexshape.functions import wording as W
 from lexshape.functions.unicode import strip
+from lexshape.session import settle as written
 from lexshape.sources.ordering import with_file_order
 
 LANGUAGE_MAP = (
@@ -72,18 +73,28 @@ def dictionary_source(spark: SparkSession) -> DataFrame:
 _SENSE = "word string, senses array<struct<glosses:array<string>,form_of:string,alt_of:string>>"
 
 
-def parse_glosses(lines: DataFrame) -> DataFrame:
+def parse_glosses(lines: DataFrame, settle=None) -> DataFrame:
     """Dictionary dump lines (``value, file, line``) -> up to three senses per headword.
 
     A sense gives its first short gloss that no earlier sense of the headword
     gave; inflected and variant forms give none; broken lines give NULL fields
-    and drop out. The limit of three is the format's own rule."""
-    e = lines.select("file", "line", F.from_json("value", _SENSE, {"mode": "PERMISSIVE"}).alias("e")).select("file", "line", "e.*")
+    and drop out. The limit of three is the format's own rule. The senses are
+    written once (by ``settle``, or to the scratch folder), so no line is parsed twice."""
+    listed = listed_senses(lines)
+    # of equal lists with a single gloss only the first can give it; longer lists may each give another one
+    own = F.when(F.size("g") > 1, F.col("order"))
+    first = listed.groupBy("word", "g", own.alias("own")).agg(F.min("order").alias("order")).select("word", "order", "g")
+    return _choose((settle or written)(first))
+
+
+def listed_senses(lines: DataFrame) -> DataFrame:
+    """(word, order, g): the short glosses of every sense that is a word's own."""
+    # a generated row and not a struct: fields of a parsed struct are each parsed for themselves
+    e = lines.select("file", "line", F.inline(F.array(F.from_json("value", _SENSE, {"mode": "PERMISSIVE"}))))
     senses = e.where("word is not null and word <> ''").select("word", "file", "line", F.posexplode("senses").alias("at", "s"))
     own = senses.where("coalesce(s.form_of, '') in ('', '[]') and coalesce(s.alt_of, '') in ('', '[]')")
     glosses = F.filter(F.transform("s.glosses", strip), lambda g: (g != "") & (F.char_length(g) <= K.MAX_GLOSS_LENGTH))
-    listed = own.select("word", F.struct("file", "line", "at").alias("order"), glosses.alias("g")).where("size(g) > 0")
-    return _choose(listed)
+    return own.select("word", F.struct("file", "line", "at").alias("order"), glosses.alias("g")).where("size(g) > 0")
 
 
 def _choose(listed: DataFrame) -> DataFrame:

@@ -72,6 +72,21 @@ def test_gloss_dump(spark, tmp_path):
     assert got == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, "three"), ("b", 0, "one")]
 
 
+def test_gloss_lines_are_parsed_once_and_repeats_of_one_gloss_collapse(spark, tmp_path):
+    lines = [{"word": "a", "senses": [{"glosses": ["one", "uno"]}, {"glosses": ["one"]}]}, {"word": "a", "senses": [{"glosses": ["one"]}, {"glosses": ["one", "uno"]}]},
+             {"word": "a", "senses": [{"glosses": ["one", "uno", "un"]}, {"glosses": ["four"]}]}] + [{"word": "b", "senses": [{"glosses": ["x"]}]}] * 5
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = PR.read_glosses(spark, str(tmp_path / "d.jsonl"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, "one"), ("a", 1, "uno"), ("a", 2, "un"), ("b", 0, "x")]
+    assert "from_json" not in got._jdf.queryExecution().optimizedPlan().toString(), "the senses are written"
+    raw = spark.read.text(str(tmp_path / "d.jsonl")).selectExpr("value", "'f' AS file", "1 AS line")
+    listed = PR.listed_senses(raw)
+    assert listed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    kept = []
+    PR.parse_glosses(raw, lambda df: kept.append(df) or df).count()
+    assert kept[0].where("word = 'b'").count() == 1
+
+
 def test_seed_and_reference_tables(spark, tmp_path):
     seed = {"sources": [{"id": "s", "tier": "curated", "license": "CC0-1.0"}], "languages": [{"glottocode": "x", "name": "X"}],
             "entries": [{"glottocode": "x", "ipa": "ma", "gloss": "mother", "source": "s"}, {"glottocode": "x", "ipa": "ta", "gloss": "g", "concepticon_id": 5, "source": "s"}]}
