@@ -7,6 +7,9 @@ segment can contain a space); ``segment_array`` gives the array view.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +90,24 @@ def segment_array(segments: Column) -> Column:
     return F.when(segments == "", F.array().cast("array<string>")).otherwise(F.split(segments, " "))
 
 
+@lru_cache(maxsize=None)
+def toned_letters() -> dict[str, str]:
+    """Letters that decompose to one of a-z with tone marks alone, and that letter."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x2000))}
+    return {c: p[0] for c, p in parts.items() if len(p) > 1 and "a" <= p[0] <= "z" and not p[1:].strip(K.TONE_MARKS)}
+
+
+def bare_letters(word: Column) -> Column:
+    """The word without tone marks on its letters. Of letters alone: where a-z is left, each is a segment, and
+    words (unsegmented) have equal segments just where these are equal; where not, its segments hold another sign."""
+    toned = toned_letters()
+    return F.translate(word, "".join(toned) + "\u0261", "".join(toned.values()) + "g")
+
+
+def has_toned_letter(word: Column) -> Column:
+    return F.translate(word, "".join(toned_letters()), "") != word
+
+
 def is_clean(segmental: Column) -> Column:
     """True where the key holds nothing but letters and marks of the alphabet."""
     quick = segmental.rlike("^[a-z\u0261]+$")

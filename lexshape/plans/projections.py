@@ -30,12 +30,23 @@ def document_source(source: str = "source", doc_id: str = "doc_id") -> Column:
     return F.concat(F.col(source), F.lit("/"), (F.col(doc_id) % 6).cast("string"))
 
 
+def words_of(text: str) -> Column:
+    """All words of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as lists of words, the text itself as language: many small samples."""
+    d = table(spark, sf_dir, "documents")
+    texts = spread(d.select(F.col("doc_id").cast("string").alias("glottocode"), document_source().alias("source"), "text"))
+    return texts.select("glottocode", "source", words_of("text").alias("words"))
+
+
 def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True, doc_id: bool = False) -> DataFrame:
     """Every word of every text as an entry of its variety (language and source).
 
     ``seq`` orders entries by text, then by position in the text. ``doc_id`` keeps the text's id."""
     d = table(spark, sf_dir, "documents")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     group = F.col("doc_id") % 40
     # spelling of the gloss varies by text; four neighbouring groups share a word
     word = F.concat(F.lit("sense "), F.floor(group / 4).cast("string"))
@@ -52,7 +63,7 @@ def word_entries(spark: SparkSession, sf_dir: str, glosses: bool = True, doc_id:
             F.when(linked, group + 1).alias("concepticon_id"),
             F.when(linked, concept_gloss).alias("concepticon_gloss")]
     texts = spread(d.select(*per_text))
-    cut = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(words).alias("pos", "ipa"))
+    cut = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(words_of("text")).alias("pos", "ipa"))
     out = cut.select(
         *[c for c in texts.columns if c not in ([] if doc_id else ["doc_id"]) + ["text"]], "ipa", F.lit(False).alias("segmented"),
         F.lit(None).cast("string").alias("exclude"),

@@ -219,6 +219,35 @@ def test_words_closed_by_their_letters_are_judged_as_by_the_rules(spark):
     assert spoken.count() and sorted(map(str, C.judge_open(e, s, glosses=False).select(*spoken.columns).collect())) == sorted(map(str, spoken.collect()))
 
 
+def test_texts_are_counted_as_their_words_judged_one_by_one(spark):
+    import unicodedata
+    letters = [chr(c) for c in [*range(0xC0, 0x2C0), *range(0x1E00, 0x1F00)] if unicodedata.category(chr(c))[0] == "L"] + ["ʦ", "ː", "ʰ", "ж"]
+    texts = []
+    for i, c in enumerate(letters):         # a letter beside the one it decomposes to
+        b = unicodedata.normalize("NFD", c)[0]
+        texts.append((f"t{i}", "c1", [x + w + y for x in ("", "m", "ga") for w in (c, b) for y in ("", "b")] + [c, c + c]))
+    texts += [("x", "c1", ["ma", "má", "ma", "ga", "\u0261a"]), ("x", "m1", ["ma", "ta", "tü"]), ("y", "m1", ["e\u0361", "é", "e", "*a", "e˥", " e", "te\n", ""]),
+              ("z", "c1", ["*a", "ß"]), ("w", "c1", []), ("v", "c1", ["é", "è", "e"]), ("u", "m1", ["é", "e", "e"]), (None, "c1", ["ma", "má"]), (None, "m1", ["ma"]),
+              ("s", "c1", None), ("r", None, ["ma", "tü"])]
+    t = spark.createDataFrame(texts, "glottocode string, source string, words array<string>")
+    e = t.select("glottocode", "source", F.explode("words").alias("ipa")).withColumns(
+        {"segmented": F.lit(False), "exclude": F.lit(None).cast("string"), "seq": F.monotonically_increasing_id()})
+    whole, judged = C.judge_entries(e, sources(spark), glosses=False), C.judge_texts(t, sources(spark))
+    got = C.text_counts(judged).collect()
+    assert sorted(map(str, got)) == sorted(map(str, C.language_counts(whole).collect()))
+    assert {r["glottocode"]: r["examined"] for r in got if str(r["glottocode"]) in "rsuvwxyzNone"} == {"r": 2, "u": 1, "v": 1, "x": 4, "y": 2, None: 1}
+    langs = t.select("glottocode").distinct()
+    assert sorted(map(str, C.judged_languages(langs, judged).collect())) == sorted(map(str, C.judged_languages(langs, whole).collect()))
+    assert judged.where("glottocode = 'v'").count() == 1 and judged.where("glottocode = 'x'").count() == 8
+
+
+def test_words_of_texts_are_counted_before_any_shuffle(spark):
+    from lexshape.plans.queries import QUERIES
+    for name in ("document_counts", "judged_languages"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate ") == 1 and "array_distinct" in plan, "texts are cut once, each word of a-z leaves with its text"
+
+
 def test_open_words_are_judged_without_shuffling_the_others(spark):
     e, s = entries(spark, [("x", "ma", "c1", "mother"), ("x", "ma", "c1", "mother"), ("x", "tata", "m1"), ("x", "mat", "m1")]), sources(spark)
     j = C.judge_open(e, s)
